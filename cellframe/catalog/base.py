@@ -206,7 +206,7 @@ MODEL_COLUMNS = [
 ]
 
 MODEL_SQL = (
-    "model as (select * from (select cast((r - r % 5) / 5 as bigint) as r, cast((c - c % 5) / 5 as bigint) as c, "
+    "model as materialized (select * from (select cast((r - r % 5) / 5 as bigint) as r, cast((c - c % 5) / 5 as bigint) as c, "
     + ", ".join(f"avg({n}) as {n}" for n in MODEL_COLUMNS)
     + " from stack group by 1, 2) g where cover_fraction > 0)"
 )

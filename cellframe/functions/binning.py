@@ -29,6 +29,10 @@ def bin_index(v: Column, breaks: Sequence[float | Column]) -> Column:
     return F.when((n > 0) & (n < len(edges)), n)
 
 
+# ``get`` below, not ``element_at``: with ANSI mode on, the latter (Spark 4.1) takes an array
+# of non-NULL elements to give a non-NULL result and returns the last one for a NULL index.
+
+
 def _text(b: float) -> str:
     return f"{b:.10g}"
 
@@ -37,13 +41,13 @@ def bin_label(v: Column, breaks: Sequence[float]) -> Column:
     """Label such as ``(2600,2800]`` of the bin that holds ``v``."""
     index = bin_index(v, breaks)
     labels = [f"({_text(a)},{_text(b)}]" for a, b in zip(breaks, breaks[1:])]
-    return F.element_at(F.array(*[F.lit(s) for s in labels]), index)
+    return F.get(F.array(*[F.lit(s) for s in labels]), index - 1)
 
 
 def bin_lower(v: Column, breaks: Sequence[float | Column]) -> Column:
     """Lower edge of the bin that holds ``v``."""
     edges = [b if isinstance(b, Column) else F.lit(float(b)) for b in breaks]
-    return F.element_at(F.array(*edges), bin_index(v, edges))
+    return F.get(F.array(*edges), bin_index(v, edges) - 1)
 
 
 def equal_breaks(lo: Column, hi: Column, n: int) -> list[Column]:

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.spark import lookup_join
+from cellframe.spark import lookup_join, settle
 
 ACCURACY = 20_000
 
@@ -102,13 +102,21 @@ def quantiles_wide(
 
 
 def trim_by_quantiles(
-    df: DataFrame, cols: Sequence[str], low: float = 0.01, high: float = 0.99, complete: Sequence[str] | None = None
+    df: DataFrame,
+    cols: Sequence[str],
+    low: float = 0.01,
+    high: float = 0.99,
+    complete: Sequence[str] | None = None,
+    reread: bool = False,
 ) -> DataFrame:
     """Rows strictly between the low and high quantile in every column.
 
     ``complete`` names the columns that must be present first (all of them by default);
-    all thresholds come from that same frame."""
+    all thresholds come from that same frame. The frame is read three times, so it is
+    settled first; ``reread`` skips that for a frame that is stored already."""
     frame = df.dropna(subset=list(complete if complete is not None else df.columns))
+    if not reread:
+        frame = settle(frame)
     q = quantiles_wide(frame, cols, {"lo": low, "hi": high})
     limits = q.agg(
         *[F.struct(*[F.max(F.when(F.col("name") == c, F.col(e))).alias(e) for e in ("lo", "hi")]).alias(c) for c in cols]

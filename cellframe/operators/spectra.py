@@ -36,7 +36,7 @@ def to_bands(
     if isinstance(wavelengths, Column):
         wl = wavelengths
     else:
-        wl = F.element_at(F.array(*[F.lit(float(w)) for w in wavelengths]), F.col("band"))
+        wl = F.get(F.array(*[F.lit(float(w)) for w in wavelengths]), F.col("_i"))
     value = F.when(~bad_band(F.col("band"), bad), F.col("_v").cast("double") / F.lit(scale))
     return long.select(*keep, "band", wl.alias("wavelength"), value.alias("reflectance"))
 
