@@ -34,12 +34,12 @@ def _cells(spark, sf):
     """Modelling frame of fine cells: every cell with a cytotype."""
     g = grid_for(spark, sf)
     cells = L.cell_table(L.layer_stack(full_cells(spark, sf), g, BLOCK, TILE), g)
-    return settle(FO.modelling_frame(cells, SPATIAL_BLOCK))
+    return FO.modelling_frame(cells, SPATIAL_BLOCK)
 
 
 def _blocks(spark, sf):
     """Modelling frame of coarse blocks."""
-    return settle(FO.modelling_frame(modelling(spark, sf), SPATIAL_BLOCK))
+    return FO.modelling_frame(modelling(spark, sf), SPATIAL_BLOCK)
 
 
 def _fit(frame, yvar, sets, seed=1):

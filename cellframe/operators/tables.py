@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -58,7 +59,7 @@ def chi_square(table: DataFrame, a: str, b: str, count: str = "freq", correct: b
     return sums.select("n", ((F.col("ra") - 1) * (F.col("rb") - 1)).alias("df"), statistic.alias("statistic"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _upper_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_chi_square_tail(x, int(k)) for x, k in zip(statistic, df)])
 

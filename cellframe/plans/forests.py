@@ -57,8 +57,10 @@ RESULT_SCHEMA = T.StructType(
 
 def modelling_frame(table: DataFrame, block: float = BLOCK_METRES, threshold: float = COVER_THRESHOLD) -> DataFrame:
     """Modelling rows with block ids, enough cover, and the survey response clipped to the
-    cells that also have height change. Blocks are numbered before the cover filter."""
-    df = with_block_ids(table, block).filter(F.col("cover_fraction") > threshold)
+    cells that also have height change. Blocks are numbered before the cover filter.
+
+    The table is settled first: its extent, its blocks and its rows are read separately."""
+    df = with_block_ids(settle(table), block).filter(F.col("cover_fraction") > threshold)
     return df.withColumn("damage_survey_clipped", F.when(F.col("damage_lidar").isNotNull(), F.col("damage_survey")))
 
 

@@ -42,12 +42,15 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = MAX_BROADCAST_ROWS,
+    settled: bool = False,
 ) -> DataFrame:
     """Join a small derived table to a big one without shuffling the big side.
 
-    The lookup is settled and counted first and broadcast only within ``max_rows``.
+    The lookup is settled (unless it is already) and counted first, and broadcast only
+    within ``max_rows``.
     Beyond that Spark picks a shuffled join, where AQE splits hot keys."""
-    lookup = settle(lookup)
+    if not settled:
+        lookup = settle(lookup)
     if lookup.count() <= max_rows:
         lookup = F.broadcast(lookup)
     return df.join(lookup, list(on), how)
