@@ -17,21 +17,21 @@ def bandwidths(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Rule-of-thumb bandwidth per group: 0.9 min(sd, IQR / 1.34) n^-0.2.
 
     A zero spread falls back to the sd, then to the size of a value, then to 1."""
-    q = quantiles_wide(df, [value], {"q1": 0.25, "q3": 0.75}, by).drop("name")
+    q = quantiles_wide(df, [value], {"_q1": 0.25, "_q3": 0.75}, by).drop("name")
     s = df.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.stddev_samp(value).alias("sd"),
-        F.min(value).alias("lo"),
-        F.max(value).alias("hi"),
+        F.count(value).alias("_n"),
+        F.stddev_samp(value).alias("_sd"),
+        F.min(value).alias("_lo"),
+        F.max(value).alias("_hi"),
     )
-    spread = F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / F.lit(1.34))
+    spread = F.least(F.col("_sd"), (F.col("_q3") - F.col("_q1")) / F.lit(1.34))
     spread = F.coalesce(
         F.nullif(spread, F.lit(0.0)),
-        F.nullif(F.col("sd"), F.lit(0.0)),
-        F.nullif(F.abs("lo"), F.lit(0.0)),
+        F.nullif(F.col("_sd"), F.lit(0.0)),
+        F.nullif(F.abs("_lo"), F.lit(0.0)),
         F.lit(1.0),
     )
-    return s.join(q, list(by)).withColumn("bw", F.lit(0.9) * spread * F.pow(F.col("n"), F.lit(-0.2)))
+    return s.join(q, list(by)).withColumn("_bw", F.lit(0.9) * spread * F.pow(F.col("_n"), F.lit(-0.2)))
 
 
 def density(
@@ -47,33 +47,33 @@ def density(
     each group's own range. Equal values are counted before the kernel is applied, and the
     sums combine before the shuffle, so a hot group costs no more than any other."""
     by = list(by)
-    df = df.select(*by, F.col(value).cast("double").alias("v")).dropna()
+    df = df.select(*by, F.col(value).cast("double").alias("_v")).dropna()
     if limits is not None:
-        df = df.filter(F.col("v").between(*limits))
-    bw = bandwidths(df, "v", by)
+        df = df.filter(F.col("_v").between(*limits))
+    bw = bandwidths(df, "_v", by)
     if limits is not None:
-        bw = bw.withColumns({"lo": F.lit(float(limits[0])), "hi": F.lit(float(limits[1]))})
-    bw = settle(bw.select(*by, "n", "bw", "lo", "hi"))
+        bw = bw.withColumns({"_lo": F.lit(float(limits[0])), "_hi": F.lit(float(limits[1]))})
+    bw = settle(bw.select(*by, "_n", "_bw", "_lo", "_hi"))
     last = F.lit(points - 1)
-    step = (F.col("hi") - F.col("lo")) / last.cast("double")
-    x = F.col("lo") + F.col("i") * step
+    step = (F.col("_hi") - F.col("_lo")) / last.cast("double")
+    x = F.col("_lo") + F.col("i") * step
     # one row per distinct value is little data but much work: spread it before it multiplies
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    counts = df.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("k"))
-    spread = lookup_join(counts, bw, by, settled=True).repartition(tasks, *by, "v")
+    counts = df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    spread = lookup_join(counts, bw, by, settled=True).repartition(tasks, *by, "_v")
     # beyond REACH bandwidths exp() is exactly zero, so those points need no visit
-    reach = F.lit(REACH) * F.col("bw")
-    first = F.when(step > 0, F.greatest(F.ceil((F.col("v") - reach - F.col("lo")) / step), F.lit(0))).otherwise(0)
-    final = F.when(step > 0, F.least(F.floor((F.col("v") + reach - F.col("lo")) / step), last)).otherwise(last)
-    u = (x - F.col("v")) / F.col("bw")
+    reach = F.lit(REACH) * F.col("_bw")
+    first = F.when(step > 0, F.greatest(F.ceil((F.col("_v") - reach - F.col("_lo")) / step), F.lit(0))).otherwise(0)
+    final = F.when(step > 0, F.least(F.floor((F.col("_v") + reach - F.col("_lo")) / step), last)).otherwise(last)
+    u = (x - F.col("_v")) / F.col("_bw")
     sums = (
         explode_range(spread, first, final, "i")
         .groupBy(*by, "i")
-        .agg(F.sum(F.col("k") * F.exp(F.lit(-0.5) * u * u)).alias("_sum"))
+        .agg(F.sum(F.col("_k") * F.exp(F.lit(-0.5) * u * u)).alias("_sum"))
     )
     grid = bw.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
-    scale = F.col("n") * F.col("bw") * F.sqrt(F.lit(2.0) * F.pi())
+    scale = F.col("_n") * F.col("_bw") * F.sqrt(F.lit(2.0) * F.pi())
     return grid.join(sums, [*by, "i"], "left").select(
         *by, F.col("i").cast("int").alias("i"), x.alias("x"), (F.coalesce("_sum", F.lit(0.0)) / scale).alias("density")
     )

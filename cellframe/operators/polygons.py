@@ -83,8 +83,8 @@ def polygon_cells(polygons: DataFrame, grid: Grid, poly_key: str = "poly_id", ke
     along = Window.partitionBy(poly_key, *keep, "r").orderBy("_x")
     runs = (
         crossings.select(poly_key, *keep, "r", "_x")
-        .withColumns({"_k": F.row_number().over(along), "_to": F.lead("_x").over(along)})
-        .filter("_k % 2 = 1 AND _to IS NOT NULL")
+        .withColumns({"_nth": F.row_number().over(along), "_next": F.lead("_x").over(along)})
+        .filter("_nth % 2 = 1 AND _next IS NOT NULL")
     )
 
     def first_col(x: Column) -> Column:
@@ -93,7 +93,7 @@ def polygon_cells(polygons: DataFrame, grid: Grid, poly_key: str = "poly_id", ke
     cells = explode_range(
         runs,
         F.greatest(first_col(F.col("_x")), F.lit(0)),
-        F.least(first_col(F.col("_to")) - 1, F.lit(grid.ncol - 1)),
+        F.least(first_col(F.col("_next")) - 1, F.lit(grid.ncol - 1)),
         "c",
     )
     return cells.select(poly_key, *keep, "r", "c")

@@ -19,9 +19,9 @@ ACCURACY = 20_000
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., name, v) without NULLs."""
+    """(by..., name, _v) without NULLs."""
     wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    return wide.unpivot(list(by), list(cols), "name", "v").filter("v IS NOT NULL")
+    return wide.unpivot(list(by), list(cols), "name", "_v").filter("_v IS NOT NULL")
 
 
 def exact_quantiles(
@@ -38,56 +38,56 @@ def exact_quantiles(
         *[
             F.struct(
                 F.lit(float(p)).alias("p"),
-                F.element_at("_q", at[max(p - margin, 0.0)]).alias("lo"),
-                F.element_at("_q", at[min(p + margin, 1.0)]).alias("hi"),
+                F.element_at("_q", at[max(p - margin, 0.0)]).alias("_lo"),
+                F.element_at("_q", at[min(p + margin, 1.0)]).alias("_hi"),
             )
             for p in probs
         ]
     )
     brackets = (
         values.groupBy(*keys)
-        .agg(F.count("v").alias("n"), F.percentile_approx("v", [float(q) for q in wanted], accuracy).alias("_q"))
-        .select(*keys, "n", bracket.alias("brackets"))
+        .agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [float(q) for q in wanted], accuracy).alias("_q"))
+        .select(*keys, "_n", bracket.alias("_brackets"))
     )
     # without groups there is one row per named column, which bounds the broadcast
     tagged = values.join(F.broadcast(brackets), keys) if not by else lookup_join(values, brackets, keys)
-    tagged = tagged.select(*keys, "n", "v", F.inline("brackets"))
-    inside = F.col("v").between(F.col("lo"), F.col("hi"))
-    slivers = tagged.groupBy(*keys, "p", "n", F.when(inside, F.col("v")).alias("v")).agg(
-        F.count(F.lit(1)).alias("k"),
-        F.count(F.when(F.col("v") < F.col("lo"), 1)).alias("n_below"),
-        F.max(F.when(F.col("v") < F.col("lo"), F.col("v"))).alias("last_below"),
-        F.min(F.when(F.col("v") > F.col("hi"), F.col("v"))).alias("first_above"),
+    tagged = tagged.select(*keys, "_n", "_v", F.inline("_brackets").alias("p", "_lo", "_hi"))
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    slivers = tagged.groupBy(*keys, "p", "_n", F.when(inside, F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_k"),
+        F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_n_below"),
+        F.max(F.when(F.col("_v") < F.col("_lo"), F.col("_v"))).alias("_last_below"),
+        F.min(F.when(F.col("_v") > F.col("_hi"), F.col("_v"))).alias("_first_above"),
     )
     group = Window.partitionBy(*keys, "p")
-    ordered = group.orderBy(F.col("v").asc_nulls_first())
+    ordered = group.orderBy(F.col("_v").asc_nulls_first())
     ranked = slivers.withColumns(
         {
-            "n_below": F.sum("n_below").over(group),
-            "last_below": F.max("last_below").over(group),
-            "first_above": F.min("first_above").over(group),
-            "_up_to": F.sum(F.when(F.col("v").isNotNull(), F.col("k")).otherwise(0)).over(ordered),
-            "_in": F.sum(F.when(F.col("v").isNotNull(), F.col("k"))).over(group),
+            "_n_below": F.sum("_n_below").over(group),
+            "_last_below": F.max("_last_below").over(group),
+            "_first_above": F.min("_first_above").over(group),
+            "_up_to": F.sum(F.when(F.col("_v").isNotNull(), F.col("_k")).otherwise(0)).over(ordered),
+            "_in": F.sum(F.when(F.col("_v").isNotNull(), F.col("_k"))).over(group),
         }
-    ).withColumns({"_up_to": F.col("_up_to") + F.col("n_below"), "h": (F.col("n") - 1) * F.col("p")})
+    ).withColumns({"_up_to": F.col("_up_to") + F.col("_n_below"), "_h": (F.col("_n") - 1) * F.col("p")})
 
     def order_statistic(rank: Column) -> Column:
         """Value with 0-based ``rank``: the first one whose running count passes it."""
-        found = F.min(F.when(F.col("v").isNotNull() & (F.col("_up_to") > rank), F.col("v")))
-        below, top = F.first("n_below"), F.first("n_below") + F.first("_in")
+        found = F.min(F.when(F.col("_v").isNotNull() & (F.col("_up_to") > rank), F.col("_v")))
+        below, top = F.first("_n_below"), F.first("_n_below") + F.first("_in")
         r = F.first(rank)
         return (
             F.when((r >= below) & (r < top), found)
-            .when(r == below - 1, F.first("last_below"))
-            .when(r == top, F.first("first_above"))
+            .when(r == below - 1, F.first("_last_below"))
+            .when(r == top, F.first("_first_above"))
             .otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
         )
 
-    out = ranked.groupBy(*keys, "p", "n").agg(
-        order_statistic(F.floor("h")).alias("_a"),
-        order_statistic(F.ceil("h")).alias("_b"),
+    out = ranked.groupBy(*keys, "p", "_n").agg(
+        order_statistic(F.floor("_h")).alias("_a"),
+        order_statistic(F.ceil("_h")).alias("_b"),
     )
-    part = (F.col("n") - 1) * F.col("p") - F.floor((F.col("n") - 1) * F.col("p"))
+    part = (F.col("_n") - 1) * F.col("p") - F.floor((F.col("_n") - 1) * F.col("p"))
     return out.select(*keys, "p", (F.col("_a") + part * (F.col("_b") - F.col("_a"))).alias("value"))
 
 

@@ -25,32 +25,32 @@ def hash_order(row_id: Column | str, seed: int | str) -> Column:
 
 
 def cut_hash(df: DataFrame, row_id: str, size: Column, seed: int | str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., cut): hash of the ``size``-th row of each group; NULL when size < 1.
+    """(by..., _cut): hash of the ``size``-th row of each group; NULL when size < 1.
 
-    ``size`` is an expression over ``n``, the size of the group."""
+    ``size`` is an expression over ``_n``, the size of the group."""
     by = list(by)
-    hashed = df.select(*by, hash_order(row_id, seed).alias("h")).withColumn("b", F.substring("h", 1, PREFIX))
-    counts = hashed.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("k"))
+    hashed = df.select(*by, hash_order(row_id, seed).alias("_h")).withColumn("_b", F.substring("_h", 1, PREFIX))
+    counts = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
     group = Window.partitionBy(*(by or [F.lit(1)]))
     placed = counts.withColumns(
-        {"n": F.sum("k").over(group), "before": F.sum("k").over(group.orderBy("b")) - F.col("k")}
-    ).withColumn("want", F.least(size.cast("bigint"), F.col("n")))
-    bucket = placed.filter("before < want AND want <= before + k").select(
-        *by, "b", (F.col("want") - F.col("before")).alias("rank")
+        {"_n": F.sum("_k").over(group), "_before": F.sum("_k").over(group.orderBy("_b")) - F.col("_k")}
+    ).withColumn("_want", F.least(size.cast("bigint"), F.col("_n")))
+    bucket = placed.filter("_before < _want AND _want <= _before + _k").select(
+        *by, "_b", (F.col("_want") - F.col("_before")).alias("_rank")
     )
     if by:
-        inside = lookup_join(hashed, bucket, [*by, "b"])
+        inside = lookup_join(hashed, bucket, [*by, "_b"])
     else:
-        inside = hashed.join(F.broadcast(bucket), "b")  # one row
-    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy("h")
-    ranked = inside.withColumn("pos", F.row_number().over(order)).filter("pos = rank")
-    return ranked.select(*by, F.col("h").alias("cut"))
+        inside = hashed.join(F.broadcast(bucket), "_b")  # one row
+    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_h")
+    ranked = inside.withColumn("_pos", F.row_number().over(order)).filter("_pos = _rank")
+    return ranked.select(*by, F.col("_h").alias("_cut"))
 
 
 def sample_rows(df: DataFrame, row_id: str, size: int | Column, seed: int | str = 1) -> DataFrame:
     """Uniform sample of ``size`` rows (all rows when there are fewer)."""
     size = size if isinstance(size, Column) else F.lit(int(size))
-    cut = cut_hash(df, row_id, size, seed).agg(F.max("cut")).scalar()
+    cut = cut_hash(df, row_id, size, seed).agg(F.max("_cut")).scalar()
     return df.filter(hash_order(row_id, seed) <= cut)
 
 
@@ -69,7 +69,7 @@ def sample_balanced(
     total = F.lit(size) if size is not None else facts.getField("smallest")
     parts = F.lit(divide_by) if divide_by is not None else facts.getField("classes")
     cuts = cut_hash(df, row_id, F.floor(total / parts), seed, [label])
-    return lookup_join(df, cuts, [label]).filter(hash_order(row_id, seed) <= F.col("cut")).drop("cut")
+    return lookup_join(df, cuts, [label]).filter(hash_order(row_id, seed) <= F.col("_cut")).drop("_cut")
 
 
 def stride_sample(df: DataFrame, grid: Grid, max_cells: int) -> DataFrame:

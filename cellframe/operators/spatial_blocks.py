@@ -64,7 +64,7 @@ def split_blocks(
     hash with the cut hash, so neither side is joined."""
     top = df.agg(F.max(block)).first()[0] or 0
     ids = df.sparkSession.range(1, top + 1)
-    cut = cut_hash(ids, "id", F.floor(F.lit(float(fraction)) * F.col("n")), seed).agg(F.max("cut")).scalar()
+    cut = cut_hash(ids, "id", F.floor(F.lit(float(fraction)) * F.col("_n")), seed).agg(F.max("_cut")).scalar()
     in_train = F.coalesce(hash_order(block, seed) <= cut, F.lit(False))
     return df.filter(in_train), df.filter(~in_train)
 

@@ -59,11 +59,11 @@ def lookup_join(
 def explode_range(df: DataFrame, lo: Column, hi: Column, name: str, chunk: int = 4096) -> DataFrame:
     """One row per integer in [lo, hi]. Long ranges go through chunks, so that no array
     grows with the data."""
-    df = df.withColumns({"_lo": lo.cast("bigint"), "_hi": hi.cast("bigint")}).filter("_lo <= _hi")
-    df = df.withColumn("_k", F.explode(F.sequence(_floor_div("_lo", chunk), _floor_div("_hi", chunk))))
-    first = F.greatest(F.col("_lo"), F.col("_k") * chunk)
-    last = F.least(F.col("_hi"), F.col("_k") * chunk + (chunk - 1))
-    return df.withColumn(name, F.explode(F.sequence(first, last))).drop("_lo", "_hi", "_k")
+    df = df.withColumns({"_from": lo.cast("bigint"), "_to": hi.cast("bigint")}).filter("_from <= _to")
+    df = df.withColumn("_part", F.explode(F.sequence(_floor_div("_from", chunk), _floor_div("_to", chunk))))
+    first = F.greatest(F.col("_from"), F.col("_part") * chunk)
+    last = F.least(F.col("_to"), F.col("_part") * chunk + (chunk - 1))
+    return df.withColumn(name, F.explode(F.sequence(first, last))).drop("_from", "_to", "_part")
 
 
 def _floor_div(col: str, by: int) -> Column:
