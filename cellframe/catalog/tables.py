@@ -238,7 +238,7 @@ def sample_uniform_md5(spark, sf):
 def sample_balanced_md5(spark, sf):
     a = view(spark, sf, "attrs").filter("cyto_raw >= 0")
     labelled = a.select("cell_id", A.above(F.col("cyto_raw"), 0.5).cast("int").alias("label"))
-    return M.sample_balanced(labelled, "cell_id", "label", 3)
+    return M.sample_balanced(settle(labelled), "cell_id", "label", 3)
 
 
 @query(

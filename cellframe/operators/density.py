@@ -58,10 +58,11 @@ def density(
     step = (F.col("_hi") - F.col("_lo")) / last.cast("double")
     x = F.col("_lo") + F.col("i") * step
     # one row per distinct value is little data but much work: spread it before it multiplies
+    # (by value only: the same keys as the count's would be optimized away)
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     counts = df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    spread = lookup_join(counts, bw, by, settled=True).repartition(tasks, *by, "_v")
+    spread = lookup_join(counts, bw, by, settled=True).repartition(tasks, "_v")
     # beyond REACH bandwidths exp() is exactly zero, so those points need no visit
     reach = F.lit(REACH) * F.col("_bw")
     first = F.when(step > 0, F.greatest(F.ceil((F.col("_v") - reach - F.col("_lo")) / step), F.lit(0))).otherwise(0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.grid import Grid
-from cellframe.spark import lookup_join
+from cellframe.spark import lookup_join, settle
 
 PREFIX = 4  # hex digits: 65,536 counting buckets per group
 
@@ -24,13 +24,29 @@ def hash_order(row_id: Column | str, seed: int | str) -> Column:
     return F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}")))
 
 
-def cut_hash(df: DataFrame, row_id: str, size: Column, seed: int | str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., _cut): hash of the ``size``-th row of each group; NULL when size < 1.
+def _hashed(df: DataFrame, row_id: str, seed: int | str, by: Sequence[str]) -> DataFrame:
+    hashed = df.select(*by, hash_order(row_id, seed).alias("_h"))
+    return hashed.withColumn("_b", F.substring("_h", 1, PREFIX))
+
+
+def prefix_counts(df: DataFrame, row_id: str, seed: int | str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., _b, _k): rows per hash prefix; at most 16 ** PREFIX rows per group."""
+    return _hashed(df, row_id, seed, by).groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
+
+
+def cut_hash(
+    df: DataFrame,
+    row_id: str,
+    size: Column,
+    seed: int | str,
+    by: Sequence[str] = (),
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """(by..., _cut): hash of the ``size``-th row of each group; no row when size < 1.
 
     ``size`` is an expression over ``_n``, the size of the group."""
     by = list(by)
-    hashed = df.select(*by, hash_order(row_id, seed).alias("_h")).withColumn("_b", F.substring("_h", 1, PREFIX))
-    counts = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    counts = prefix_counts(df, row_id, seed, by) if counts is None else counts
     group = Window.partitionBy(*(by or [F.lit(1)]))
     placed = counts.withColumns(
         {"_n": F.sum("_k").over(group), "_before": F.sum("_k").over(group.orderBy("_b")) - F.col("_k")}
@@ -38,6 +54,7 @@ def cut_hash(df: DataFrame, row_id: str, size: Column, seed: int | str, by: Sequ
     bucket = placed.filter("_before < _want AND _want <= _before + _k").select(
         *by, "_b", (F.col("_want") - F.col("_before")).alias("_rank")
     )
+    hashed = _hashed(df, row_id, seed, by)
     if by:
         inside = lookup_join(hashed, bucket, [*by, "_b"])
     else:
@@ -62,13 +79,16 @@ def sample_balanced(
     ``size`` is the total to share out, by default the size of the smallest class.
     ``divide_by`` defaults to the number of classes; pass 2 for the halving rule."""
     df = df.filter(F.col(label).isNotNull())
-    per_class = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    facts = per_class.agg(
-        F.struct(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("classes")).alias("f")
-    ).scalar()
+    counts = settle(prefix_counts(df, row_id, seed, [label]))
+    facts = (
+        counts.groupBy(label)
+        .agg(F.sum("_k").alias("_n"))
+        .agg(F.struct(F.min("_n").alias("smallest"), F.count(F.lit(1)).alias("classes")).alias("f"))
+        .scalar()
+    )
     total = F.lit(size) if size is not None else facts.getField("smallest")
     parts = F.lit(divide_by) if divide_by is not None else facts.getField("classes")
-    cuts = cut_hash(df, row_id, F.floor(total / parts), seed, [label])
+    cuts = cut_hash(df, row_id, F.floor(total / parts), seed, [label], counts)
     return lookup_join(df, cuts, [label]).filter(hash_order(row_id, seed) <= F.col("_cut")).drop("_cut")
 
 

@@ -12,47 +12,56 @@ from cellframe.operators.sampling import cut_hash, hash_order
 from cellframe.spark import lookup_join
 
 
-def _label(k: Column, lo: Column, size: float) -> Column:
-    """Text of block ``k``; cells on the low edge or past the last break share ``NA``."""
-    edge = F.format_string("(%.2f,%.2f]", lo + (k - 1) * F.lit(float(size)), lo + k * F.lit(float(size)))
-    return F.when(k.isNull(), F.lit("NA")).otherwise(edge)
-
-
-def add_blocks(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Add ``x_grid`` and ``y_grid`` labels of blocks ``size`` wide, counted from the
-    smallest coordinates of the frame itself."""
-    span = df.agg(
+def _extent(df: DataFrame, x: str, y: str) -> Column:
+    return df.agg(
         F.struct(
             F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")
         ).alias("s")
     ).scalar()
-    df = df.withColumn("_s", span)
-    kx = step_index(F.col(x), F.col("_s.x0"), F.col("_s.x1"), size)
-    ky = step_index(F.col(y), F.col("_s.y0"), F.col("_s.y1"), size)
-    return df.withColumns(
-        {"x_grid": _label(kx, F.col("_s.x0"), size), "y_grid": _label(ky, F.col("_s.y0"), size)}
-    ).drop("_s")
 
 
-def block_numbers(df: DataFrame) -> DataFrame:
-    """(x_grid, y_grid, grid_id): the blocks that occur, numbered 1.. in text order.
+def _label(k: str, lo: Column, size: float) -> Column:
+    """Text of block ``k``; cells on the low edge or past the last break share ``NA``."""
+    edge = F.format_string("(%.2f,%.2f]", lo + (F.col(k) - 1) * F.lit(float(size)), lo + F.col(k) * F.lit(float(size)))
+    return F.when(F.col(k) == 0, F.lit("NA")).otherwise(edge)
+
+
+def block_numbers(places: DataFrame, extent: Column, size: float) -> DataFrame:
+    """(_kx, _ky, x_grid, y_grid, grid_id): the blocks that occur, labelled and numbered
+    from 1 in text order.
 
     Numbered within each x label first and offset by the labels before it, so only the
     per-label totals (one per block column of the map) meet in one place."""
-    blocks = df.select("x_grid", "y_grid").distinct()
+    blocks = places.select("_kx", "_ky").distinct().withColumn("_s", extent)
+    blocks = blocks.select(
+        "_kx",
+        "_ky",
+        _label("_kx", F.col("_s.x0"), size).alias("x_grid"),
+        _label("_ky", F.col("_s.y0"), size).alias("y_grid"),
+    )
     inner = blocks.withColumn("_k", F.row_number().over(Window.partitionBy("x_grid").orderBy("y_grid")))
     sizes = blocks.groupBy("x_grid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         "x_grid",
         (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("x_grid")) - F.col("_n")).alias("_before"),
     )
-    return inner.join(offsets, "x_grid").select("x_grid", "y_grid", (F.col("_k") + F.col("_before")).alias("grid_id"))
+    return inner.join(offsets, "x_grid").select(
+        "_kx", "_ky", "x_grid", "y_grid", (F.col("_k") + F.col("_before")).alias("grid_id")
+    )
 
 
 def with_block_ids(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Add x_grid, y_grid and grid_id."""
-    df = add_blocks(df, size, x, y)
-    return lookup_join(df, block_numbers(df), ["x_grid", "y_grid"])
+    """Add x_grid, y_grid and grid_id of blocks ``size`` wide, counted from the smallest
+    coordinates of the frame itself.
+
+    Rows only get two small integers; labels are made per block."""
+    extent = _extent(df, x, y)
+    placed = df.withColumn("_s", extent)
+    for axis, v in (("x", x), ("y", y)):
+        k = step_index(F.col(v), F.col(f"_s.{axis}0"), F.col(f"_s.{axis}1"), size)
+        placed = placed.withColumn(f"_k{axis}", F.coalesce(k, F.lit(0)))
+    placed = placed.drop("_s")
+    return lookup_join(placed, block_numbers(placed, extent, size), ["_kx", "_ky"]).drop("_kx", "_ky")
 
 
 def split_blocks(
