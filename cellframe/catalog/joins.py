@@ -26,6 +26,7 @@ from cellframe.operators import stack as S
 from cellframe.operators.density import density
 from cellframe.plans import forests as FO
 from cellframe.plans import layers as L
+from cellframe.spark import settle
 
 
 @query(
@@ -107,7 +108,7 @@ def dead_fraction_density(spark, sf):
     long = flags.unpivot(
         ["site_code", "dead_fraction"], ["damage_survey_years", "damage_lidar"], "variable", "damage"
     ).dropna()
-    return rounded(density(long, "dead_fraction", ["variable", "damage"]), "x", "density")
+    return rounded(density(settle(long), "dead_fraction", ["variable", "damage"]), "x", "density")
 
 
 @query(

@@ -1,21 +1,23 @@
 """Exact quantiles with linear interpolation that never hold a group in one place.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here a
-bounded sketch first brackets each wanted rank; one more pass counts what lies below the
-bracket and keeps, as (value, count) pairs, only what lies inside it. The rank is then
-read off that sliver.
+Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here
+sketches bracket each wanted rank first. A second pass counts what lies below the bracket
+and, by value, what lies inside it; the inside is cut into equal bins, the bin that holds
+the rank is found from the bin totals, and the value is read off within that bin.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.spark import lookup_join, settle
 
-ACCURACY = 20_000
+ACCURACY = 2000
+SHARES = 64  # sketches of a group are merged in this many shares
+BINS = 4096
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -24,71 +26,99 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     return wide.unpivot(list(by), list(cols), "name", "_v").filter("_v IS NOT NULL")
 
 
+def _brackets(values: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """(keys..., _n, _brackets): for each p an interval that holds its rank.
+
+    The sketches of a group are merged in shares of its tasks, not in one place. The
+    smallest low end and the largest high end of the shares bracket the whole group
+    whatever went into which share, and closely so because shares are spread evenly."""
+    margin = 2.0 / accuracy
+    ends = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probs]
+    wanted = sorted({q for pair in ends for q in pair})
+    at = {q: i + 1 for i, q in enumerate(wanted)}
+    shares = (
+        values.withColumn("_share", F.spark_partition_id() % SHARES)
+        .groupBy(*keys, "_share")
+        .agg(F.count("_v").alias("_n"), F.percentile_approx("_v", wanted, accuracy).alias("_q"))
+    )
+    bracket = [
+        F.struct(
+            F.lit(float(p)).alias("p"),
+            F.min(F.element_at("_q", at[lo])).alias("_lo"),
+            F.max(F.element_at("_q", at[hi])).alias("_hi"),
+        )
+        for p, (lo, hi) in zip(probs, ends)
+    ]
+    return shares.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.array(*bracket).alias("_brackets"))
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY
 ) -> DataFrame:
-    """Long table (by..., name, p, value): the quantile at ``(n - 1) p``, interpolated."""
-    by = list(by)
+    """Long table (by..., name, p, value): the quantile at ``(n - 1) p``, interpolated.
+
+    Rows whose group is NULL are left out."""
     keys = [*by, "name"]
+    group = [*keys, "p"]
     values = long_values(df, cols, by)
-    margin = 2.0 / accuracy
-    wanted = sorted({q for p in probs for q in (max(p - margin, 0.0), min(p + margin, 1.0))})
-    at = {q: i + 1 for i, q in enumerate(wanted)}
-    bracket = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("p"),
-                F.element_at("_q", at[max(p - margin, 0.0)]).alias("_lo"),
-                F.element_at("_q", at[min(p + margin, 1.0)]).alias("_hi"),
-            )
-            for p in probs
-        ]
-    )
-    brackets = (
-        values.groupBy(*keys)
-        .agg(F.count("_v").alias("_n"), F.percentile_approx("_v", [float(q) for q in wanted], accuracy).alias("_q"))
-        .select(*keys, "_n", bracket.alias("_brackets"))
-    )
-    # without groups there is one row per named column, which bounds the broadcast
-    tagged = values.join(F.broadcast(brackets), keys) if not by else lookup_join(values, brackets, keys)
+    # both settled: small, and what follows must see one and the same bracket and sliver
+    brackets = settle(_brackets(values, keys, probs, accuracy))
+    tagged = lookup_join(values, brackets, keys, settled=True)
     tagged = tagged.select(*keys, "_n", "_v", F.inline("_brackets").alias("p", "_lo", "_hi"))
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    slivers = tagged.groupBy(*keys, "p", "_n", F.when(inside, F.col("_v")).alias("_v")).agg(
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    inside = v.between(lo, hi)
+    place = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * BINS), F.lit(BINS - 1))).otherwise(0)
+    slivers = tagged.groupBy(*group, "_n", F.when(inside, place).alias("_bin"), F.when(inside, v).alias("_v")).agg(
         F.count(F.lit(1)).alias("_k"),
-        F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_n_below"),
-        F.max(F.when(F.col("_v") < F.col("_lo"), F.col("_v"))).alias("_last_below"),
-        F.min(F.when(F.col("_v") > F.col("_hi"), F.col("_v"))).alias("_first_above"),
+        F.count_if(v < lo).alias("_below"),
+        F.max(F.when(v < lo, v)).alias("_last_below"),
+        F.min(F.when(v > hi, v)).alias("_first_above"),
     )
-    group = Window.partitionBy(*keys, "p")
-    ordered = group.orderBy(F.col("_v").asc_nulls_first())
-    ranked = slivers.withColumns(
-        {
-            "_n_below": F.sum("_n_below").over(group),
-            "_last_below": F.max("_last_below").over(group),
-            "_first_above": F.min("_first_above").over(group),
-            "_up_to": F.sum(F.when(F.col("_v").isNotNull(), F.col("_k")).otherwise(0)).over(ordered),
-            "_in": F.sum(F.when(F.col("_v").isNotNull(), F.col("_k"))).over(group),
-        }
-    ).withColumns({"_up_to": F.col("_up_to") + F.col("_n_below"), "_h": (F.col("_n") - 1) * F.col("p")})
-
-    def order_statistic(rank: Column) -> Column:
-        """Value with 0-based ``rank``: the first one whose running count passes it."""
-        found = F.min(F.when(F.col("_v").isNotNull() & (F.col("_up_to") > rank), F.col("_v")))
-        below, top = F.first("_n_below"), F.first("_n_below") + F.first("_in")
-        r = F.first(rank)
-        return (
-            F.when((r >= below) & (r < top), found)
-            .when(r == below - 1, F.first("_last_below"))
-            .when(r == top, F.first("_first_above"))
-            .otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
+    slivers = settle(slivers)
+    # bins: at most BINS + 1 rows per quantile, the NULL bin being all that lies outside
+    whole = Window.partitionBy(*group)
+    in_bin = F.when(F.col("_bin").isNotNull(), F.col("_k")).otherwise(0)
+    h = (F.col("_n") - 1) * F.col("p")
+    bins = (
+        slivers.groupBy(*group, "_n", "_bin")
+        .agg(
+            F.sum("_k").alias("_k"),
+            F.sum("_below").alias("_below"),
+            F.max("_last_below").alias("_last_below"),
+            F.min("_first_above").alias("_first_above"),
+        )
+        .withColumns({"_below": F.sum("_below").over(whole), "_in": F.sum(in_bin).over(whole)})
+        .withColumn("_before", F.col("_below") + F.sum(in_bin).over(whole.orderBy(F.col("_bin").asc_nulls_first())) - in_bin)
+        .select("*", F.posexplode(F.array(F.floor(h), F.ceil(h))).alias("_end", "_rank"))
+    )
+    rank, below = F.col("_rank"), F.col("_below")
+    hits = bins.filter("_bin IS NOT NULL AND _before <= _rank AND _rank < _before + _k").select(
+        *group, "_n", "_end", "_bin", (rank - F.col("_before")).alias("_nth")
+    )
+    running = Window.partitionBy(*group, "_end").orderBy("_v")
+    found = (
+        slivers.select(*group, "_bin", "_v", "_k")
+        .join(hits, [*group, "_bin"])
+        .withColumn("_up_to", F.sum("_k").over(running))
+        .filter("_up_to > _nth")
+        .groupBy(*group, "_n", "_end")
+        .agg(F.min("_v").alias("_v"))
+    )
+    # with few rows the rank may be the neighbour just outside the bracket
+    edge = F.when(rank == below - 1, F.col("_last_below")).when(rank == below + F.col("_in"), F.col("_first_above"))
+    outside = bins.filter("_bin IS NULL").select(*group, "_n", "_end", edge.alias("_v")).filter("_v IS NOT NULL")
+    out = (
+        found.unionByName(outside)
+        .groupBy(*group, "_n")
+        .agg(
+            F.count("_v").alias("_ends"),
+            F.max(F.when(F.col("_end") == 0, F.col("_v"))).alias("_a"),
+            F.max(F.when(F.col("_end") == 1, F.col("_v"))).alias("_b"),
         )
-
-    out = ranked.groupBy(*keys, "p", "_n").agg(
-        order_statistic(F.floor("_h")).alias("_a"),
-        order_statistic(F.ceil("_h")).alias("_b"),
     )
-    part = (F.col("_n") - 1) * F.col("p") - F.floor((F.col("_n") - 1) * F.col("p"))
-    return out.select(*keys, "p", (F.col("_a") + part * (F.col("_b") - F.col("_a"))).alias("value"))
+    value = F.col("_a") + (h - F.floor(h)) * (F.col("_b") - F.col("_a"))
+    unsure = F.raise_error(F.lit("rank outside its bracket")).cast("double")
+    return out.select(*group, F.when(F.col("_ends") == 2, value).otherwise(unsure).alias("value"))
 
 
 def quantiles_wide(
