@@ -175,10 +175,10 @@ def cover_gapfill_5(spark, sf):
     + " select cell_id, r, c, "
     + sql_r6("elev", "height")
     + """ from cells
-    where 320000 + (c + 5e-1) * 10 between 320300 and 320700 and 45e5 - (r + 5e-1) * 10 between 4499300 and 4499700"""
+    where 320000 + (c + 5e-1) * 10 between 320300 and 320700 and 45e5 - (r + 5e-1) * 10 between 4499600 and 4500000"""
 )
 def bbox_crop(spark, sf):
-    cropped = grid_for(spark, sf).crop(view(spark, sf, "cells"), 320300, 320700, 4499300, 4499700)
+    cropped = grid_for(spark, sf).crop(view(spark, sf, "cells"), 320300, 320700, 4499600, 4500000)
     return rounded(cropped.select("cell_id", "r", "c", "elev", "height"), "elev", "height")
 
 

@@ -142,12 +142,12 @@ def block_semi_anti(spark, sf):
     ctes("cells", "damage_year")
     + """, b as (select distinct cast((r - r % 20) / 20 * 5 + (c - c % 20) / 20 as bigint) as grid_id from cells)
     select grid_id from b except select cast((r - r % 20) / 20 * 5 + (c - c % 20) / 20 as bigint) from cells c
-    join damage_year d on d.cell_id = c.cell_id where d.year = 1996 and c.cover = 0 and c.height > 20"""
+    join damage_year d on d.cell_id = c.cell_id where d.year = 1996 and c.cover = 0 and c.height > 27"""
 )
 def block_difference(spark, sf):
     block = F.floor(F.col("r") / 20) * 5 + F.floor(F.col("c") / 20)
     cells = view(spark, sf, "cells").withColumn("grid_id", block)
-    hit = cells.filter("cover = 0 AND height > 20").join(
+    hit = cells.filter("cover = 0 AND height > 27").join(
         view(spark, sf, "damage_year").filter("year = 1996"), "cell_id"
     )
     return SB.block_lists(cells.select("grid_id").distinct(), hit.select("grid_id").distinct())
@@ -179,10 +179,10 @@ def param_grid(spark, sf):
     ctes("sites")
     + """ select site_code, lower(ploidy) as ploidy, """
     + sql_r6("x", "y")
-    + " from sites where x between 320300 and 320700 and y between 4499300 and 4499700"
+    + " from sites where x between 320300 and 320700 and y between 4499600 and 4500000"
 )
 def ground_points_inset(spark, sf):
-    inside = X.in_window(view(spark, sf, "sites"), "x", "y", 320500.0, 4499500.0, 200.0)
+    inside = X.in_window(view(spark, sf, "sites"), "x", "y", 320500.0, 4499800.0, 200.0)
     return inside.select("site_code", F.lower("ploidy").alias("ploidy"), r6("x").alias("x"), r6("y").alias("y"))
 
 
@@ -192,13 +192,13 @@ def ground_points_inset(spark, sf):
     m as (select r, c, 320000 + (c + 5e-1) * 10 as x, 45e5 - (r + 5e-1) * 10 as y, {CYTOTYPE_SQL} as cytotype,
         case when dh >= -1e2 then case when dh < -3 then 1e0 else 0e0 end end as lidar, height from full_cells)
     select x, y, 'damage_lidar' as variable, lidar as value from m
-      where cytotype is not null and lidar is not null and x between 320200 and 320800 and y between 4499200 and 4499800
+      where cytotype is not null and lidar is not null and x between 320200 and 320800 and y between 4499400 and 4500000
     union all select x, y, 'height', round(height, 6) + 0e0 from m
-      where cytotype is not null and x between 320200 and 320800 and y between 4499200 and 4499800"""
+      where cytotype is not null and x between 320200 and 320800 and y between 4499400 and 4500000"""
 )
 def map_extract_inset(spark, sf):
     g = grid_for(spark, sf)
-    cells = g.crop(full_cells(spark, sf), 320200, 320800, 4499200, 4499800)
+    cells = g.crop(full_cells(spark, sf), 320200, 320800, 4499400, 4500000)
     cyto = L.cytotype(F.col("cyto_raw"), F.col("cover"), F.col("shade"))
     df = cells.select(
         "r",

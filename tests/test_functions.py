@@ -58,7 +58,7 @@ def scalar_bin(v, breaks):
     return None
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.sampled_from(B.ELEVATION_BREAKS), st.floats(2500, 3700)), min_size=1, max_size=20))
 def test_right_closed_bins(spark, values):
     want = [scalar_bin(v, B.ELEVATION_BREAKS) for v in values]
@@ -73,7 +73,7 @@ def test_bin_labels(spark):
     assert column(spark, [-0.7], lambda v: B.bin_label(v, B.COS_ASPECT_BREAKS)) == ["(-1,-0.5]"]
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(
     st.floats(-1e5, 1e5),
     st.sampled_from([0.1, 0.3, 1.0, 7.0, 100.0]),

@@ -42,7 +42,7 @@ def test_coarsen_keeps_partial_blocks():
     assert (g.nrow, g.ncol, g.xres, g.yres) == (6, 4, 70.0, 140.0)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(-30, 30), st.integers(-5, 40)), min_size=1, max_size=5), st.integers(1, 9))
 def test_explode_range(spark, pairs, chunk):
     df = spark.createDataFrame([(i, a, a + n) for i, (a, n) in enumerate(pairs)], "i int, a int, b int")

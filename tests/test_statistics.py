@@ -16,7 +16,7 @@ from cellframe.operators import tables as T
 # quantiles ----------------------------------------------------------------------------
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(
     st.lists(st.one_of(st.none(), st.integers(0, 4), st.floats(-1e6, 1e6)), min_size=1, max_size=40).filter(
         lambda v: any(x is not None for x in v)
