@@ -53,7 +53,7 @@ def density(
     bw = bandwidths(df, "_v", by)
     if limits is not None:
         bw = bw.withColumns({"_lo": F.lit(float(limits[0])), "_hi": F.lit(float(limits[1]))})
-    bw = settle(bw.select(*by, "_n", "_bw", "_lo", "_hi"))
+    bw = settle(bw.select(*by, "_n", "_bw", "_lo", "_hi"), small=True)
     last = F.lit(points - 1)
     step = (F.col("_hi") - F.col("_lo")) / last.cast("double")
     x = F.col("_lo") + F.col("i") * step

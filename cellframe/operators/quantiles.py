@@ -62,7 +62,7 @@ def exact_quantiles(
     group = [*keys, "p"]
     values = long_values(df, cols, by)
     # both settled: small, and what follows must see one and the same bracket and sliver
-    brackets = settle(_brackets(values, keys, probs, accuracy))
+    brackets = settle(_brackets(values, keys, probs, accuracy), small=True)
     tagged = lookup_join(values, brackets, keys, settled=True)
     tagged = tagged.select(*keys, "_n", "_v", F.inline("_brackets").alias("p", "_lo", "_hi"))
     v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")

@@ -79,7 +79,7 @@ def sample_balanced(
     ``size`` is the total to share out, by default the size of the smallest class.
     ``divide_by`` defaults to the number of classes; pass 2 for the halving rule."""
     df = df.filter(F.col(label).isNotNull())
-    counts = settle(prefix_counts(df, row_id, seed, [label]))
+    counts = settle(prefix_counts(df, row_id, seed, [label]), small=True)
     facts = (
         counts.groupBy(label)
         .agg(F.sum("_k").alias("_n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder: later uses read files, so a lost
-    executor costs a re-read and repeated uses see the very same rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, small: bool = False) -> DataFrame:
+    """Compute once into the shared checkpoint folder.
+
+    It cuts the lineage, so a lost executor costs a re-read, and repeated uses see the very
+    same rows. A frame becomes a parquet table: later uses read only the columns they need,
+    and Spark sees its real size. ``small`` lookups take the lighter plain checkpoint."""
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if small:
+        return df.checkpoint(eager=True)
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lookup_join(
@@ -50,7 +59,7 @@ def lookup_join(
     within ``max_rows``.
     Beyond that Spark picks a shuffled join, where AQE splits hot keys."""
     if not settled:
-        lookup = settle(lookup)
+        lookup = settle(lookup, small=True)
     if lookup.count() <= max_rows:
         lookup = F.broadcast(lookup)
     return df.join(lookup, list(on), how)

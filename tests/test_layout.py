@@ -68,3 +68,17 @@ def test_lookup_join_without_broadcast_is_the_same(spark):
     b = lookup_join(d, small, ["k"], max_rows=3).select("r", "c", "m")
     assert rows(a) == rows(b)
     assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settled_tables_live_in_the_named_folder(spark):
+    from cellframe.spark import checkpoint_dir, settle
+
+    folder = checkpoint_dir(spark)
+    d = base(spark).withColumn("u", F.rand())
+    for small in (False, True):
+        s = settle(d, small)
+        assert rows(s) == rows(s) and s.count() == 600
+        assert s.schema.fieldNames() == d.schema.fieldNames()
+    assert folder.removeprefix("file:") in settle(d).filter("r = 3").inputFiles()[0]
+    empty = settle(d.filter("r < 0"))
+    assert empty.count() == 0 and empty.columns == d.columns
