@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -14,7 +14,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,8 +223,3 @@ def run_class_experiment(
     sampled = sample_balanced(frame, "cell_id", label, seed, divide_by=2)
     train, test = split_frame(sampled, xvars, label, seed)
     return class_stats(fit_probability(train, test, xvars, label, seed, trees, depth))
-
-
-def result_rows(spark: SparkSession, rows: Sequence[Mapping]) -> DataFrame:
-    """Result table from plain records, e.g. of fits made one by one."""
-    return spark.createDataFrame([tuple(r.get(f.name) for f in RESULT_SCHEMA.fields) for r in rows], RESULT_SCHEMA)
