@@ -8,10 +8,12 @@ coordinate with probability equal to their weighted Jaccard similarity, sum of m
 one hash a shingle plus the darts, whatever COORDINATES is.
 
 Documents with equal words are one node. Nodes meet in bands of ROWS coordinates. No bucket is expanded into all pairs:
-each bucket's most central node (the one in the largest buckets) is compared with the others, twice over with another
-centre for what it did not join; then nodes that still stand apart from others of their bucket are compared with them
-in blocks by signature. Candidates are verified exactly on their shingles, and links of THRESHOLD or more join classes.
-With 20 bands of 4, a pair at similarity 0.8 meets with probability 0.99997.
+the most central node of a bucket (the one in the largest buckets) is its pivot, and the nodes that share a bucket with a
+pivot are its family. First each pivot is compared with its family, then the members that the links so far leave outside
+the pivot's class are compared with all of the family. So every pair that shares a bucket is linked, found in one class or
+compared. A family is read in blocks of bounded size, and similarities are exact, on whole texts; only signatures that are
+4.5 deviations below THRESHOLD are passed over. Links of THRESHOLD or more join classes. With 20 bands of 4, a pair at
+similarity 0.8 meets with probability 0.99997.
 
 The class id is the smallest doc_id of the class. Texts with fewer words than a shingle are one shingle; null texts and
 texts without words are classes of their own; rows with equal text, equal or null ids share a class; an empty table
@@ -38,8 +40,8 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 4)
 #: Share of equal coordinates below which a pair is not verified: 4.5 deviations below THRESHOLD.
 LEAST_EQUAL = 0.6
-#: Nodes of a bucket that stand in one block.
-BLOCK = 512
+#: Nodes of a family that stand in one block.
+BLOCK = 1024
 #: Largest set of row numbers, 8 bytes each, that is sent to every task.
 MAX_BROADCAST_ROWS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -129,11 +131,14 @@ def _bag(text: str) -> bytes:
     return np.sort(cells(*shingles(w))).tobytes()
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two bags of cells."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sorted bags of cells; 0 where their sizes keep it below THRESHOLD."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if len(small) < THRESHOLD * len(large) or not len(small):
+        return 0.0  # below THRESHOLD whatever they share
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return both / (len(x) + len(y) - both)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -161,58 +166,32 @@ def _nodes(rows: DataFrame, some: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(some) if some.count() <= MAX_BROADCAST_ROWS else some, "rid", "left_semi")
 
 
-def _likely(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in LEAST_EQUAL of the coordinates."""
-    sig = signs.select("rid", "sig")
-    both = pairs.join(sig.select(F.col("rid").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("rid").alias("a"), F.col("sig").alias("sa")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= LEAST_EQUAL))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of numbered rows with similarity of THRESHOLD or more, from their whole texts."""
-    pairs = settle(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-
-    def start():
-        return lambda rid, text: [(rid, _bag(text))]
-
-    bags = settle(map_rows(_nodes(rows.select("rid", "text"), ids), "rid long, bag binary", start))
-    both = pairs.join(bags.select(F.col("rid").alias("b"), F.col("bag").alias("y")), "b").join(bags.select(F.col("rid").alias("a"), F.col("bag").alias("x")), "a")
-
-    def compare():
-        return lambda a, b, x, y: [(a, b, s)] if (s := similarity(x, y)) >= THRESHOLD else []
-
-    return map_rows(both.select("a", "b", "x", "y"), "a long, b long, similarity double", compare, 64)
-
-
-def _apart(members: DataFrame, signs: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of a bucket's nodes of different components: every node outside the centre's component against
-    all of its bucket, in blocks of BLOCK nodes."""
-    size = members.groupBy("key").agg(F.count("*").alias("n"))
-    sig = signs.select("rid", "sig")
-    m = members.join(size, "key").join(sig, "rid")
+def _links(family: DataFrame, asked: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links (a, b) between asked (pivot, rid, comp) and all nodes of the pivot's family (pivot, rid, comp) of other
+    components, of each asked node one to a component and block."""
+    size = family.groupBy("pivot").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = m.select("key", F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block"), "rid", "comp", "sig")
-    asked = m.filter("comp != centre").select(F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *(F.col(c).alias(c) for c in ("key", "rid", "comp", "sig")))
+    held = family.join(size, "pivot").withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).drop("n").join(bags, "rid")
+    spread = asked.join(size, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n").join(bags, "rid")
+    spread = spread.select(*(F.col(c).alias(f"q_{c}") for c in ("pivot", "block", "rid", "comp", "sig", "bag")))
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(q) and len(r):
-            y = np.frombuffer(b"".join(r["sig"]), np.uint32).reshape(-1, COORDINATES)
             ids, comps = r["rid"].to_numpy(), r["comp"].to_numpy()
-            for rid, comp, s in zip(q["rid"], q["comp"], q["sig"], strict=True):
-                near = (comps != comp) & ((y == np.frombuffer(s, np.uint32)).mean(1) >= LEAST_EQUAL)
-                out += [(min(rid, x), max(rid, x)) for x in ids[near].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            signs = np.frombuffer(b"".join(r["sig"]), np.uint32).reshape(-1, COORDINATES)
+            sets = [np.frombuffer(x, np.uint64) for x in r["bag"]]
+            for rid, comp, sig, bag in zip(q["q_rid"], q["q_comp"], q["q_sig"], q["q_bag"], strict=True):
+                near = np.flatnonzero((comps != comp) & ((signs == np.frombuffer(sig, np.uint32)).mean(1) >= LEAST_EQUAL))
+                x, joined = np.frombuffer(bag, np.uint64), set()
+                for k in near.tolist():
+                    if comps[k] not in joined and similarity(x, sets[k]) >= THRESHOLD:
+                        joined.add(comps[k])
+                        out.append((min(rid, int(ids[k])), max(rid, int(ids[k]))))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return asked.groupBy("key", "block").cogroup(rows.groupBy("key", "block")).applyInPandas(compare, "a long, b long")
+    found = spread.groupBy("q_pivot", "q_block").cogroup(held.groupBy("pivot", "block")).applyInPandas(compare, "a long, b long")
+    return settle(found.distinct())
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,33 +206,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = nodes.select("rid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = settle(keys.join(shared, "key"))
-    central = members.groupBy("rid").agg(F.sum("n").alias("weight"))
-    members = settle(members.select("key", "rid").join(central, "rid"))
-    heaviest = F.max_by("rid", F.struct("weight", -F.col("rid")))
+    weight = settle(members.groupBy("rid").agg(F.sum("n").alias("weight")))
+
+    def start():
+        return lambda rid, text: [(rid, _bag(text))]
+
+    bags = map_rows(_nodes(rows.select("rid", "text"), weight.select("rid")), "rid long, bag binary", start)
+    bags = settle(bags.join(nodes.select("rid", "sig"), "rid"))
+    heavy = members.select("key", "rid").join(weight, "rid")
+    pivots = heavy.groupBy("key").agg(F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("pivot"))
+    family = settle(members.select("key", "rid").join(pivots, "key").select("pivot", "rid").distinct())
     ids = nodes.select(F.col("rid").alias("node"))
-    comp = None
-    links = None
-    now = members
-    for _ in range(2):  # with the most central node, then with another for what stands apart from it
-        if comp is not None:
-            now = members.join(comp.withColumnRenamed("node", "rid"), "rid")
-            centre = now.groupBy("key").agg(F.max_by("comp", F.struct("weight", -F.col("rid"))).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-            now = settle(now.join(centre.select("key", "centre"), "key"))
-            heart = now.filter("comp != centre").groupBy("key").agg(heaviest.alias("a"), F.max_by("comp", F.struct("weight", -F.col("rid"))).alias("ca"))
-            pairs = now.join(heart, "key").filter("comp != ca")
-        else:
-            pairs = now.join(now.groupBy("key").agg(heaviest.alias("a")), "key").filter("rid != a")
-        pairs = settle(pairs.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct())
-        found = settle(_verified(_likely(pairs, nodes), rows))
-        links = found if links is None else settle(links.unionByName(found))
-        comp = settle(components(ids, links))
-    now = members.join(comp.withColumnRenamed("node", "rid"), "rid")
-    centre = now.groupBy("key").agg(F.max_by("comp", F.struct("weight", -F.col("rid"))).alias("centre"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-    left = settle(now.join(centre.select("key", "centre"), "key"))
-    if left.limit(1).count():
-        found = settle(_verified(_apart(left, nodes), rows))
-        if found.limit(1).count():
-            comp = settle(components(ids, links.unionByName(found)))
+    single = family.withColumn("comp", F.col("rid"))
+    links = _links(single, single.filter("pivot = rid"), bags)
+    comp = settle(components(ids, links))
+    of_node = comp.withColumnRenamed("node", "rid")
+    placed = family.join(of_node, "rid").join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("centre")), "pivot")
+    outside = placed.filter("comp != centre")
+    split = settle(placed.join(outside.select("pivot").distinct(), "pivot", "left_semi"))
+    if split.limit(1).count():
+        more = _links(split.select("pivot", "rid", "comp"), split.filter("comp != centre").select("pivot", "rid", "comp"), bags)
+        if more.limit(1).count():
+            comp = settle(components(ids, links.unionByName(more)))
     of_rows = copies.join(comp.select(F.col("node").alias("node"), "comp"), "node").select("rid", "comp")
     alone = signs.filter("weight = 0").select("rid", F.col("rid").alias("comp"))
     return rows, of_rows.unionByName(alone)
