@@ -3,8 +3,12 @@
 from pyspark.sql import functions as F
 
 from cellframe.catalog.base import (
+    BLOCK,
     CYTOTYPE_SQL,
     FULL_SQL,
+    STACK_SQL,
+    TERRAIN_SQL,
+    TILE,
     YEARS,
     ctes,
     full_cells,
@@ -18,8 +22,8 @@ from cellframe.catalog.base import (
 )
 from cellframe.functions import algebra as A
 from cellframe.operators import polygons as P
-from cellframe.operators import quantiles as Q
 from cellframe.operators import stack as S
+from cellframe.plans import forests as FO
 from cellframe.plans import layers as L
 from cellframe.sources.readers import normalize_polygons
 
@@ -33,7 +37,7 @@ from cellframe.sources.readers import normalize_polygons
       cross join (values ('in_cover'), ('out_cover')) v(variable)
       left join (
         select d.cell_id, min(d.year) as year, case when any_value(c.cover) = 0 then 'in_cover' else 'out_cover' end as variable
-        from damage_year d join cells c on c.cell_id = d.cell_id group by d.cell_id) f
+        from damage_year d join cells c on c.cell_id = d.cell_id where c.elev is not null group by d.cell_id) f
         on f.year = y.year and f.variable = v.variable
       group by y.year, v.variable) t"""
 )
@@ -192,7 +196,9 @@ def recode_classes(spark, sf):
     return view(spark, sf, "attrs").select("cell_id", A.recode_threshold(raw, 0.5, "diploid", "triploid").alias("cytotype"))
 
 
-TRIM = ["trait_cwc", "trait_d13c", "trait_n", "elevation", "height"]
+TRIM = FO.TRIM
+#: What a row of the training frame must have besides.
+COMPLETE_SQL = " and ".join(f"{c} is not null" for c in ["diploid_fraction", "damage_survey", "damage_lidar", *TRIM])
 
 
 def _quantile_sql(column: str, p: str, source: str) -> str:
@@ -205,20 +211,16 @@ def _quantile_sql(column: str, p: str, source: str) -> str:
 
 @query(
     ctes("cells", "attrs")
-    + f""", {FULL_SQL},
-    frame as (
-      select cell_id, cwc as trait_cwc, trait_d13c, trait_n, elev as elevation, height
-      from full_cells where elev is not null and cwc is not null)
+    + f""", {FULL_SQL}, {TERRAIN_SQL}, {STACK_SQL}, frame as (select * from stack where {COMPLETE_SQL})
     select cell_id, {sql_r6(*TRIM)} from frame where """
     + " and ".join(
         f"{c} > {_quantile_sql(c, '1e-2', 'frame')} and {c} < {_quantile_sql(c, '99e-2', 'frame')}" for c in TRIM
     )
 )
 def quantile_trim(spark, sf):
-    df = full_cells(spark, sf).select(
-        "cell_id", F.col("cwc").alias("trait_cwc"), "trait_d13c", "trait_n", F.col("elev").alias("elevation"), "height"
-    )
-    return rounded(Q.trim_by_quantiles(df, TRIM), *TRIM)
+    g = grid_for(spark, sf)
+    cells = L.cell_table(L.layer_stack(full_cells(spark, sf), g, BLOCK, TILE), g)
+    return rounded(FO.training_frame(cells).select("cell_id", *TRIM), *TRIM)
 
 
 @query(

@@ -66,16 +66,16 @@ def experiment_grid(spark, sf):
     frame = _blocks(spark, sf)
     sizes = frame.agg(F.count(F.lit(1)).alias("np"))
     sets = FO.predictor_sets(without=["cyto", "trait"])
-    params = FO.parameter_grid(sizes, sets, [1, 2], ["diploid_fraction"])
+    params = FO.parameter_grid(sizes, sets, [1, 2, 3, 4, 5], ["diploid_fraction"])
     result = FO.run_experiment(frame, params, CHECK_TREES, parallelism=3)
-    return result.drop("importance", "runtime")
+    return result.drop("runtime")
 
 
 @query()
 def pdp_surface(spark, sf):
     frame = _cells(spark, sf)
     fit = _fit(frame, "damage_survey", "cyto+topo+trait+height")
-    train = frame.select(*fit.xvars).dropna()
+    train = FO.training_frame(frame).select(*fit.xvars)
     return PD.partial_dependence(fit.model, fit.xvars, train, PD.SURFACES["damage_survey"])
 
 

@@ -57,9 +57,9 @@ def point_extract(spark, sf):
     return rounded(out.select("site_code", "cell_id", "elev", "dh", "first_year"), "elev", "dh")
 
 
-def _site_damage(spark, sf):
+def _site_damage(spark, sf, years=(1998, 2001)):
     g = grid_for(spark, sf)
-    yearly = view(spark, sf, "damage_year").filter(F.col("year").between(1998, 2001)).withColumn("value", F.lit(1.0))
+    yearly = view(spark, sf, "damage_year").filter(F.col("year").between(*years)).withColumn("value", F.lit(1.0))
     composites = S.composite(yearly, ["cell_id"]).withColumns({"r": g.row_of(), "c": g.col_of()})
     heights = view(spark, sf, "attrs").select(g.row_of().alias("r"), g.col_of().alias("c"), "dh")
     return L.site_damage(view(spark, sf, "sites"), composites, heights, g)
@@ -68,7 +68,8 @@ def _site_damage(spark, sf):
 _SITE_DAMAGE_SQL = f"""{_AT_SQL},
     yc as (select cell_id, cast(count(*) as double) as n_years from damage_year where year between 1998 and 2001 group by cell_id),
     sd as (
-      select site_code, dead, ploidy, coalesce(n_years, 0) as damage_survey_years, coalesce(n_years, 0) > 0 as damage_survey,
+      select site_code, dead, ploidy, case when spot.r is not null and spot.c is not null then coalesce(n_years, 0) end as damage_survey_years,
+        coalesce(n_years, 0) > 0 as damage_survey,
         case when dh >= -1e2 then dh < -3 end as damage_lidar
       from spot left join yc on yc.cell_id = spot.r * 100 + spot.c + 1 left join attrs a on a.cell_id = spot.r * 100 + spot.c + 1)"""
 

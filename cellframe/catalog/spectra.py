@@ -74,15 +74,18 @@ def spectra_by_cytotype(spark, sf):
     return _both(long, "cytotype", ["nan", ""])
 
 
+_ANY_DAMAGE_SQL = _SITE_DAMAGE_SQL.replace(" where year between 1998 and 2001", "")
+
+
 @query(
     ctes("spectra", "sites", "attrs", "damage_year")
-    + f""", {_LONG_SQL}, {_SITE_DAMAGE_SQL}, d as (select wavelength, damage_survey, reflectance
+    + f""", {_LONG_SQL}, {_ANY_DAMAGE_SQL}, d as (select wavelength, damage_survey, reflectance
       from long left join sd using (site_code) where damage_survey is not null)"""
     + _summary_sql("damage_survey")
 )
 def spectra_by_damage(spark, sf):
     usable = view(spark, sf, "spectra").filter("shade = 1 AND cover = 0")
-    sites = _site_damage(spark, sf).select("site_code", "damage_survey")
+    sites = _site_damage(spark, sf, (1995, 2001)).select("site_code", "damage_survey")  # any year of the composite
     wavelength = F.lit(FIRST_BAND) + F.lit(BAND_STEP) * F.col("band")
     long = SP.to_bands(X.join_sites(usable, sites), ["damage_survey"], wavelength, "refl", SP.REFLECTANCE_SCALE, BAD)
     return _both(long, "damage_survey")

@@ -18,13 +18,14 @@ from cellframe.catalog.base import (
     view,
     ctes,
 )
-from cellframe.catalog.composites import TRIM, _quantile_sql
+from cellframe.catalog.composites import COMPLETE_SQL, TRIM, _quantile_sql
 from cellframe.functions import algebra as A
 from cellframe.functions import binning
 from cellframe.operators import quantiles as Q
 from cellframe.operators import sampling as M
 from cellframe.operators import spatial_blocks as SB
 from cellframe.operators import tables as T
+from cellframe.plans import forests as FO
 from cellframe.plans import layers as L
 from cellframe.plans import partial_dependence as PD
 from cellframe.plans.forests import modelling_frame
@@ -75,9 +76,7 @@ def area_by_bin_cosaspect(spark, sf):
 
 
 def _trimmed_sql() -> str:
-    frame = "frame as (select " + ", ".join(TRIM + ["cos_aspect"]) + " from model where " + " and ".join(
-        f"{c} is not null" for c in TRIM + ["cos_aspect"]
-    ) + ")"
+    frame = f"frame as (select * from model where {COMPLETE_SQL})"
     cond = " and ".join(
         f"{c} > {_quantile_sql(c, '1e-2', 'frame')} and {c} < {_quantile_sql(c, '99e-2', 'frame')}" for c in TRIM
     )
@@ -109,7 +108,8 @@ def _prevalence(spark, sf, x, y, label):
     if label:
         df = df.withColumn("cytotype", A.recode_threshold(F.col("diploid_fraction"), 0.5, "diploid", "triploid"))
         by = ["cytotype"]
-    trimmed = Q.trim_by_quantiles(df.select(*TRIM, "cos_aspect"), TRIM, reread=True)
+    # small test blocks are rarely half covered: any cover counts here
+    trimmed = FO.training_frame(df, 0.0, reread=True)
     return rounded(PD.prevalence(df, trimmed, x, y, by), f"{x}_bin", f"{y}_bin", "sqrt_share")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellframe.operators.confusion import regression_stats, threshold_stats
+from cellframe.operators.quantiles import trim_by_quantiles
 from cellframe.operators.sampling import sample_balanced, sample_rows
 from cellframe.operators.spatial_blocks import complete_columns, split_blocks, with_block_ids
 from cellframe.spark import settle
@@ -55,6 +56,18 @@ RESULT_SCHEMA = T.StructType(
 )
 
 
+#: Columns whose extreme percents are cut off before partial dependence and break points.
+TRIM = ["trait_cwc", "trait_d13c", "trait_n", "elevation", "cos_aspect", "slope", "height"]
+
+
+def training_frame(frame: DataFrame, threshold: float = COVER_THRESHOLD, reread: bool = False) -> DataFrame:
+    """The rows that partial dependence and break points are taken over: enough cover, complete in every column but the
+    two unclipped damage ones, and within the 1 % and 99 % quantiles of all TRIM columns."""
+    clipped = F.when(F.col("damage_lidar").isNotNull(), F.col("damage_survey"))
+    df = frame.filter(F.col("cover_fraction") > threshold).withColumn("damage_survey_clipped", clipped).drop("damage_survey", "damage_lidar")
+    return trim_by_quantiles(df, TRIM, complete=["diploid_fraction", "damage_survey_clipped", *TRIM], reread=reread)
+
+
 def modelling_frame(table: DataFrame, block: float = BLOCK_METRES, threshold: float = COVER_THRESHOLD) -> DataFrame:
     """Modelling rows with block ids, enough cover, and the survey response clipped to the
     cells that also have height change. Blocks are numbered before the cover filter.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellframe.functions import algebra as A
 from cellframe.grid import Grid
-from cellframe.operators.blocks import TILE, block_mean, fill_from_block
+from cellframe.operators.blocks import TILE, block_aggregate, fill_from_block
 from cellframe.operators.focal import DEFAULT_TILE, add_terrain
 
 # Thresholds of the layer preparation.
@@ -115,10 +115,24 @@ def cell_table(stack: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
+#: Layers that say whether a cell has something: 1 or 0 in every cell of the grid.
+PRESENCE = ("cover_fraction", "damage_survey")
+
+
+def _cells_inside(block: str, size: int, factor: int) -> Column:
+    """Rows or columns of the grid in a block: fewer in the last one."""
+    return F.least(F.lit(factor), F.lit(size) - F.col(block) * factor)
+
+
 def modelling_table(stack: DataFrame, grid: Grid, factor: int = MODEL_CELLS) -> DataFrame:
     """Block means of the stack for the blocks that hold any target cover, with coordinates."""
     coarse = grid.coarsen(factor)
-    means = block_mean(stack, factor, [n for n in STACK if n != "cytotype_filled"])
+    names = [n for n in STACK if n != "cytotype_filled"]
+    aggregates = {n: F.avg(F.col(n).cast("double")) for n in names if n not in PRESENCE}
+    # presence is a share of the block's cells inside the grid, whether or not they have a row
+    aggregates |= {n: F.sum(F.col(n).cast("double")) for n in PRESENCE}
+    inside = _cells_inside("br", grid.nrow, factor) * _cells_inside("bc", grid.ncol, factor)
+    means = block_aggregate(stack, factor, aggregates).withColumns({n: F.col(n) / inside for n in PRESENCE}).select("br", "bc", *names)
     out = means.filter(F.col("cover_fraction") > 0).withColumnsRenamed({"br": "r", "bc": "c"})
     return coarse.with_xy(out).withColumn("cell_id", coarse.cell_id())
 
@@ -126,13 +140,13 @@ def modelling_table(stack: DataFrame, grid: Grid, factor: int = MODEL_CELLS) ->
 def damage_by_year(
     first_years: DataFrame, cover: DataFrame, grid: Grid, years: Sequence[int], keys: Sequence[str] = ("r", "c")
 ) -> DataFrame:
-    """Cells first damaged in each year, inside and outside the target cover.
+    """Cells first damaged in each year, inside and outside the target cover, among the cells with elevation.
 
-    One grouped count for all years; years without damage are listed with zeros."""
+    ``cover`` has the keys, cover and elev. One grouped count for all years; years without damage are listed with zeros."""
     keys = list(keys)
     inside = F.col("cover") == TARGET_COVER
     counts = (
-        first_years.join(cover.select(*keys, "cover"), keys, "left")
+        first_years.join(cover.filter(F.col("elev").isNotNull()).select(*keys, "cover"), keys)
         .groupBy(F.col("first_year").cast("int").alias("year"))
         .agg(F.count_if(inside).alias("in_cover"), F.count_if(~inside).alias("out_cover"))
     )
@@ -150,12 +164,15 @@ def damage_by_year(
 def site_damage(
     sites: DataFrame, composites: DataFrame, heights: DataFrame, grid: Grid, x: str = "x", y: str = "y"
 ) -> DataFrame:
-    """Sites with survey damage (years counted, presence) and height-loss damage of their cell."""
+    """Sites with survey damage (years counted, presence) and height-loss damage of their cell.
+
+    A cell without survey damage counts 0 years; a site outside the grid has no cell, so its count is NULL and its
+    presence FALSE."""
     at = sites.withColumns({"r": grid.row_at(y), "c": grid.col_at(x)})
     out = at.join(composites.select("r", "c", "n_years"), ["r", "c"], "left").join(
         heights.select("r", "c", "dh"), ["r", "c"], "left"
     )
-    years = F.coalesce(F.col("n_years"), F.lit(0))
+    years = F.when(F.col("r").isNotNull() & F.col("c").isNotNull(), F.coalesce(F.col("n_years"), F.lit(0)))
     return out.withColumns(
-        {"damage_survey_years": years, "damage_survey": years > 0, "damage_lidar": height_damage(F.col("dh")) == 1.0}
+        {"damage_survey_years": years, "damage_survey": F.coalesce(years > 0, F.lit(False)), "damage_lidar": height_damage(F.col("dh")) == 1.0}
     ).drop("n_years", "dh")

@@ -42,3 +42,4 @@ def test_entry(spark):
     assert out.columns == ["year", "variable", "n_cells", "area_m2"]
     assert out.count() == 14
     assert e.queries().keys() >= e.oracle_sql().keys()
+    assert set(QUERIES) <= e.queries().keys()

@@ -144,3 +144,32 @@ def test_long_edges_merge_across_chunks(spark):
     )
     got = {(s.start, s.end) for s in footprint.merge_edges(units, chunk=4).collect()}
     assert got == {(0, 13), (14, 25)}
+
+
+def test_presence_is_a_share_of_the_cells_of_the_grid(spark):
+    """Ten cells of a 10 x 10 block have rows: the cover fraction is 0.1, and a block cut by the edge counts its cells."""
+    from pyspark.sql import functions as F
+
+    from cellframe.plans.layers import STACK, modelling_table
+
+    grid = Grid(0.0, 100.0, 1.0, 1.0, 15, 10)
+    rows = [(0, c, 1.0) for c in range(10)] + [(12, 0, 1.0)]
+    cells = spark.createDataFrame(rows, "r bigint, c bigint, cover_fraction double")
+    stack = cells.select("r", "c", *[F.col("cover_fraction").alias(n) if n == "cover_fraction" else F.lit(1.0).alias(n) for n in STACK])
+    out = {x.r: x.cover_fraction for x in modelling_table(stack, grid, 10).collect()}
+    assert out == {0: 0.1, 1: 1 / 50}
+
+
+def test_damage_needs_elevation_and_sites_outside_have_no_count(spark):
+    from cellframe.plans.layers import damage_by_year, site_damage
+
+    grid = Grid(0.0, 10.0, 1.0, 1.0, 10, 10)
+    first = spark.createDataFrame([(0, 0, 2000), (0, 1, 2000), (0, 2, 2000)], "r bigint, c bigint, first_year int")
+    cover = spark.createDataFrame([(0, 0, 0, 5.0), (0, 1, 0, None), (0, 2, 1, 5.0)], "r bigint, c bigint, cover int, elev double")
+    out = {x.variable: x.n_cells for x in damage_by_year(first, cover, grid, [2000]).collect()}
+    assert out == {"in_cover": 1, "out_cover": 1}
+    sites = spark.createDataFrame([("in", 0.5, 9.5), ("none", 5.5, 5.5), ("out", 99.0, 99.0)], "site_code string, x double, y double")
+    years = spark.createDataFrame([(0, 0, 3)], "r bigint, c bigint, n_years bigint")
+    heights = spark.createDataFrame([(0, 0, -5.0)], "r bigint, c bigint, dh double")
+    got = {x.site_code: (x.damage_survey_years, x.damage_survey) for x in site_damage(sites, years, heights, grid).collect()}
+    assert got == {"in": (3, True), "none": (0, False), "out": (None, False)}
