@@ -57,14 +57,13 @@ class MergeList:
         self.vocab, self.suffix = vocab, suffix
         self.rank: dict[tuple[str, str], int] = {}
         length: dict[str, int] = {}
-        made: dict[str, int] = {}
+        used: set[str] = set()
         for k, (a, b) in enumerate(merges):
             self.rank.setdefault((a, b), k)
-            for part in (a, b):
-                if made.get(part, -1) >= k:
-                    raise ValueError(f"merge {k} uses {part!r} before it is made")
+            used |= {a, b}
+            if a + b in used and a + b not in length:
+                raise ValueError(f"{a + b!r} is used before merge {k} makes it")
             length[a + b] = max(length.get(a + b, 0), length.get(a, 1) + length.get(b, 1))
-            made.setdefault(a + b, k)
         #: Sufficient lookahead: no token has more symbols.
         self.lookahead = max(length.values(), default=1)
 
