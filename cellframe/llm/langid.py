@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm.common import arrow_batch, arrow_fields, map_rows, text_slices
+from cellframe.spark import settle
 
 #: Longest context in bytes.
 ORDER = 4
 #: Labelled documents of each language that training reads: the documented bound of the sample.
 ROWS_PER_LANG = 200
+#: Most languages, one short row each, whose counts are sent to every task; more are joined by a shuffle.
+MAX_LANGS = 10_000
 #: Most contexts of the trees of all languages together, and fewest followers of a kept context.
 MAX_CONTEXTS, MIN_COUNT = 9000, 6
 #: Characters of a text whose bytes are looked up at a time.
@@ -52,7 +55,9 @@ def training_rows(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> DataFr
 
     Counts by language set the share of the hash range, so no group meets in one task."""
     known = docs.filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").count()
+    counts = settle(known.groupBy("lang").count())
+    if counts.count() <= MAX_LANGS:
+        counts = F.broadcast(counts)
     share = F.least(F.lit(1.0), F.lit(1.5 * rows_per_lang) / F.col("count"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     near = known.join(counts.select("lang", share.alias("_share")), "lang").filter(place < F.col("_share"))
