@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cellframe.llm.common import map_rows, sha256_hex
 
 #: Pre-tokens kept with their tokens in each task; the store is emptied when full, which changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Symbols of a pre-token that are merged at once.
 WINDOW = 512
 #: Characters of a text that are split into pre-tokens at a time.

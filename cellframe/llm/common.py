@@ -103,15 +103,20 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, grown when needed."""
+    """Powers of an odd multiplier and of its inverse modulo 2**64. Tables up to KEPT stay in the worker."""
+
+    KEPT = 1 << 21
 
     def __init__(self, base: np.uint64):
         self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
         self.up = self.down = np.ones(0, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.KEPT:
+            return _powers(self.base, n), _powers(self.inverse, n)
         if len(self.up) < n:
-            self.up, self.down = _powers(self.base, 2 * n), _powers(self.inverse, 2 * n)
+            size = 1 << (n - 1).bit_length()
+            self.up, self.down = _powers(self.base, size), _powers(self.inverse, size)
         return self.up[:n], self.down[:n]
 
 
@@ -163,7 +168,7 @@ WORD_POWERS = (Powers(np.uint64(0xD6E8FEB86659FD93)), Powers(np.uint64(0xA0761D6
 ANY_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows whose text column has about ``max_bytes`` bytes (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -84,10 +84,11 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model | None:
     sample = training_rows(docs, rows_per_lang).select("lang", "text")
     grams = sample.mapInArrow(_ngrams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # n-grams that matter to a kept context: all of one or two bytes, longer ones that recur
-    rows = grams.filter((F.length("gram") <= 2) | (F.col("n") >= 2)).collect()  # of a bounded sample
+    found = grams.filter((F.length("gram") <= 2) | (F.col("n") >= 3)).toArrow()  # of a bounded sample
     counts: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for lang, gram, n in rows:
-        counts[lang][bytes(gram)] = n
+    for batch in found.to_batches(max_chunksize=10_000):
+        for lang, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[lang][gram] = n
     return build(counts) if counts else None
 
 
