@@ -11,8 +11,9 @@ Documents with equal words are one node. Nodes meet in bands of ROWS coordinates
 the most central node of a bucket (the one in the largest buckets) is its pivot, and the nodes that share a bucket with a
 pivot are its family. First each pivot is compared with its family, then the members that the links so far leave outside
 the pivot's class are compared with all of the family. So every pair that shares a bucket is linked, found in one class or
-compared. A family is read in blocks of bounded size, and similarities are exact, on whole texts; only signatures that are
-4.5 deviations below THRESHOLD are passed over. Links of THRESHOLD or more join classes. With 20 bands of 4, a pair at
+compared. A family is read in blocks of bounded size, and similarities are taken on whole texts, whose cells travel as
+48-bit numbers; only signatures that are 4.5 deviations below THRESHOLD are passed over. Of a signature 8 bits a coordinate
+travel: unequal darts may look equal, which costs a comparison, never a pair. Links of THRESHOLD or more join classes. With 20 bands of 4, a pair at
 similarity 0.8 meets with probability 0.99997.
 
 The class id is the smallest doc_id of the class. Texts with fewer words than a shingle are one shingle; null texts and
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import BYTE_POWERS, WORD_POWERS, Words, map_rows, mix, run_hashes, text_slices
+from cellframe.llm.common import BYTE_POWERS, WORD_POWERS, Words, mix, run_hashes, text_slices
 from cellframe.spark import settle
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -44,6 +45,10 @@ LEAST_EQUAL = 0.6
 BLOCK = 1024
 #: Largest set of row numbers, 8 bytes each, that is sent to every task.
 MAX_BROADCAST_ROWS = 2_000_000
+#: Largest table of the families of rows, up to BANDS entries of 24 bytes a row, that is sent to every task.
+MAX_PLACES_ROWS = 200_000
+#: Bytes of a cell in a bag.
+CELL = 6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,7 +110,7 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, n: int, weight: np.ndarray)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature (32 bits a coordinate), band keys, total weight and a 128-bit hash of the words of each text."""
+    """Band keys, total weight and a 128-bit hash of the words of each text."""
     for part in text_slices(batches, 1):
         w = Words(part.column(1), BYTE_POWERS)
         n = part.num_rows
@@ -121,14 +126,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         equal = [run_hashes(w.hashes[i], w.first[:-1], w.first[1:], WORD_POWERS[i]).view(np.int64) for i in (0, 1)]
         offsets = pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32))
         keys = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
-        short = sig.astype(np.uint32)
-        columns = [part.column(0), pa.array(equal[0]), pa.array(equal[1]), pa.array(weight), keys, pa.array([short[i].tobytes() for i in range(n)], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["rid", "k1", "k2", "weight", "bands", "sig"])
+        columns = [part.column(0), pa.array(equal[0]), pa.array(equal[1]), pa.array(weight), keys]
+        yield pa.RecordBatch.from_arrays(columns, names=["rid", "k1", "k2", "weight", "bands"])
 
 
-def _bag(text: str) -> bytes:
-    w = Words(pa.array([text]), BYTE_POWERS)
-    return np.sort(cells(*shingles(w))).tobytes()
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signature (8 bits a coordinate) and sorted cells (CELL bytes each) of each text, beside its places."""
+    for part in text_slices(batches, 1):
+        n = part.num_rows
+        hashes, doc = shingles(Words(part.column(1), BYTE_POWERS))
+        weight = np.bincount(doc, minlength=n)
+        cell = cells(hashes, doc)
+        # the lowest bits of a dart's name give its coordinate
+        sig = (signatures(cell, doc, n, weight) >> np.uint64(40)).astype(np.uint8)
+        cell = cell[np.lexsort((cell, doc))] >> np.uint64(64 - 8 * CELL)
+        raw = cell.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL]
+        first = np.r_[0, np.cumsum(weight)]
+        bags = pa.array([raw[first[i] : first[i + 1]].tobytes() for i in range(n)], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in sig], pa.binary()), bags], names=["rid", "places", "sig", "bag"])
+
+
+def _cells(bag: bytes) -> np.ndarray:
+    out = np.zeros((len(bag) // CELL, 8), np.uint8)
+    out[:, :CELL] = np.frombuffer(bag, np.uint8).reshape(-1, CELL)
+    return out.view("<u8").ravel()
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -160,30 +181,34 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def _nodes(rows: DataFrame, some: DataFrame) -> DataFrame:
-    """Rows whose rid is in ``some``, without moving the texts of the others where ``some`` is small."""
-    some = settle(some)
-    return rows.join(F.broadcast(some) if some.count() <= MAX_BROADCAST_ROWS else some, "rid", "left_semi")
+def _beside(wide: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Rows of ``wide`` whose rid is in ``narrow``, with its columns; ``wide`` is not moved where ``narrow`` is small."""
+    narrow = settle(narrow)
+    return wide.join(F.broadcast(narrow) if narrow.count() <= MAX_PLACES_ROWS else narrow, "rid")
 
 
-def _links(family: DataFrame, asked: DataFrame, bags: DataFrame) -> DataFrame:
-    """Links (a, b) between asked (pivot, rid, comp) and all nodes of the pivot's family (pivot, rid, comp) of other
+def _places(family: DataFrame) -> DataFrame:
+    """rid and its families, at most one a band: (pivot, rid, blocks, asked) as one row a rid."""
+    return family.groupBy("rid").agg(F.collect_list(F.struct("pivot", "blocks", "asked")).alias("places"))
+
+
+def _links(bags: DataFrame) -> DataFrame:
+    """Links (a, b) of bags (rid, comp, places, sig, bag): in each family between asked nodes and all nodes of other
     components, of each asked node one to a component and block."""
-    size = family.groupBy("pivot").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = family.join(size, "pivot").withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).drop("n").join(bags, "rid")
-    spread = asked.join(size, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("n").join(bags, "rid")
+    each = bags.select("rid", "comp", "sig", "bag", F.inline("places"))
+    held = each.select("pivot", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), "rid", "comp", "sig", "bag")
+    spread = each.filter("asked").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(*(F.col(c).alias(f"q_{c}") for c in ("pivot", "block", "rid", "comp", "sig", "bag")))
 
     def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(q) and len(r):
             ids, comps = r["rid"].to_numpy(), r["comp"].to_numpy()
-            signs = np.frombuffer(b"".join(r["sig"]), np.uint32).reshape(-1, COORDINATES)
-            sets = [np.frombuffer(x, np.uint64) for x in r["bag"]]
+            signs = np.frombuffer(b"".join(r["sig"]), np.uint8).reshape(-1, COORDINATES)
+            sets = [_cells(x) for x in r["bag"]]
             for rid, comp, sig, bag in zip(q["q_rid"], q["q_comp"], q["q_sig"], q["q_bag"], strict=True):
-                near = np.flatnonzero((comps != comp) & ((signs == np.frombuffer(sig, np.uint32)).mean(1) >= LEAST_EQUAL))
-                x, joined = np.frombuffer(bag, np.uint64), set()
+                near = np.flatnonzero((comps != comp) & ((signs == np.frombuffer(sig, np.uint8)).mean(1) >= LEAST_EQUAL))
+                x, joined = _cells(bag), set()
                 for k in near.tolist():
                     if comps[k] not in joined and similarity(x, sets[k]) >= THRESHOLD:
                         joined.add(comps[k])
@@ -199,33 +224,35 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     number of each row's class."""
     whole = settle(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")))
     rows = whole.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "row")
-    signs = settle(rows.select("rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sign, "rid long, k1 long, k2 long, weight long, bands array<long>, sig binary"))
+    signs = settle(rows.select("rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sign, "rid long, k1 long, k2 long, weight long, bands array<long>"))
     worded = signs.filter("weight > 0")
     copies = settle(worded.select("rid", "k1", "k2").join(worded.groupBy("k1", "k2").agg(F.min("rid").alias("node")), ["k1", "k2"]).select("rid", "node"))
-    nodes = settle(worded.join(copies.filter("rid = node").select("rid"), "rid", "left_semi").select("rid", "bands", "sig"))
+    again = settle(copies.filter("rid != node").select("rid"))
+    again = F.broadcast(again) if again.count() <= MAX_BROADCAST_ROWS else again
+    nodes = settle(worded.select("rid", "bands").join(again, "rid", "left_anti"))
     keys = nodes.select("rid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = settle(keys.join(shared, "key"))
     weight = settle(members.groupBy("rid").agg(F.sum("n").alias("weight")))
-
-    def start():
-        return lambda rid, text: [(rid, _bag(text))]
-
-    bags = map_rows(_nodes(rows.select("rid", "text"), weight.select("rid")), "rid long, bag binary", start)
-    bags = settle(bags.join(nodes.select("rid", "sig"), "rid"))
     heavy = members.select("key", "rid").join(weight, "rid")
     pivots = heavy.groupBy("key").agg(F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("pivot"))
-    family = settle(members.select("key", "rid").join(pivots, "key").select("pivot", "rid").distinct())
+    family = members.select("key", "rid").join(pivots, "key").select("pivot", "rid").distinct()
+    family = settle(family)
+    blocks = family.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    family = settle(family.join(blocks, "pivot"))
+    texts = _beside(rows.select("rid", "text"), _places(family.withColumn("asked", F.col("pivot") == F.col("rid"))))
+    schema = "rid long, places array<struct<pivot:long,blocks:int,asked:boolean>>, sig binary, bag binary"
+    bags = settle(texts.select("rid", "text", "places").mapInArrow(_pack, schema))
     ids = nodes.select(F.col("rid").alias("node"))
-    single = family.withColumn("comp", F.col("rid"))
-    links = _links(single, single.filter("pivot = rid"), bags)
+    links = _links(bags.withColumn("comp", F.col("rid")))
     comp = settle(components(ids, links))
     of_node = comp.withColumnRenamed("node", "rid")
     placed = family.join(of_node, "rid").join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("centre")), "pivot")
     outside = placed.filter("comp != centre")
     split = settle(placed.join(outside.select("pivot").distinct(), "pivot", "left_semi"))
     if split.limit(1).count():
-        more = _links(split.select("pivot", "rid", "comp"), split.filter("comp != centre").select("pivot", "rid", "comp"), bags)
+        asked = _places(split.withColumn("asked", F.col("comp") != F.col("centre")))
+        more = _links(_beside(bags.select("rid", "sig", "bag"), asked.join(of_node, "rid")))
         if more.limit(1).count():
             comp = settle(components(ids, links.unionByName(more)))
     of_rows = copies.join(comp.select(F.col("node").alias("node"), "comp"), "node").select("rid", "comp")
