@@ -41,10 +41,7 @@ def _summary_sql(by: str) -> str:
 
 
 def _both(long, by, exclude=()):
-    out = None
-    for policy in ("skip", "propagate"):
-        part = SP.spectral_summary(long, by, policy, exclude).withColumn("policy", F.lit(policy))
-        out = part if out is None else out.unionByName(part)
+    out = SP.spectral_summary(long, by, ("skip", "propagate"), exclude)
     return out.withColumns({n: r6(n, 9) for n in ("m", "s", "lower", "upper")})
 
 

@@ -125,6 +125,14 @@ class Grid:
         r0, r1, c0, c1 = self.index_bounds(xmin, xmax, ymin, ymax)
         return df.filter(F.col("r").between(r0, r1) & F.col("c").between(c0, c1))
 
+    def cropped(self, df: DataFrame, xmin: float, xmax: float, ymin: float, ymax: float) -> tuple[DataFrame, Grid]:
+        """The cells of an extent, numbered from its first row and column, and the extent as a grid of its own."""
+        r0, r1, c0, c1 = self.index_bounds(xmin, xmax, ymin, ymax)
+        x, y = self.xmin + c0 * self.xres, self.ymax - r0 * self.yres
+        grid = Grid(x, y, self.xres, self.yres, r1 - r0 + 1, c1 - c0 + 1, self.crs)
+        inside = self.crop(df, xmin, xmax, ymin, ymax)
+        return inside.withColumns({"r": F.col("r") - r0, "c": F.col("c") - c0}), grid
+
     def stride_for(self, max_cells: int) -> int:
         """Smallest stride whose systematic sample has about ``max_cells`` cells or fewer."""
         return max(1, math.ceil(math.sqrt(self.ncell / max_cells)))

@@ -55,15 +55,20 @@ def wide_to_bands(df: DataFrame, keep: Sequence[str], prefix: str = "W", scale:
 
 
 def spectral_summary(
-    long: DataFrame, by: str, na_policy: str = "propagate", exclude: Sequence[str] = ()
+    long: DataFrame, by: str, na_policy: str | Sequence[str] = "propagate", exclude: Sequence[str] = ()
 ) -> DataFrame:
     """Mean, sd and the mean +- sd ribbon per (wavelength, class).
 
     Rows without a class are dropped, as are the labels in ``exclude``. The reference
-    point is ``propagate``: one missing value makes the group's summary NULL."""
+    point is ``propagate``: one missing value makes the group's summary NULL. Several
+    policies come from one aggregation and give a row each, with a column ``policy``."""
     rows = long.filter(F.col(by).isNotNull())
     if exclude:
         rows = rows.filter(~F.col(by).isin(list(exclude)))
     v = F.col("reflectance")
-    out = rows.groupBy("wavelength", by).agg(mean_of(v, na_policy).alias("m"), sd_of(v, na_policy).alias("s"))
+    policies = [na_policy] if isinstance(na_policy, str) else list(na_policy)
+    each = [F.struct(F.lit(p).alias("policy"), mean_of(v, p).alias("m"), sd_of(v, p).alias("s")) for p in policies]
+    out = rows.groupBy("wavelength", by).agg(F.array(*each).alias("_each")).select("wavelength", by, F.inline("_each"))
+    if isinstance(na_policy, str):
+        out = out.drop("policy")
     return out.withColumns({"lower": F.col("m") - F.col("s"), "upper": F.col("m") + F.col("s")})

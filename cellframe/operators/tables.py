@@ -11,13 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Most levels of a column in a contingency table; a column with more is no factor and stops the job.
+MAX_LEVELS = 1000
+
+
+def _levels(counts: DataFrame, col: str) -> Column:
+    """Array of the levels of a column. One level more than allowed is enough to refuse the column."""
+    found = counts.select(col).distinct().limit(MAX_LEVELS + 1).agg(F.collect_list(col)).scalar()
+    refuse = F.raise_error(F.lit(f"{col} has more than {MAX_LEVELS} levels"))
+    return F.when(F.size(found) <= MAX_LEVELS, found).otherwise(refuse.cast(f"array<{counts.schema[col].dataType.simpleString()}>"))
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of every (a, b) combination of the levels that occur; NULLs are left out.
 
     The data are counted first; only the count table, whose size is the number of level
-    pairs, is completed with zeros."""
+    pairs, is completed with zeros. More than MAX_LEVELS levels are an error."""
     counts = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("freq"))
-    levels = counts.agg(F.collect_set(a).alias("_a"), F.collect_set(b).alias("_b"))
+    levels = df.sparkSession.range(1).select(_levels(counts, a).alias("_a"), _levels(counts, b).alias("_b"))
     table = levels.select(F.explode("_a").alias(a), "_b").select(a, F.explode("_b").alias(b))
     return table.join(counts, [a, b], "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("bigint")))
 

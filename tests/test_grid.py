@@ -48,3 +48,13 @@ def test_explode_range(spark, pairs, chunk):
     df = spark.createDataFrame([(i, a, a + n) for i, (a, n) in enumerate(pairs)], "i int, a int, b int")
     got = sorted((r.i, r.k) for r in explode_range(df, F.col("a"), F.col("b"), "k", chunk).collect())
     assert got == [(i, v) for i, (a, n) in enumerate(pairs) for v in range(a, a + n + 1)]
+
+
+def test_cropped_grid_numbers_its_own_cells(spark):
+    g = Grid(100.0, 200.0, 10.0, 10.0, 8, 6)
+    cells, inner = g.cropped(g.domain(spark), 120.0, 150.0, 150.0, 180.0)
+    assert (inner.xmin, inner.ymax, inner.nrow, inner.ncol) == (120.0, 180.0, 3, 3)
+    whole = {r.cell_id: (r.x, r.y) for r in g.with_xy(g.domain(spark)).collect()}
+    rows = inner.with_xy(cells).collect()
+    assert len(rows) == 9 and all(whole[r.cell_id] == (r.x, r.y) for r in rows)
+    assert inner.stride_for(4) == 2 and g.stride_for(4) == 4

@@ -198,3 +198,10 @@ def test_wide_and_array_spectra_agree(spark):
     assert key(a) == key(b)
     s = {(r.wavelength, r.k): r.m for r in SP.spectral_summary(SP.wide_to_bands(wide, ["k"]), "k").collect()}
     assert s[(405.0, "t")] is None and s[(400.5, "t")] == pytest.approx(0.03)
+
+
+def test_contingency_refuses_a_continuous_column(spark):
+    df = spark.range(1500).select((F.col("id") / 7).alias("a"), (F.col("id") % 2).alias("b"))
+    with pytest.raises(Exception, match="more than 1000 levels"):
+        T.contingency(df, "a", "b").collect()
+    assert T.contingency(df.filter("a < 0"), "a", "b").count() == 0
