@@ -5,9 +5,10 @@ show there are its styles. Two entropies say how much a node matters on that sit
 arrange the children of the node, -sum p log_m p over the m pages that have it (1 where m is 1). Content: a text block
 that k of the m pages share has entropy log k / log m, and the node's content importance is 1 minus the mean over its
 blocks. An element's importance is the presentation entropy weighted against the mean of its children's importance,
-with weight GAMMA to the power of the number of its child nodes; a leaf's is its content importance. Branches below
-THRESHOLD on hosts with LEAST_PAGES pages or more are removed from each page, unless they are inside or around the
-article element: copied articles would look like a template. Tags, roles and class words that name page furniture
+with weight GAMMA to the power of the number of its child nodes; a leaf's is its content importance. On hosts with
+LEAST_PAGES pages or more the own text of nodes below THRESHOLD is removed from each page; what lies deeper goes by its
+own nodes, so an article stays in a wrapper whose other text is shared. Nothing inside an article element is removed so:
+copied articles would look like a template. Tags, roles and class words that name page furniture
 (navigation, footers, forms, adverts, comments and so on) mark presentation nodes on any host.
 
 The text of a page is what is left: character references decoded, white space inside a block made one space, blocks in
@@ -169,10 +170,8 @@ class Page:
         self._flush()
 
     def text(self, removed: frozenset[str] | tuple = ()) -> str:
-        """Blocks outside furniture and outside removed branches."""
-        if not removed:
-            return "\n".join(t for p, t in self.blocks if p != "!")
-        return "\n".join(t for p, t in self.blocks if p != "!" and not any(p == r or p.startswith(r + "/") for r in removed))
+        """Blocks outside furniture whose own element is not removed."""
+        return "\n".join(t for p, t in self.blocks if p != "!" and p not in removed)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +225,8 @@ def _host(url):
 
 
 def removable(tree: DataFrame) -> DataFrame:
-    """host, removed: the paths of each host's branches of low importance. Leaves decide: an element goes when all its
-    text does, so the paths that hold text are enough."""
+    """host, removed: the paths of each host's nodes of low importance. An element goes when all its text does, so the
+    paths that hold text are enough, each for the blocks of its own."""
     low = (F.col("importance") < THRESHOLD) & (F.col("pages") >= LEAST_PAGES) & F.col("content").isNotNull() & ~F.col("path").rlike(r"^(/html[^/]*)?(/body[^/]*)?$")
     return tree.filter(low).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("removed"))
 

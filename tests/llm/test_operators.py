@@ -195,6 +195,15 @@ def test_html(spark):
     assert html_tree.extract(df.filter("page_id < 0")).count() == 0
 
 
+def test_html_article_in_a_wrapper_with_shared_text(spark):
+    def page(k):
+        return f"<body><div class=wrap>Skip to content<article><h1>Title {k}</h1><p>own {k}</p></article></div><div class=box>Shared<div class=text>free {k}</div></div></body>"
+
+    pages = [(k, "http://wrapped.d/", page(k)) for k in range(10)]
+    got = {r.page_id: r.text for r in html_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nown {k}\nfree {k}" for k in range(10)}
+
+
 def test_language_model_is_a_code(docs, none):
     grams = {lang: Counter(bytes([b]) + b"" for b in text) for lang, text in (("a", b"abab"), ("b", b"bcbc"))}
     counts = {k: dict(v) for k, v in grams.items()}
