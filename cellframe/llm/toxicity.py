@@ -5,8 +5,9 @@ the characters it spans, up to SPAN, so that one or two inserted or foreign char
 it. Strings are the words of a text between marks for their ends; letters spelled out one by one form one string again.
 
 Training is by multiple instances. A toxic document holds at least one toxic string, but its label does not say which.
-Witnesses are the strings that toxic documents share more often than chance allows and others lack, unless many strings
-share the very same documents (words of a copied passage). They are the positive examples, strings of other documents
+Witnesses are the strings that toxic documents share more often than chance allows and others lack. Where many strings
+share the very same documents (words of a copied passage), only so many of them are taken that each of these documents
+holds a witness. They are the positive examples, strings of other documents
 the negative ones, and a second round adds the negative strings that the first machine scores highest. The kernel is
 reduced to landmarks: with the landmarks' kernel matrix K, a string's features are K**-1/2 times its kernel values, and a
 linear machine is trained on them by gradient steps on the squared hinge. The kernel has finitely many subsequences, so
@@ -42,7 +43,7 @@ CACHE_WORDS = 300_000
 TOP = 3
 #: Values up to CUT count as FLOOR: far from any toxic string.
 CUT, FLOOR = -0.6, -1.0
-#: Strings that share their documents with so many others are words of a copied passage.
+#: Strings that share their documents with so many others are words of a copied passage, which needs few witnesses.
 TWINS = 4
 
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
@@ -171,20 +172,25 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ot
 
 
 def _witnesses(has: dict[str, set[int]]) -> list[str]:
-    """Strings whose documents are their own, not those of a whole passage."""
+    """Strings whose documents are their own; of the strings of whole passages, those with most documents first, so many
+    that every document of the passage holds a witness."""
     names = sorted(has)
     ids = {d: k for k, d in enumerate(sorted(set().union(*has.values())))} if has else {}
     holds = np.zeros((len(names), len(ids)), np.float32)
     for i, s in enumerate(names):
         holds[i, [ids[d] for d in has[s]]] = 1
-    out = []
+    out, passages = [], []
     size = holds.sum(1)
     for i, s in enumerate(names):
         both = holds @ holds[i]
         twins = int((both >= 0.5 * (size + size[i] - both)).sum()) - 1
-        if twins < TWINS:
+        (out if twins < TWINS else passages).append(s)
+    explained = set().union(*(has[s] for s in out))
+    for s in sorted(passages, key=lambda s: (-len(has[s]), -len(s), s)):
+        if not has[s] <= explained:
             out.append(s)
-    return out
+            explained |= has[s]
+    return sorted(out)
 
 
 def _with_noise(word: str) -> list[str]:

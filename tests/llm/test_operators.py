@@ -301,3 +301,19 @@ def test_toxicity(spark):
     assert got[1000] == got[1001] == got[1004] == 0 and got[1002] == got[1003] == 1
     nothing = toxicity.train(docs, known.filter("doc_id < 0"))
     assert {r.score for r in toxicity.score(docs, nothing).collect()} == {0.0}
+
+
+def test_toxicity_of_a_passage_that_recurs(spark):
+    rng = np.random.default_rng(8)
+    plain = ["river", "stone", "table", "window", "garden", "letter", "summer", "market", "bridge", "paper"]
+    bad = "vurkle nabstow grimplod yexfand quosbit tharnip"
+    labels = [(k, int(k % 5 == 0)) for k in range(300)]
+    rows = [(k, " ".join([*rng.choice(plain, 10), *([bad] if toxic else []), str(k)])) for k, toxic in labels]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([x for x in labels if x[0] % 4 != 1], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train(docs, known)).collect()}
+    assert got == dict(labels)
+    # half of the documents hold one half of the passage each: both halves are evidence
+    has = {w: set(range(10 if w < "o" else 5, 20)) for w in bad.split()} | {f"{w}2": set(range(20, 30)) for w in bad.split()}
+    chosen = toxicity._witnesses(has)
+    assert len(chosen) == 2 and set().union(*(has[w] for w in chosen)) == set(range(5, 30))
