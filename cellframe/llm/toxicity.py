@@ -39,6 +39,8 @@ LANDMARKS, NEGATIVES = 300, 4000
 #: Longest string; longer words are read in overlapping pieces of this size.
 LONGEST = 40
 CACHE_WORDS = 300_000
+#: Letters of the screening table, those of most weight: with marks and two spare codes they fit one byte.
+CODES = 250
 #: Strongest strings that the score of a document looks at.
 TOP = 3
 #: Values up to CUT count as FLOOR: far from any toxic string.
@@ -234,8 +236,14 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self._cache: dict[str, float] = {}
-        letters = sorted({c for u in model.weights for c in u} - {"^", "$"})[:250]
-        self._code = {ord(c): chr(k + 4) for k, c in enumerate(letters)} | {ord("^"): chr(2), ord("$"): chr(3)}
+        weight: dict[str, float] = dict.fromkeys(sorted({c for u in model.weights for c in u} - {"^", "$"}), 0.0)
+        for u, v in model.weights.items():
+            for c in set(u) - {"^", "$"}:
+                weight[c] += abs(v)
+        ranked = sorted(weight, key=lambda c: (-weight[c], c))
+        letters = sorted(ranked[:CODES])
+        # code 0 is a letter of the model without a place in the table, code 1 one that the model does not know
+        self._code = dict.fromkeys(map(ord, ranked[CODES:]), chr(0)) | {ord(c): chr(k + 4) for k, c in enumerate(letters)} | {ord("^"): chr(2), ord("$"): chr(3)}
         self._width = len(letters) + 4
         self._theta = np.zeros(self._width**3, np.float32)
         place = {c: k + 4 for k, c in enumerate(letters)} | {"^": 2, "$": 3}
@@ -257,7 +265,8 @@ class Scorer:
 
     def learn(self, words: set[str]) -> None:
         """Value words that are not kept yet. Unscaled sums of all their strings come from one table; only where these
-        could exceed CUT (a string's length is at least that without repeated subsequences) is the exact value taken."""
+        could exceed CUT (a string's length is at least that without repeated subsequences), or where a string has a
+        letter of the model that the table lacks, is the exact value taken."""
         if len(self._cache) + len(words) > CACHE_WORDS:
             self._cache.clear()
         self._cache.update(dict.fromkeys(words, FLOOR))
@@ -278,7 +287,8 @@ class Scorer:
                 total[inside] += _WEIGHT[k] * self._theta[a[inside] + code[inside + j] * self._width + code[inside + k]]
         sums = np.add.reduceat(total, end - size)
         norm = np.array(self._norms)[np.minimum(size, len(self._norms) - 1)]
-        for i in np.flatnonzero(np.maximum(sums, 0) / norm + self.model.bias > CUT - 1e-3):
+        beyond = np.logical_or.reduceat(code == 0, end - size)
+        for i in np.flatnonzero(beyond | (np.maximum(sums, 0) / norm + self.model.bias > CUT - 1e-3)):
             w, s = pairs[i]
             self._cache[w] = max(self._cache[w], self.string(s))
 

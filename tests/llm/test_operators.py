@@ -317,3 +317,15 @@ def test_toxicity_of_a_passage_that_recurs(spark):
     has = {w: set(range(10 if w < "o" else 5, 20)) for w in bad.split()} | {f"{w}2": set(range(20, 30)) for w in bad.split()}
     chosen = toxicity._witnesses(has)
     assert len(chosen) == 2 and set().union(*(has[w] for w in chosen)) == set(range(5, 30))
+
+
+def test_toxicity_of_many_letters():
+    rng = np.random.default_rng(9)
+    letters = [chr(0x4E00 + k) for k in range(900)]
+    words = sorted({"".join(rng.choice(letters, 4)) for _ in range(400)})
+    weights, bias = toxicity._machine(words[::2], words[1::2], [])
+    scorer = toxicity.Scorer(toxicity.Model(0.5, weights, bias))
+    assert len({c for u in weights for c in u}) > 2 * toxicity.CODES
+    scorer.learn(set(words))
+    assert {w: scorer._cache[w] for w in words} == {w: scorer.string(w) for w in words}
+    assert max(scorer._cache[w] for w in words if min(w) > chr(0x4E00 + 450)) > toxicity.CUT
