@@ -9,7 +9,8 @@ with weight GAMMA to the power of the number of its child nodes; a leaf's is its
 LEAST_PAGES pages or more the own text of nodes below THRESHOLD is removed from each page; what lies deeper goes by its
 own nodes, so an article stays in a wrapper whose other text is shared. Nothing inside an article element is removed so:
 copied articles would look like a template. Tags, roles and class words that name page furniture
-(navigation, footers, forms, adverts, comments and so on) mark presentation nodes on any host.
+(navigation, footers, forms, adverts, comments and so on) mark presentation nodes on any host; inside an article, of the
+words only whole class words of containers do.
 
 The text of a page is what is left: character references decoded, white space inside a block made one space, blocks in
 page order joined by line feeds. ``br`` ends a block. Null html gives empty text; null urls form one host; broken markup
@@ -37,9 +38,13 @@ MAX_BROADCAST_BYTES = 8 << 20
 
 # HTML tag names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object select option button canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp data".split())
-FURNITURE = frozenset("head nav footer aside form menu dialog fieldset figcaption".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg object select option button canvas audio video".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp data "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover semantics annotation annotation-xml".split()
+)
+FURNITURE = frozenset("head nav footer aside form menu dialog fieldset".split())
 P_ENDERS = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -51,6 +56,8 @@ NOISE = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 CONTENT = ("article", "main")
+#: Elements whose class words, as a whole, count inside an article.
+CONTAINERS = frozenset("article div section ul ol li dl table".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -104,7 +111,10 @@ class Page:
                 if name in ("class", "id"):
                     words = _WORDS.findall(value)
                     mark += "".join("." + w for w in words)
-                    noise = noise or tag not in ("html", "body") and any(w in NOISE or NOISE & set(w.split("-")) and w.split("-")[0] not in CONTENT for w in words)
+                    if self._inside or tag in CONTENT:
+                        noise = noise or name == "class" and tag in CONTAINERS and not NOISE.isdisjoint(value.split())
+                    else:
+                        noise = noise or tag not in ("html", "body") and any(w in NOISE or NOISE & set(w.split("-")) and w.split("-")[0] not in CONTENT for w in words)
                 elif name == "role":
                     noise = noise or value in NOISE_ROLES
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):

@@ -204,6 +204,18 @@ def test_html_article_in_a_wrapper_with_shared_text(spark):
     assert got == {k: f"Title {k}\nown {k}\nfree {k}" for k in range(10)}
 
 
+def test_html_words_of_furniture_inside_an_article():
+    inside = (
+        "<div class='entry-header'><h1>Title</h1></div><h2 id=search-results>Results</h2><p id=ad-hoc-networks>Ad hoc</p><section id=related-work class=search_results>Work</section>"
+        "<h3 class=comments>On comments</h3><figure><img src=x><figcaption>Caption</figcaption></figure><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>"
+        "<div class='box share'>Share</div><nav>n</nav>"
+    )
+    want = "Title\nResults\nAd hoc\nWork\nOn comments\nCaption\nso x=1 holds"
+    outside = "<div class=related-posts>More</div><p id=search-box>Find</p>"
+    assert html_tree.Page(f"<body>{outside}<article class=has-sidebar>{inside}</article>{outside}</body>").text() == want
+    assert html_tree.Page(f"<main id=search-page>{inside}</main>").text() == want
+
+
 def test_language_model_is_a_code(docs, none):
     grams = {lang: Counter(bytes([b]) + b"" for b in text) for lang, text in (("a", b"abab"), ("b", b"bcbc"))}
     counts = {k: dict(v) for k, v in grams.items()}
