@@ -3,9 +3,10 @@
 Each language has a variable-order context tree over bytes. A byte costs -log2 of its probability in the longest context
 of the tree that ends there; where it was never seen after that context, an escape (method C: distinct followers over
 followers plus distinct followers) is paid and the next shorter context predicts it, with the bytes excluded that the
-longer one already offered. Order -1 is uniform. The statistics are frozen after training, so the exact cost of every
-(context, byte) pair is a table, and the contexts of all languages together form one automaton: a text is read once, by
-one table step a byte, and its code length under each language is a sum of table entries.
+longer one already offered. Order -1 is uniform. Each language keeps all contexts that it shows MIN_COUNT times, however
+many or few other languages show. The statistics are frozen after training, so the exact cost of every (context, byte)
+pair is a table, and the contexts of all languages together form one automaton: a text is read once, by one table step a
+byte, each state points to the longest context of each language, and a code length is a sum of table entries.
 
 Training takes a bounded sample of labelled rows (``rows_per_lang`` documents of each language, by hash of the id) whose
 n-grams Spark counts. Null text, and text without a letter, gets ``und`` with score 0; the whole text is scored. Repeated
@@ -32,8 +33,8 @@ ORDER = 4
 ROWS_PER_LANG = 200
 #: Most languages, one short row each, whose counts are sent to every task; more are joined by a shuffle.
 MAX_LANGS = 10_000
-#: Most contexts of the trees of all languages together, and fewest followers of a kept context.
-MAX_CONTEXTS, MIN_COUNT = 9000, 6
+#: Fewest followers of a kept context, in its language.
+MIN_COUNT = 6
 #: Characters of a text whose bytes are looked up at a time.
 BLOCK = 1 << 18
 
@@ -43,11 +44,19 @@ class Model:
     langs: list[str]
     symbols: bytes  # 256 bytes: the symbol of each byte; 0 is any byte that training never saw
     width: int  # symbols
-    step: np.ndarray  # state * width + symbol -> next state * width
-    cost: np.ndarray  # langs x (state * width + symbol): bits
+    step: np.ndarray  # state * width + symbol -> next state
+    rows: np.ndarray  # langs x states: the row of the longest context that the language has
+    bits: np.ndarray  # rows x symbols: bits
 
-    def tables(self) -> tuple[list[int], np.ndarray]:
-        return self.step.tolist(), self.cost
+    @property
+    def cost(self) -> np.ndarray:
+        """langs x (state * width + symbol): bits."""
+        return self.bits[self.rows].reshape(len(self.langs), -1)
+
+    def tables(self) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Steps from state * width + symbol to state * width, starts of rows, bits."""
+        starts = list(range(0, len(self.step), self.width))  # one object a state, shared by all steps to it
+        return [starts[k] for k in self.step], self.rows.astype(np.int64) * self.width, self.bits.ravel()
 
 
 def training_rows(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
@@ -83,8 +92,11 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model | None:
     """The frozen model of documents (doc_id, lang, text); None without a labelled row."""
     sample = training_rows(docs, rows_per_lang).select("lang", "text")
     grams = sample.mapInArrow(_ngrams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # n-grams that matter to a kept context: all of one or two bytes, longer ones that recur
-    found = grams.filter((F.length("gram") <= 2) | (F.col("n") >= 3)).toArrow()  # of a bounded sample
+    # all n-grams of the kept contexts: at most 256 of a context
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    trees = grams.groupBy("lang", context.alias("c")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("gram", "n")).alias("f"))
+    trees = trees.filter((F.col("total") >= MIN_COUNT) | (F.length("c") == 0)).select("lang", F.explode("f").alias("f"))
+    found = trees.select("lang", "f.gram", "f.n").toArrow()  # of a bounded sample
     counts: dict[str, dict[bytes, int]] = defaultdict(dict)
     for batch in found.to_batches(max_chunksize=10_000):
         for lang, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -98,34 +110,29 @@ def build(counts: dict[str, dict[bytes, int]]) -> Model:
     symbol = {b: k + 1 for k, b in enumerate(seen)}
     width = len(seen) + 1
     followers: list[dict[bytes, dict[int, int]]] = []
-    weight: Counter = Counter()
     for lang in langs:
         tree: dict[bytes, dict[int, int]] = defaultdict(dict)
         for g, n in counts[lang].items():
             tree[g[:-1]][symbol[g[-1]]] = n
-        followers.append(tree)
-        for c, f in tree.items():
-            weight[c] += sum(f.values())
-    contexts = {b""}
-    for c, n in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
-        if n < MIN_COUNT or len(contexts) >= MAX_CONTEXTS:
-            break
-        if c[1:] in contexts or len(c) == 1:  # a shorter context has no smaller count, so it came first
-            contexts.add(c)
-    order = sorted(contexts, key=lambda c: (len(c), c))
+        # a part of a kept context has no smaller count, so it is kept too
+        followers.append({c: f for c, f in tree.items() if not c or sum(f.values()) >= MIN_COUNT})
+    order = sorted({b""}.union(*followers), key=lambda c: (len(c), c))
     state = {c: k for k, c in enumerate(order)}
-    step = np.zeros((len(order), width), np.int64)
-    cost = np.zeros((len(langs), len(order), width), np.float64)
     shorter = [state[c[1:]] if c else -1 for c in order]
+    rows = np.zeros((len(langs), len(order)), np.int32)
+    bits: list[np.ndarray] = []
+    first = 0
     sizes = 1.0 / 256
     for lang, tree in enumerate(followers):
-        p = np.zeros((len(order), width))
-        for k, c in enumerate(order):
+        p = np.zeros((len(tree), width))
+        k = 0
+        for at_state, c in enumerate(order):
             f = tree.get(c)
-            below = p[shorter[k]] if c else np.full(width, sizes)
-            if not f:
-                p[k] = below
+            if f is None:
+                rows[lang, at_state] = rows[lang, shorter[at_state]]
                 continue
+            below = p[rows[lang, shorter[at_state]] - first] if c else np.full(width, sizes)
+            rows[lang, at_state] = first + k
             at = np.fromiter(f.keys(), np.int64, len(f))
             n = np.fromiter(f.values(), np.float64, len(f))
             if not c:  # symbol 0 stands for each of the bytes never seen
@@ -137,21 +144,27 @@ def build(counts: dict[str, dict[bytes, int]]) -> Model:
             total = n.sum() + len(at)
             p[k] = rest / left * (len(at) / total)
             p[k, at] = n / total
-        cost[lang] = -np.log2(np.maximum(p, 1e-30))
-    for k, c in enumerate(order):
-        for b, s in symbol.items():
-            to = (c + bytes([b]))[-ORDER:]
-            while to not in state:
-                to = to[1:]
-            step[k, s] = state[to]
+            k += 1
+        bits.append((-np.log2(np.maximum(p, 1e-30))).astype(np.float32))
+        first += len(tree)
+    step = np.zeros((len(order), width), np.int32)
+    longer: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for c, k in state.items():
+        if c:
+            longer[state[c[:-1]]].append((symbol[c[-1]], k))
+    for k in range(len(order)):  # shorter contexts come first
+        if k:
+            step[k] = step[shorter[k]]
+        for b, to in longer[k]:
+            step[k, b] = to
     table = bytes(symbol.get(b, 0) for b in range(256))
-    return Model(langs, table, width, (step * width).ravel(), cost.reshape(len(langs), -1).astype(np.float32))
+    return Model(langs, table, width, step.ravel(), rows, np.concatenate(bits))
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.step, self.cost = model.tables()
+        self.step, self.starts, self.costs = model.tables()
 
     def bits(self, text: str) -> np.ndarray:
         """Exact code length of the text under each language, in bits."""
@@ -164,8 +177,9 @@ class Scorer:
             where = np.empty(len(data), np.int64)
             where[:1] = first
             where[1:] = states[:-1]
-            where += np.frombuffer(data, np.uint8)
-            total += [np.take(c, where).sum(dtype=np.float64) for c in self.cost]
+            where //= self.model.width
+            symbols = np.frombuffer(data, np.uint8)
+            total += [np.take(self.costs, np.take(r, where) + symbols).sum(dtype=np.float64) for r in self.starts]
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -193,7 +207,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     pairs = docs.select("doc_id", "text")
     if model is None:
         return pairs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded sample
 
     def start():
         scorer = _scorer(shared.value)

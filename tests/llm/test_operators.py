@@ -237,6 +237,26 @@ def test_language_model_is_a_code(docs, none):
     assert langid.train(none) is None and langid.predict(none, None).count() == 0
 
 
+def test_contexts_of_small_languages_stay(spark):
+    rng = np.random.default_rng(5)
+
+    def language(seed, letters):
+        words = ["".join(np.random.default_rng([seed, k]).choice(list(letters), 6)) for k in range(60)]
+        return lambda n: " ".join(rng.choice(words, n))
+
+    # twelve large languages and a small one of the same letters, with words of their own
+    sizes = [40] * 12 + [3]
+    speak = [language(k, "abcdefghijklmnopqrstuvwxyz") for k in range(len(sizes))]
+    rows = [(100 * k + i, f"l{k:02}", speak[k](400)) for k, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    scorer = langid.Scorer(langid.train(df))
+    for k in (0, len(sizes) - 1):  # the code of a language does not depend on the others
+        alone = langid.Scorer(langid.train(df.filter(F.col("lang") == f"l{k:02}")))
+        text = speak[k](200)
+        assert np.isclose(scorer.bits(text)[k], alone.bits(text)[0], rtol=1e-5)
+        assert all(scorer.predict(speak[k](3))[0] == f"l{k:02}" for _ in range(20))
+
+
 def test_tokens_equal_the_library(docs):
     from tokenizers import Tokenizer
 
