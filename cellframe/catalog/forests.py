@@ -4,6 +4,10 @@ Forest sizes here are small so that a check takes seconds; the library defaults
 of the full experiment (1000 trees, five replicates, every predictor set).
 """
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from cellframe.catalog.base import (
@@ -71,12 +75,27 @@ def experiment_grid(spark, sf):
     return result.drop("runtime")
 
 
+def _pdp_sets(yvar):
+    """The largest predictor set of a response."""
+    without = {"diploid_fraction": ["cyto", "trait"]}.get(yvar, ["trait"] if yvar.startswith("trait_") else [])
+    return FO.predictor_sets(without=without)[-1]
+
+
 @query()
 def pdp_surface(spark, sf):
-    frame = _cells(spark, sf)
-    fit = _fit(frame, "damage_survey", "cyto+topo+trait+height")
-    train = FO.training_frame(frame).select(*fit.xvars)
-    return PD.partial_dependence(fit.model, fit.xvars, train, PD.SURFACES["damage_survey"])
+    """Mean, sd and variation over the replicates of every surface; variables that a surface lacks are NULL."""
+    frame = settle(_cells(spark, sf))
+    trimmed = settle(FO.training_frame(frame))
+    runs = [(y, seed) for y in PD.SURFACES for seed in range(1, FO.REPLICATES + 1)]
+    with ThreadPool(3) as pool:
+        fits = dict(zip(runs, pool.map(inheritable_thread_target(spark)(lambda r: _fit(frame, r[0], _pdp_sets(r[0]), r[1])), runs)))
+    out = []
+    for y, variables in PD.SURFACES.items():
+        models = {seed: fits[y, seed].model for seed in range(1, FO.REPLICATES + 1)}
+        surfaces = PD.replicate_surfaces(models, FO.predictors(_pdp_sets(y)), trimmed, variables)
+        keys = [*[f"i_{v}" for v in variables], *variables]
+        out.append(settle(PD.summarize_surfaces(surfaces, keys).withColumn("yvar", F.lit(y))))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
 # The two summaries below need replicates; line items grouped by supplier stand in for them.

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
@@ -122,3 +123,15 @@ def test_smaller_samples_are_taken(frame):
     params = FO.parameter_grid(frame.limit(1).select(F.lit(500).cast("bigint").alias("np")), ["topo"], [1], ["height"])
     r = FO.run_experiment(frame, params, trees=2, depth=2).first()
     assert r.np == 500 and r.np_train < 500
+
+
+def test_registered_surfaces_are_all_seven_over_the_replicates(spark, sf):
+    from cellframe.catalog import QUERIES
+
+    rows = QUERIES["pdp_surface"](spark, sf).collect()
+    assert {r.yvar for r in rows} == set(PD.SURFACES)
+    for yvar, variables in PD.SURFACES.items():
+        some = [r for r in rows if r.yvar == yvar]
+        points = [PD.GRID_POINTS if v != "diploid_fraction" else 2 for v in variables]
+        assert len({tuple(r[f"i_{v}"] for v in variables) for r in some}) == len(some) <= np.prod(points)
+        assert all(r.yhat_sd is not None and r.yhat_mean is not None for r in some)
