@@ -5,9 +5,7 @@ of the full experiment (1000 trees, five replicates, every predictor set).
 """
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from cellframe.catalog.base import (
@@ -86,12 +84,9 @@ def pdp_surface(spark, sf):
     """Mean, sd and variation over the replicates of every surface; variables that a surface lacks are NULL."""
     frame = settle(_cells(spark, sf))
     trimmed = settle(FO.training_frame(frame))
-    runs = [(y, seed) for y in PD.SURFACES for seed in range(1, FO.REPLICATES + 1)]
-    with ThreadPool(3) as pool:
-        fits = dict(zip(runs, pool.map(inheritable_thread_target(spark)(lambda r: _fit(frame, r[0], _pdp_sets(r[0]), r[1])), runs)))
     out = []
-    for y, variables in PD.SURFACES.items():
-        models = {seed: fits[y, seed].model for seed in range(1, FO.REPLICATES + 1)}
+    for y, variables in PD.SURFACES.items():  # the driver holds the forests of one response at a time
+        models = {seed: _fit(frame, y, _pdp_sets(y), seed).model for seed in range(1, FO.REPLICATES + 1)}
         surfaces = PD.replicate_surfaces(models, FO.predictors(_pdp_sets(y)), trimmed, variables)
         keys = [*[f"i_{v}" for v in variables], *variables]
         out.append(settle(PD.summarize_surfaces(surfaces, keys).withColumn("yvar", F.lit(y))))
