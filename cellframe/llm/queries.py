@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import ann, bpe, chat, decontaminate, html_tree, langid, minhash, pii, substring_dedup, toxicity
+from cellframe.llm import ann, bpe, chat, decontaminate, html_tree, langid, minhash, periodic_runs, pii, substring_dedup, toxicity
 from cellframe.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of which repeat a stretch up to their end by the task's rule."""
+    return periodic_runs.digests(table(spark, sf_dir, "documents", "doc_id", "text"), periodic_runs.repeated_tail)
+
+
 ORACLES["op2_rlz_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
