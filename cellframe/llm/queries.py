@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import ann, bpe, chat, decontaminate, html_tree, langid, minhash, periodic_runs, pii, substring_dedup, toxicity
+from cellframe.llm import ann, bpe, chat, decontaminate, html_tree, langid, minhash, packing, periodic_runs, pii, substring_dedup, toxicity
 from cellframe.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,14 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op12_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tokens, closed by id 2, in sequences of at most 4,096 tokens."""
+    rows, dtype = packing.tokenized(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY, 2)
+    pieces = packing.pack(rows, dtype)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, a tenth of which repeat a stretch up to their end by the task's rule."""
