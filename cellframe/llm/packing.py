@@ -22,7 +22,10 @@ encoded, a slice of about a megabyte (or one longer text) at a time."""
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,43 +34,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellframe.llm.bpe import byte_letters
 from cellframe.llm.common import text_slices
 from cellframe.llm.running import running
 from cellframe.spark import settle
 
 WINDOW = 4096
 #: Bytes of remembered pieces of text in each task; the store is emptied when full, which changes no result.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
 _RANKS = 1 << 45
 
 
+#: Fixed value: the split by which a definition takes a run of letters, and a run of marks after it, as one word each.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters that normalization only lower-cases, then marks: most pieces of text.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+
+
 class PieceEncoder:
-    """Ids of whole texts by a tokenizers definition, as bytes, piece by piece between ASCII white space."""
+    """Ids of whole texts by a tokenizers definition, as bytes, piece by piece between ASCII white space.
+
+    Pieces that are not known yet go through the library side by side, with an added token between them. Where the
+    definition lower-cases and splits by WORD_SPLIT, Latin letters with marks behind go straight to the library's model
+    as the two words that they are."""
+
+    BORDER = "\0|\0"
 
     def __init__(self, definition: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.dtype, self.known, self.held = dtype, {}, 0
+        self.plain, self.joined = Tokenizer.from_str(definition), Tokenizer.from_str(definition)
+        for t in (self.plain, self.joined):
+            t.no_truncation()
+            t.no_padding()
+        self.joined.add_special_tokens([self.BORDER])
+        self.border = self.joined.token_to_id(self.BORDER)
+        self.dtype, self.known, self.words, self.held = np.dtype(dtype), {}, {"": b""}, 0
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        spec = json.loads(definition)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        byte_level = len(split) == 2 and split[1].get("type") == "ByteLevel" and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+        self.simple = steps == ["NFC", "Replace", "Lowercase"] and byte_level and split[0].get("pattern") == {"Regex": WORD_SPLIT}
+        self.model, self.letters = self.plain.model, dict(enumerate(byte_letters()))
+
+    def _word(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        self.held += len(word) + len(ids) + 180
+        return ids
 
     def _learn(self, pieces: list[bytes]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.dtype).tobytes()
-                self.known[piece] = ids
-                self.held += len(piece) + len(ids) + 200
+        rest, known, words = [], self.known, self.words
+        for piece in pieces:
+            if self.simple and (m := _SIMPLE(piece.decode())):
+                word, marks = m[1].lower(), m[2]
+                ids = words.get(word) or self._word(word)
+                if marks:
+                    ids += words.get(marks) or self._word(marks)
+                known[piece] = ids
+                self.held += len(piece) + len(ids) + 180
+            else:
+                rest.append(piece)
+        for at in range(0, len(rest), 1024):
+            self._learn_joined(rest[at : at + 1024])
+
+    def _learn_joined(self, some: list[bytes]) -> None:
+        texts = [p.decode() for p in some]
+        if any(self.BORDER in t for t in texts):
+            ids = [np.array(self.plain.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in texts]
+        else:
+            every = np.array(self.joined.encode_batch_fast([self.BORDER.join(texts)], add_special_tokens=False)[0].ids, np.int64)
+            size = self.dtype.itemsize
+            cuts = (np.flatnonzero(every == self.border) * size).tolist()
+            raw = every.astype(self.dtype).tobytes()
+            ids = [raw[s:e] for s, e in zip([0, *[c + size for c in cuts]], [*cuts, len(raw)], strict=True)]
+        self.known.update(zip(some, ids, strict=True))
+        self.held += sum(map(len, some)) + sum(map(len, ids)) + 180 * len(some)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
-            self.known, self.held = {}, 0
         split = [(t or "").encode().split() for t in texts]
-        known = self.known
-        self._learn(list({p for pieces in split for p in pieces if p not in known}))
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+        if self.held > CACHE_BYTES:
+            self.known, self.words, self.held = {}, {"": b""}, 0
+        self._learn(list(set().union(*split).difference(self.known)))
+        find = self.known.__getitem__
+        return [b"".join(map(find, pieces)) for pieces in split]
+
+
+_ENCODERS: dict[tuple[int, int, str], PieceEncoder] = {}
+
+
+def loaded(definition: str, dtype: str) -> PieceEncoder:
+    """The encoder of a definition, built once in each Python worker."""
+    key = (len(definition), hash(definition), dtype)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(definition, dtype)
+    return _ENCODERS[key]
 
 
 def _ids_type(definition: str) -> str:
@@ -85,7 +149,7 @@ def tokenized(docs: DataFrame, path: str, closing: int) -> tuple[DataFrame, str]
     last = np.array([closing], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(spec.value, dtype)
+        encoder = loaded(spec.value, dtype)
         for part in text_slices(batches, 1):
             ids = [b + last for b in encoder.encode(part.column(1).to_pylist())]
             n = [len(b) // len(last) for b in ids]

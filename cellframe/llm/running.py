@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from cellframe.spark import settle
 
+#: Most rows that a range has in the mean; more ranges are made beyond it.
+RANGE_ROWS = 100_000
+
 
 def _local(batches: Iterator[pa.RecordBatch], key: Sequence[str], totals: Mapping[str, tuple[str, str]]) -> Iterator[pa.RecordBatch]:
     """Totals of a sorted range by itself; ``lead`` marks rows of its first group."""
@@ -56,8 +59,8 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[str], totals: Map
 
     ``totals`` maps a new column to (column, 'sum' or 'xor'). Rows are dealt by ranges of key and order, so a group may
     span any number of tasks; a task keeps one row's totals. What a range continues from earlier ones is a table of at
-    most two rows a range. Rows that tie are taken in any order, once: the result is written. ``df`` is read twice."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most two rows a range. Rows that tie are taken in any order, once: the result is written. ``df`` is counted and read twice."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     schema = T.StructType([*df.schema.fields, T.StructField("range", T.LongType()), *[T.StructField(n, T.LongType()) for n in totals], T.StructField("lead", T.BooleanType())])
     ranged = df.repartitionByRange(parts, *key, *order).withColumn("range", F.spark_partition_id().cast("long")).sortWithinPartitions(*key, *order)
     local = settle(ranged.mapInArrow(lambda batches: _local(batches, key, totals), schema))

@@ -93,6 +93,17 @@ def test_pieces(docs):
     assert packing.pack(none, dtype).count() == 0
 
 
+def test_ids_equal_the_library_for_odd_pieces():
+    definition = open(VOCABULARY).read()
+    encoder, tokenizer = packing.PieceEncoder(definition, "<u2"), Tokenizer.from_file(VOCABULARY)
+    texts = ["a" + chr(c) + "b " + chr(c) + " " + chr(c) + ", X" + chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts += ["J\u030c J\u030c.", "a.b, c!? 's it's I'm Été, ÀÿSSß...", "x\0|\0y z", "<|ENDOFTEXT|> <|endoftext|>,", None, ""]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encoder.simple
+    for _ in range(2):  # the second time from the store
+        assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(texts)] == want
+
+
 def test_query(spark, sf):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     ids = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
