@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import ann, bpe, chat, decontaminate, html_tree, langid, minhash, packing, periodic_runs, pii, substring_dedup, toxicity
+from cellframe.llm import ann, bpe, chat, decontaminate, html_tree, langid, minhash, packing, periodic_runs, pii, prefix_trie, substring_dedup, toxicity
 from cellframe.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,13 @@ def op10_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, whose first turns are shared in groups of twenty by the task's rule."""
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(prefix_trie.shared_heads(turns))
+
+
 @query
 def op12_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as tokens, closed by id 2, in sequences of at most 4,096 tokens."""

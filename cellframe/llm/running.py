@@ -54,15 +54,26 @@ def _local(batches: Iterator[pa.RecordBatch], key: Sequence[str], totals: Mappin
         yield pa.RecordBatch.from_arrays([*columns, pa.array(lead)], names=[*batch.schema.names, *totals, "lead"])
 
 
-def running(df: DataFrame, key: Sequence[str], order: Sequence[str], totals: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """``df`` with inclusive running totals inside each group of ``key`` (non-null integers) in the order of ``order``.
+def running(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    totals: Mapping[str, tuple[str, str]],
+    deal: Sequence[str] | None = None,
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """``keep`` (all) columns of ``df`` with inclusive running totals inside each group of ``key`` (non-null integers) in the order of ``order``.
 
     ``totals`` maps a new column to (column, 'sum' or 'xor'). Rows are dealt by ranges of key and order, so a group may
     span any number of tasks; a task keeps one row's totals. What a range continues from earlier ones is a table of at
-    most two rows a range. Rows that tie are taken in any order, once: the result is written. ``df`` is counted and read twice."""
+    most two rows a range. Rows that tie are taken in any order, once: the result is written. ``df`` is counted and read twice. ``deal`` names columns to form ranges
+    by in place of ``order``: short ones that it sorts alike, for rows with long texts."""
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
-    schema = T.StructType([*df.schema.fields, T.StructField("range", T.LongType()), *[T.StructField(n, T.LongType()) for n in totals], T.StructField("lead", T.BooleanType())])
-    ranged = df.repartitionByRange(parts, *key, *order).withColumn("range", F.spark_partition_id().cast("long")).sortWithinPartitions(*key, *order)
+    keep = list(keep or df.columns)
+    carried = list(dict.fromkeys([*keep, *key, *(c for c, _ in totals.values())]))
+    schema = T.StructType([*[df.schema[c] for c in carried], T.StructField("range", T.LongType()), *[T.StructField(n, T.LongType()) for n in totals], T.StructField("lead", T.BooleanType())])
+    ranged = df.repartitionByRange(parts, *key, *(deal or order)).withColumn("range", F.spark_partition_id().cast("long"))
+    ranged = ranged.sortWithinPartitions(*key, *order).select(*carried, "range")
     local = settle(ranged.mapInArrow(lambda batches: _local(batches, key, totals), schema))
     kinds = {"sum": F.sum, "xor": F.bit_xor}
     led = F.broadcast(local.filter("lead").select(*key).distinct())  # one group a range at most
@@ -73,4 +84,4 @@ def running(df: DataFrame, key: Sequence[str], order: Sequence[str], totals: Map
     for n, (_, k) in totals.items():
         add = F.coalesce(F.col(f"_{n}"), F.lit(0))
         out = out.withColumn(n, F.col(n).bitwiseXOR(add) if k == "xor" else F.col(n) + add)
-    return out.select(*df.columns, *totals)
+    return out.select(*keep, *totals)
