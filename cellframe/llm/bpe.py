@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import map_rows, sha256_hex
+from cellframe.llm.common import kept, map_rows, sha256_hex
 
-#: Pre-tokens kept with their tokens in each task; the store is emptied when full, which changes no result.
-CACHE_WORDS = 250_000
+#: Bytes of pre-tokens kept with their tokens in each worker; the store is emptied when full, which changes no result.
+CACHE_BYTES = 24 << 20
 #: Symbols of a pre-token that are merged at once.
 WINDOW = 512
 #: Characters of a text that are split into pre-tokens at a time.
@@ -154,6 +154,7 @@ class Encoder:
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._letters = byte_letters()
         self._cache: dict[str, bytes] = {}
+        self._held = 0
         self._spaces = regex.compile(r"\s+")
         self._latin = re.compile("[a-z]+|[0-9]|[^ a-z0-9]+").findall
 
@@ -165,22 +166,23 @@ class Encoder:
         letters, vocab = self._letters, self.vocab
         symbols = "".join([letters[b] for b in word.encode()])
         ids = array("I", [vocab[t] for t in self.merges.tokens(symbols) if t in vocab]).tobytes()
-        if len(self._cache) >= CACHE_WORDS:
-            self._cache.clear()
         if len(word) <= 64:
+            if self._held > CACHE_BYTES:
+                self._cache, self._held = {}, 0
             self._cache[word] = ids
+            self._held += 2 * len(word) + len(ids) + 180  # both objects and their place in the table
         return ids
 
     def _plain(self, text: str) -> Iterator[bytes]:
         """Ids of a text without added tokens, block by block. A block ends before a space, where neither the
         normalizer nor the splitter looks across."""
-        at, cache = 0, self._cache
+        at = 0
         while at < len(text):
             upto = len(text)
             if upto - at > BLOCK and (cut := text.find(" ", at + BLOCK)) >= 0:
                 upto = cut
             for word in self._pieces(self.normalize(text[at:upto])):
-                yield cache.get(word) or self._word(word)
+                yield self._cache.get(word) or self._word(word)
             at = upto
 
     def stream(self, text: str) -> Iterator[bytes]:
@@ -234,16 +236,9 @@ class Decoder:
         return text
 
 
-_LOADED: dict[tuple[int, int], Encoder] = {}
-
-
 def loaded(definition: str) -> Encoder:
     """The encoder of a definition, built once in each Python worker."""
-    key = (len(definition), hash(definition))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Encoder(definition)
-    return _LOADED[key]
+    return kept(("bpe", len(definition), hash(definition)), lambda: Encoder(definition))
 
 
 def read_definition(path: str) -> str:

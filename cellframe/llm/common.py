@@ -67,6 +67,29 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Itera
     return df.mapInArrow(run, schema)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, build: Callable[[], object]):
+    """What ``build`` gives, built once in each Python worker. A worker keeps one such model: that of another operator
+    goes when the next is built, so the stages of a pipeline do not pile theirs up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+#: Rows of an Arrow batch between the JVM and Python for tables of whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's 10,000 rows, for stages that carry whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import arrow_batch, arrow_fields, map_rows, text_slices
+from cellframe.llm.common import STEP, arrow_batch, arrow_fields, kept, map_rows
 from cellframe.spark import settle
 
 #: Longest context in bytes.
@@ -191,15 +191,9 @@ class Scorer:
         return self.model.langs[best], 1.0 / sum(2.0 ** max(-1000.0, -(b - bits[best])) for b in bits)
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """The scorer of a broadcast model, built once in each Python worker."""
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = Scorer(model)
-    return _SCORERS[id(model)]
+    return kept(("langid", id(model)), lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -218,21 +212,22 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that have a language, with all their columns; a null ``lang`` takes the predicted one. Rows that
-    get ``und`` (null text, no letter) go. Without a model only those go."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+    get ``und`` (null text, no letter) go. Without a model only those go. Only texts go to Python, only languages back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _scorer(shared.value) if shared.value is not None else None
-        for part in text_slices(batches, text_at):
-            texts, langs = part.column(text_at).to_pylist(), part.column(lang_at).to_pylist()
-            if scorer is None:
-                keep = [t is not None and any(map(str.isalpha, t)) for t in texts]
-            else:
-                found = [scorer.predict(t)[0] for t in texts]
-                keep = [f != "und" for f in found]
-                langs = [f if lang is None else lang for f, lang in zip(found, langs, strict=True)]
-            columns = [pa.array(langs, pa.string()) if k == lang_at else c for k, c in enumerate(part.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+        for texts in batches:
+            out: list[str | None] = []
+            for at in range(0, len(texts), STEP):
+                some = texts.slice(at, STEP).to_pylist()
+                if scorer is None:
+                    out += [None if t is not None and any(map(str.isalpha, t)) else "und" for t in some]
+                else:
+                    out += [scorer.predict(t)[0] for t in some]
+            yield pa.array(out, pa.string())
+
+    found = "_".join([*docs.columns, "found"])  # no column of docs has this name
+    kept_rows = docs.withColumn(found, language(F.col("text"))).filter(F.coalesce(F.col(found) != "und", F.lit(True)))
+    return kept_rows.withColumn("lang", F.coalesce("lang", found)).select(*docs.columns)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm.bpe import byte_letters
-from cellframe.llm.common import text_slices
+from cellframe.llm.common import kept, text_slices
 from cellframe.llm.running import running
 from cellframe.spark import settle
 
@@ -122,16 +122,9 @@ class PieceEncoder:
         return [b"".join(map(find, pieces)) for pieces in split]
 
 
-_ENCODERS: dict[tuple[int, int, str], PieceEncoder] = {}
-
-
 def loaded(definition: str, dtype: str) -> PieceEncoder:
     """The encoder of a definition, built once in each Python worker."""
-    key = (len(definition), hash(definition), dtype)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = PieceEncoder(definition, dtype)
-    return _ENCODERS[key]
+    return kept(("pieces", len(definition), hash(definition), dtype), lambda: PieceEncoder(definition, dtype))
 
 
 def _ids_type(definition: str) -> str:

@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +103,7 @@ def ips_from(text: str, at: int) -> tuple[list[Span], int]:
                 at = end + 1
                 continue
             break
-        if len(numbers) == 4 and all(e - s <= 3 or text[s:e].lstrip("0")[3:] == "" for s, e in numbers) and all(int(text[s:e]) <= 255 for s, e in numbers):
+        if len(numbers) == 4 and all(e - s <= 3 or text[s:e].lstrip("0")[3:] == "" for s, e in numbers) and all(int(text[s:e].lstrip("0") or "0") <= 255 for s, e in numbers):
             found.append((numbers[0][0], numbers[3][1]))
         if len(numbers) == 4 and end + 1 < len(text) and text[end] == "." and text[end + 1] in _DIGIT:
             at = end + 1  # the run goes on after a complete match
@@ -192,15 +192,18 @@ def iban_before(text: str, digit: int) -> Span | None:
     return (start, end) if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else None
 
 
-def secret_after(text: str, end: int) -> Span | None:
+def secret_after(text: str, end: int) -> tuple[Span | None, int]:
+    """The value after a cue, and the end of the run of its signs. Where a run gives nothing, it is too short or has no
+    digit, so no later cue inside it can give more."""
     start = end + (text[end : end + 1] in ("'", '"'))
     stop = start
     while stop < len(text) and (text[stop].isalnum() or text[stop] in "_-+/.=!$%&*"):
         stop += 1
+    run = stop
     while stop > start and text[stop - 1] in ".!=":
         stop -= 1
     value = text[start:stop]
-    return (start, stop) if len(value) >= 6 and any(c in _DIGIT for c in value) else None
+    return (start, stop) if len(value) >= 6 and any(c in _DIGIT for c in value) else None, run
 
 
 class Finder:
@@ -210,6 +213,7 @@ class Finder:
     def spans(self, text: str) -> dict[str, list[Span]]:
         found: dict[str, list[Span]] = {k: [] for k in KINDS}
         done = dict.fromkeys((*KINDS, "digit"), 0)
+        read = 0  # up to here a run after a cue held no value
         for last, (kind, size) in self.anchors.iter(text):
             at = last - size + 1
             if kind == "digit":
@@ -242,11 +246,14 @@ class Finder:
                 elif kind == "login":
                     span = login_at(text, last + 1)
                 elif kind == "secret":
-                    span = secret_after(text, last + 1)
+                    if last + 1 < read:
+                        continue
+                    span, run = secret_after(text, last + 1)
+                    read = 0 if span else run
                 else:
-                    end = run_end(text, at, _CAPITAL)
                     clear = at == 0 or not text[at - 1].isalnum()
-                    span = (at, end) if clear and end - at == 20 else None
+                    end = at + run_end(text[at : at + 21], 0, _CAPITAL) if clear else at
+                    span = (at, end) if end - at == 20 else None
                 if span and span[0] >= done[name]:
                     done[name] = span[1]
                     found[name].append(span)
@@ -299,10 +306,10 @@ def masked(text: str, found: dict[str, list[Span]]) -> str:
 
 def mask(texts: Column) -> Column:
     """The column with personal data masked; null stays null."""
-    @F.pandas_udf("string")
-    def apply(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         finder = _finder()
-        for v in values:
-            yield v.map(lambda t: None if t is None else masked(t, finder.spans(t)))
+        for values in batches:
+            yield pa.array([None if t is None else masked(t, finder.spans(t)) for t in values.to_pylist()], pa.string())
 
     return apply(texts)
