@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.llm import bpe, decontaminate, langid, minhash, pii
-from cellframe.llm.common import table
+from cellframe.llm.common import small_batches, table
 from cellframe.llm.queries import VOCABULARY
 from cellframe.spark import settle
 
@@ -19,11 +19,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: null texts and texts without a letter go, a missing language is filled in."""
+    small_batches(spark)
     return langid.identified(docs, langid.train(docs.select("doc_id", "lang", "text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id."""
+    small_batches(spark)
     return minhash.deduplicated(docs)
 
 
@@ -34,12 +36,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked; n_chars follows the text."""
+    small_batches(spark)
     masked = docs.withColumn("text", pii.mask(F.col("text")))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
+    small_batches(spark)
     return bpe.encode(docs, VOCABULARY)
 
 
