@@ -228,6 +228,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
                     out += [scorer.predict(t)[0] for t in some]
             yield pa.array(out, pa.string())
 
+    language = language.asNondeterministic()  # or the optimizer would run it for the filter and once more for the column
     found = "_".join([*docs.columns, "found"])  # no column of docs has this name
     kept_rows = docs.withColumn(found, language(F.col("text"))).filter(F.coalesce(F.col(found) != "und", F.lit(True)))
     return kept_rows.withColumn("lang", F.coalesce("lang", found)).select(*docs.columns)
