@@ -39,6 +39,8 @@ BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
 #: Darts wanted for a document: all coordinates are hit with high probability.
 DARTS = COORDINATES * (math.log(COORDINATES) + 4)
+#: Bytes of text that a task hashes at a time; its tables and arrays grow with it.
+SLICE = 1 << 18
 #: Share of equal coordinates below which a pair is not verified: 4.5 deviations below THRESHOLD.
 LEAST_EQUAL = 0.6
 #: Nodes of a family that stand in one block.
@@ -111,7 +113,7 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, n: int, weight: np.ndarray)
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band keys, total weight and a 128-bit hash of the words of each text."""
-    for part in text_slices(batches, 1):
+    for part in text_slices(batches, 1, SLICE):
         w = Words(part.column(1), BYTE_POWERS)
         n = part.num_rows
         hashes, doc = shingles(w)
@@ -132,7 +134,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Signature (8 bits a coordinate) and sorted cells (CELL bytes each) of each text, beside its places."""
-    for part in text_slices(batches, 1):
+    for part in text_slices(batches, 1, SLICE):
         n = part.num_rows
         hashes, doc = shingles(Words(part.column(1), BYTE_POWERS))
         weight = np.bincount(doc, minlength=n)
