@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
                     else 2600e0 + 7e0 * (r % 150) + 5e-1 * c + p / 93e3 end as elev,
                case when k % 10 < 8 then cast(((r - r % 10) / 10 + (c - c % 20) / 20) % 3 as bigint)
                     else k % 3 end as cover,
-               case when st <> 'F' then 1 else 0 end as shade,
+               case when st = 'F' and k % 4 = 0 then 0 else 1 end as shade,
                p / 17e3 as height
         from (select o_orderkey + 1 as cell_id, cast((o_orderkey - o_orderkey % 100) / 100 as bigint) as r,
                      o_orderkey % 100 as c, o_custkey as k, o_orderstatus as st, o_totalprice as p
@@ -47,6 +47,8 @@ VIEWS: dict[str, str] = {
     "attrs": """
         select l_orderkey + 1 as cell_id,
                case when sum(l_linenumber) % 11 = 0 then -1e0
+                    when min(((l_orderkey - l_orderkey % 500) / 500 + (l_orderkey % 100 - l_orderkey % 5) / 5) % 4) = 0 then 1e0
+                    when min(((l_orderkey - l_orderkey % 500) / 500 + (l_orderkey % 100 - l_orderkey % 5) / 5) % 4) = 1 then 0e0
                     else cast(sum(cast(round(l_discount * 100) as bigint)) as double) / (1e1 * count(*)) end as cyto_raw,
                cast(sum(cast(l_quantity as bigint)) as double) / (4e0 * count(*)) as trait_n,
                cast(sum(cast(round(l_tax * 100) as bigint)) as double) / (25e0 * count(*)) as trait_n_unc,
@@ -182,6 +184,14 @@ FULL_SQL = "full_cells as (select * from cells left join attrs using (cell_id))"
 
 CYTOTYPE_SQL = "case when cover = 0 and shade = 1 and cyto_raw >= -1e-4 then case when cyto_raw > 5e-1 then 1e0 else 0e0 end end"
 
+def lattice_sql(by: str, source: str, nodes: int = 2045) -> str:
+    """``k``: (by, v, k) lattice weights of ``source`` (by, v, lo, hi)."""
+    step = f"((hi - lo) / {nodes - 1}e0)"
+    return f"""placed as (select {by}, lo, hi, case when hi > lo then (v - lo) / {step} else 0e0 end as t from {source}),
+    sums as (select {by}, lo, hi, j, count(*) as n, sum(t - j) as s from (select *, least(floor(t), {nodes - 2}e0) as j from placed) a group by all),
+    k as (select {by}, lo + j * {step} as v, n - s as k from sums union all select {by}, lo + (j + 1) * {step}, s from sums)"""
+
+
 TERRAIN_SQL = """
     horn as (
       select r, c, sum(wx * z) / 8e1 as p, sum(wy * z) / 8e1 as q

@@ -16,6 +16,7 @@ from cellframe.catalog.base import (
     model_ctes,
     modelling,
     query,
+    r6,
     rounded,
     sql_r6,
     view,
@@ -97,23 +98,16 @@ RESAMPLED = ", ".join(
 @query(
     ctes("cells")
     + f""", {RESAMPLED},
-    v as (
-      select w.r, w.c,
-        case when wr < 1 and wc < 1 and a.elev is null then null else
-        (1 - wr) * (1 - wc) * a.elev
-          + case when wc = 0 then 0 else (1 - wr) * wc * b.elev end
-          + case when wr = 0 then 0 else wr * (1 - wc) * d.elev end
-          + case when wr = 0 or wc = 0 then 0 else wr * wc * e.elev end end as elev
-      from w join cells a on a.r = w.r0 and a.c = w.c0
-      left join cells b on b.r = w.r0 and b.c = w.c0 + 1
-      left join cells d on d.r = w.r0 + 1 and d.c = w.c0
-      left join cells e on e.r = w.r0 + 1 and e.c = w.c0 + 1)
-    select r, c, round(elev, 6) + 0e0 as elev from v where elev is not null"""
+    n as (select w.r, w.c, r0 + dr as nr, c0 + dc as nc, case when dr = 1 then wr else 1 - wr end * case when dc = 1 then wc else 1 - wc end as k
+      from (select w.*, t.x, t.y from w join t on t.r = w.r and t.c = w.c) w cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(dr, dc)
+      where x between 320000 and 321000 and y between 45e5 - 10 * (select ceil(count(*) / 1e2) from cells) and 45e5)
+    select n.r, n.c, round(sum(k * elev) / sum(k), 5) + 0e0 as elev from n join cells m on m.r = nr and m.c = nc
+    where elev is not null and k > 0 group by 1, 2"""
 )
 def resample_bilinear(spark, sf):
     src = grid_for(spark, sf)
     target = Grid(320003.0, 4499996.0, 12.5, 12.5, -(-src.nrow * 8 // 10), NCOL * 8 // 10)
-    return rounded(focal.resample_bilinear(view(spark, sf, "cells"), src, target, "elev", TILE), "elev")
+    return focal.resample_bilinear(view(spark, sf, "cells"), src, target, "elev").withColumn("elev", r6("elev", 5))
 
 
 @query(

@@ -68,13 +68,8 @@ def damage_first_year(spark, sf):
 )
 def stack_layers_wide(spark, sf):
     first, second = ["elev", "cover", "shade", "height"], ["cyto_raw", "dh"]
-    long = S.union_all(
-        [
-            S.to_long(view(spark, sf, "cells"), first, ["cell_id"]),
-            S.to_long(view(spark, sf, "attrs"), second, ["cell_id"]),
-        ]
-    )
-    return rounded(S.stack_layers(long, first + second, ["cell_id"]), *first, *second)
+    wide = S.align([(view(spark, sf, "cells"), first), (view(spark, sf, "attrs"), second)], ["cell_id"])
+    return rounded(wide, *first, *second)
 
 
 @query(ctes("damage_year") + " select year, count(*) as n_cells from damage_year group by year")
@@ -174,6 +169,24 @@ def cover_gapfill_5(spark, sf):
     return L.cytotype_layers(full_cells(spark, sf), 5).select("r", "c", "cytotype", "cytotype_filled")
 
 
+_HOLES = "cell_id % 7 <> 3 and ((r - r % 5) / 5 + (c - c % 5) / 5) % 9 <> 4"  # single cells and whole blocks are absent
+
+
+@query(
+    ctes("cells", "attrs")
+    + f""", {FULL_SQL},
+    t as (select r, c, {CYTOTYPE_SQL} as cytotype from full_cells where {_HOLES}),
+    b as (select cast((r - r % 5) / 5 as bigint) as br, cast((c - c % 5) / 5 as bigint) as bc, median(cytotype) as m from t group by 1, 2),
+    d as (select br * 5 + i as r, bc * 5 + j as c, m from b cross join (select unnest(range(0, 5)) as i) x cross join (select unnest(range(0, 5)) as j) y
+      where br * 5 + i < (select ceil(count(*) / 1e2) from cells))
+    select d.r, d.c, cytotype, coalesce(cytotype, m) as cytotype_filled from d left join t on t.r = d.r and t.c = d.c"""
+)
+def cover_gapfill_holes(spark, sf):
+    """Gap fill of a cell table with absent cells and absent blocks: cells of blocks with data are all filled."""
+    cells = full_cells(spark, sf).filter(_HOLES)
+    return L.cytotype_layers(cells, 5, grid_for(spark, sf)).select("r", "c", "cytotype", "cytotype_filled")
+
+
 @query(
     ctes("cells")
     + " select cell_id, r, c, "

@@ -1,19 +1,24 @@
-"""Random forests, partial dependence and their summaries.
+"""Random forests, partial dependence and their summaries, over the coarse table.
 
 Forest sizes here are small so that a check takes seconds; the library defaults are those
 of the full experiment (1000 trees, five replicates, every predictor set).
 """
 
+import uuid
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from cellframe.catalog.base import (
     BLOCK,
+    NCOL,
+    RES,
     SPATIAL_BLOCK,
-    TILE,
-    full_cells,
-    grid_for,
+    XMIN,
+    YMAX,
+    lattice_sql,
+    model_ctes,
     modelling,
     query,
     r6,
@@ -21,26 +26,20 @@ from cellframe.catalog.base import (
     sql_r6,
     table,
 )
+from cellframe.operators import forest_table as FT
 from cellframe.operators.confusion import regression_stats
 from cellframe.operators.density import violin
 from cellframe.operators.tables import longest_label_rows
 from cellframe.plans import forests as FO
-from cellframe.plans import layers as L
 from cellframe.plans import partial_dependence as PD
-from cellframe.spark import settle
+from cellframe.plans import runs as R
+from cellframe.spark import checkpoint_dir, settle
 
 CHECK_TREES = 20
 
 
-def _cells(spark, sf):
-    """Modelling frame of fine cells: every cell with a cytotype."""
-    g = grid_for(spark, sf)
-    cells = L.cell_table(L.layer_stack(full_cells(spark, sf), g, BLOCK, TILE), g)
-    return FO.modelling_frame(cells, SPATIAL_BLOCK)
-
-
 def _blocks(spark, sf):
-    """Modelling frame of coarse blocks."""
+    """Modelling frame of the coarse table: blocks with enough cover."""
     return FO.modelling_frame(modelling(spark, sf), SPATIAL_BLOCK)
 
 
@@ -50,46 +49,145 @@ def _fit(frame, yvar, sets, seed=1):
     return FO.fit_regression(train, test, xvars, yvar, seed, CHECK_TREES)
 
 
+def _largest_set(yvar):
+    """The largest predictor set of a response."""
+    return FO.predictor_sets(without=next(w for ys, w in R.EXPERIMENTS if yvar in ys))[-1]
+
+
 @query()
 def rf_regression_metrics(spark, sf):
-    fit = _fit(_cells(spark, sf), "trait_n", "cyto+topo+height")
+    fit = _fit(settle(_blocks(spark, sf)), "trait_n", "cyto+topo+height")
     return regression_stats(fit.scored, "trait_n", "prediction").withColumn("n_x", F.lit(len(fit.xvars)))
 
 
+def _labelled(spark, sf):
+    return settle(_blocks(spark, sf).withColumn("label", (F.col("diploid_fraction") > 0.5).cast("double")))
+
+
 @query()
 def rf_class_stats(spark, sf):
-    return FO.run_class_experiment(
-        _cells(spark, sf), "diploid_fraction", FO.predictors("topo+height"), 2, CHECK_TREES
-    )
+    return FO.run_class_experiment(_labelled(spark, sf), "label", FO.predictors("topo+height"), 2, CHECK_TREES)
 
 
 @query()
 def experiment_grid(spark, sf):
-    frame = _blocks(spark, sf)
-    sizes = frame.agg(F.count(F.lit(1)).alias("np"))
-    sets = FO.predictor_sets(without=["cyto", "trait"])
-    params = FO.parameter_grid(sizes, sets, [1, 2, 3, 4, 5], ["diploid_fraction"])
-    result = FO.run_experiment(frame, params, CHECK_TREES, parallelism=3)
-    return result.drop("runtime")
+    frame = settle(_blocks(spark, sf))
+    params = R.planned_runs(frame, experiments=R.EXPERIMENTS[:1])
+    return R.run_experiment(frame, params, CHECK_TREES, parallelism=4, reread=True).drop("runtime")
+
+
+# The plan in SQL: runs in the order of the experiments, blocks dealt by hash, complete rows counted. -----------------
+
+_FRAME_SQL = f"""places as (select 1 + r * {NCOL // BLOCK} + c as cell_id, * from model),
+    extent as (select {XMIN} + {RES * BLOCK} * (min(c) + 5e-1) as x0, {YMAX} - {RES * BLOCK} * (max(r) + 5e-1) as y0,
+      {XMIN} + {RES * BLOCK} * (max(c) + 5e-1) as x1, {YMAX} - {RES * BLOCK} * (min(r) + 5e-1) as y1 from model),
+    steps as (select p.*, {XMIN} + {RES * BLOCK} * (c + 5e-1) as x, {YMAX} - {RES * BLOCK} * (r + 5e-1) as y, x0, x1, y0, y1 from places p cross join extent),
+    ticks as (select *, cast(ceil((x - x0) / {SPATIAL_BLOCK}) as bigint) as i, cast(ceil((y - y0) / {SPATIAL_BLOCK}) as bigint) as j from steps),
+    lab as (select *,
+      case when x > x0 and i <= floor((x1 - x0) / {SPATIAL_BLOCK}) then printf('(%.2f,%.2f]', x0 + (i - 1) * {SPATIAL_BLOCK}, x0 + i * {SPATIAL_BLOCK}) else 'NA' end as x_grid,
+      case when y > y0 and j <= floor((y1 - y0) / {SPATIAL_BLOCK}) then printf('(%.2f,%.2f]', y0 + (j - 1) * {SPATIAL_BLOCK}, y0 + j * {SPATIAL_BLOCK}) else 'NA' end as y_grid from ticks),
+    frame as materialized (select *, case when damage_lidar is not null then damage_survey end as damage_survey_clipped
+      from (select *, dense_rank() over (order by x_grid, y_grid) as grid_id from lab) n where cover_fraction > 5e-1)"""
+
+_PLAN_SQL = """g(i, name) as (values (1, 'cyto'), (2, 'topo'), (3, 'trait'), (4, 'height')),
+    sets as (select x, k, row_number() over (order by k, f) as pos from (
+      select string_agg(name, '+' order by i) as x, count(*) as k, string_agg(cast(i as varchar), '' order by i) as f
+      from (select unnest(range(1, 16)) as m) s join g on (m >> (i - 1)) & 1 = 1 group by m) u),
+    y(e, sy, yvar, gone) as (values (1, 0, 'diploid_fraction', 'cyto|trait'), (2, 0, 'trait_d13c', 'trait'), (2, 1, 'trait_n', 'trait'),
+      (2, 2, 'trait_cwc', 'trait'), (3, 0, 'damage_survey', '-'), (4, 0, 'damage_lidar', '-'), (5, 0, 'damage_survey_clipped', '-')),
+    runs as (select cast(row_number() over (order by e, sy, it, pos) as int) as run_id, x as xvartype, cast(it as int) as iter, yvar
+      from y join sets on not regexp_matches(x, gone) cross join (select unnest(range(1, 6)) as it) i),
+    ids as (select unnest(range(1, (select max(grid_id) from frame) + 1)) as id),
+    dealt as (select run_id, id, row_number() over (partition by run_id order by md5(concat(id, ':1-', run_id))) as k, count(*) over (partition by run_id) as n
+      from runs cross join ids),
+    complete as (select run_id, f.grid_id, count(*) as k from runs cross join frame f
+      where (xvartype not like '%cyto%' or diploid_fraction is not null)
+        and (xvartype not like '%topo%' or (elevation is not null and cos_aspect is not null and slope is not null))
+        and (xvartype not like '%trait%' or (trait_n is not null and trait_d13c is not null and trait_cwc is not null))
+        and (xvartype not like '%height%' or height is not null)
+        and case yvar when 'diploid_fraction' then diploid_fraction when 'trait_d13c' then trait_d13c when 'trait_n' then trait_n
+          when 'trait_cwc' then trait_cwc when 'damage_survey' then damage_survey when 'damage_lidar' then damage_lidar
+          else damage_survey_clipped end is not null
+      group by 1, 2),
+    facts as (select r.run_id, cast(coalesce(sum(c.k) filter (where d.k <= floor(8e-1 * d.n)), 0) as bigint) as np_train,
+      cast(coalesce(sum(c.k) filter (where d.k > floor(8e-1 * d.n)), 0) as bigint) as n_test
+      from runs r left join complete c using (run_id) left join dealt d on d.run_id = c.run_id and d.id = c.grid_id group by 1)"""
+
+_XVARS_SQL = """array_to_string(list_filter([case when xvartype like '%cyto%' then 'diploid_fraction' end,
+      case when xvartype like '%topo%' then 'elevation*cos_aspect*slope' end, case when xvartype like '%trait%' then 'trait_n*trait_d13c*trait_cwc' end,
+      case when xvartype like '%height%' then 'height' end], lambda v: v is not null), '*')"""
 
 
-def _pdp_sets(yvar):
-    """The largest predictor set of a response."""
-    without = {"diploid_fraction": ["cyto", "trait"]}.get(yvar, ["trait"] if yvar.startswith("trait_") else [])
-    return FO.predictor_sets(without=without)[-1]
+@query(
+    model_ctes(_FRAME_SQL, _PLAN_SQL)
+    + f""" select run_id, xvartype, iter, yvar, (select count(*) from frame) as np, np_train, n_test, {_XVARS_SQL} as xvars,
+      cast(len(string_split({_XVARS_SQL}, '*')) as int) as nv from runs join facts using (run_id)"""
+)
+def experiment_plan(spark, sf):
+    """All 345 planned fits with the sizes of their splits, from one aggregation over the frame."""
+    frame = settle(_blocks(spark, sf))
+    return R.run_facts(frame, R.planned_runs(frame)).drop("cut")
+
+
+@query(
+    model_ctes(_FRAME_SQL, _PLAN_SQL)
+    + f""" select run_id, yvar, n_test, true as in_range, unnest(string_split({_XVARS_SQL}, '*')) as variable, true as share_agrees
+      from runs join facts using (run_id) where iter = 1 and xvartype in ('topo+height', 'cyto+topo+height', 'cyto+topo+trait+height')
+        and (yvar = 'diploid_fraction') = (xvartype = 'topo+height') and (yvar like 'trait%') = (xvartype = 'cyto+topo+height')"""
+)
+def forest_importance(spark, sf):
+    """One fit of every response: predictions of all test rows lie within the training response, and importance read
+    from the saved nodes has every predictor and agrees with the model's own shares."""
+    frame = settle(_blocks(spark, sf))
+    runs = R.planned_runs(frame).filter("iter = 1")
+    largest = reduce(lambda a, b: a | b, [(F.col("yvar") == y) & (F.col("xvartype") == _largest_set(y)) for y in PD.SURFACES])
+    path = f"{checkpoint_dir(spark)}/forests-{uuid.uuid4().hex}"
+    seen = []
+
+    def facts(run_id, fit):
+        limits = fit.train.agg(F.min(fit.yvar).alias("lo"), F.max(fit.yvar).alias("hi")).first()
+        inside = F.col("prediction").between(F.lit(limits.lo) - 1e-9, F.lit(limits.hi) + 1e-9)
+        n = fit.scored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min(inside), F.lit(True)).alias("inside")).first()
+        shares = fit.importance()
+        seen.extend((run_id, fit.yvar, n.n, n.inside, k, x, shares[x]) for k, x in enumerate(fit.xvars))
+
+    R.run_experiment(frame, runs.filter(largest), CHECK_TREES, parallelism=7, model_path=path, on_fit=facts, reread=True)
+    kept = spark.createDataFrame(seen, "run_id int, yvar string, n_test long, in_range boolean, k int, variable string, share double")
+    nodes = FT.saved_nodes(spark, path)
+    read = FT.normalized_importance(nodes, ["run_id"]).select("run_id", F.col("variable").alias("k"), F.col("importance").alias("read"))
+    raw = FT.raw_importance(nodes, ["run_id"]).select("run_id", F.col("variable").alias("k"), F.col("importance").alias("raw"))
+    both = kept.join(read, ["run_id", "k"], "left").join(raw, ["run_id", "k"], "left")
+    agrees = (F.abs(F.coalesce("read", F.lit(0.0)) - F.col("share")) < 1e-9) & (F.coalesce("raw", F.lit(0.0)) >= 0)
+    return both.select("run_id", "yvar", "n_test", "in_range", "variable", agrees.alias("share_agrees"))
 
 
 @query()
 def pdp_surface(spark, sf):
-    """Mean, sd and variation over the replicates of every surface; variables that a surface lacks are NULL."""
-    frame = settle(_cells(spark, sf))
-    trimmed = settle(FO.training_frame(frame))
+    """Mean, sd and variation over the replicates of every surface; variables that a surface lacks are NULL.
+
+    The runs are the plan's largest sets. Forests are saved, their split points come from one reading of all nodes, and
+    surfaces from vectors of bins."""
+    frame = settle(_blocks(spark, sf))
+    trimmed = settle(FO.training_frame(frame, reread=True))
+    largest = reduce(lambda a, b: a | b, [(F.col("yvar") == y) & (F.col("xvartype") == _largest_set(y)) for y in PD.SURFACES])
+    plan = settle(R.planned_runs(frame).filter(largest), small=True)
+    path = f"{checkpoint_dir(spark)}/forests-{uuid.uuid4().hex}"
+    models, xvars = {y: {} for y in PD.SURFACES}, {}
+
+    def keep(run_id, fit):
+        models[fit.yvar][run_id] = fit.model
+        xvars[fit.yvar] = fit.xvars
+
+    R.run_experiment(frame, plan, CHECK_TREES, parallelism=8, model_path=path, on_fit=keep, reread=True)
+    cuts = defaultdict(dict)
+    for r in FT.split_points(FT.saved_nodes(spark, path), ["run_id"]).collect():  # fewer than 32 values a variable
+        cuts[r.run_id][r.variable] = r.cuts
     out = []
-    for y, variables in PD.SURFACES.items():  # the driver holds the forests of one response at a time
-        models = {seed: _fit(frame, y, _pdp_sets(y), seed).model for seed in range(1, FO.REPLICATES + 1)}
-        surfaces = PD.replicate_surfaces(models, FO.predictors(_pdp_sets(y)), trimmed, variables)
+    for y, variables in PD.SURFACES.items():
+        named = {k: {x: cuts[k].get(i, []) for i, x in enumerate(xvars[y])} for k in models[y]}
+        surfaces = PD.replicate_surfaces(models[y], xvars[y], trimmed, variables, cuts=named)
         keys = [*[f"i_{v}" for v in variables], *variables]
-        out.append(settle(PD.summarize_surfaces(surfaces, keys).withColumn("yvar", F.lit(y))))
+        out.append(PD.summarize_surfaces(surfaces, keys).withColumn("yvar", F.lit(y)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
@@ -122,21 +220,24 @@ def pdp_summary(spark, sf):
 
 
 _RUNS_SQL = """runs as (
-      select cast(l_suppkey as int) + 1 as run_id, avg(l_tax) as r2, count(*) % 3 as np,
+      select cast(l_suppkey as int) + 1 as run_id, avg(l_tax) * 12e0 as r2, count(*) % 3 as np,
         case l_suppkey % 6 when 0 then 'cyto' when 1 then 'topo' when 2 then 'cyto+topo' when 3 then 'trait+height'
-          when 4 then 'cyto+topo+trait' else 'cyto+trait+topo' end as xvartype
+          when 4 then 'cyto+topo+trait' else 'cyto+trait+topo' end as xvartype,
+        case when l_suppkey % 12 < 6 then 'trait_n' else 'trait_cwc' end as yvar
       from lineitem group by l_suppkey)"""
 
 _SETS = ["cyto", "topo", "cyto+topo", "trait+height", "cyto+topo+trait", "cyto+trait+topo"]
+_LIMITS = (0.0, 0.5)  # fixed value: range of the violins
 
 
 def _runs(spark, sf):
     kind = F.get(F.array(*[F.lit(s) for s in _SETS]), (F.col("l_suppkey") % 6).cast("int"))
+    response = F.when(F.col("l_suppkey") % 12 < 6, "trait_n").otherwise("trait_cwc")
     return (
         table(spark, sf, "lineitem")
         .groupBy("l_suppkey")
-        .agg(F.avg("l_tax").alias("r2"), (F.count(F.lit(1)) % 3).alias("np"))
-        .select((F.col("l_suppkey").cast("int") + 1).alias("run_id"), "r2", "np", kind.alias("xvartype"))
+        .agg((F.avg("l_tax") * F.lit(12.0)).alias("r2"), (F.count(F.lit(1)) % 3).alias("np"))
+        .select((F.col("l_suppkey").cast("int") + 1).alias("run_id"), "r2", "np", kind.alias("xvartype"), response.alias("yvar"))
     )
 
 
@@ -163,28 +264,29 @@ def best_run_summary(spark, sf):
 @query(
     f"""with {_RUNS_SQL}, levels(level_rank, xvartype) as (values (1, 'cyto'), (2, 'topo'), (3, 'cyto+topo'),
       (4, 'trait+height'), (5, 'cyto+topo+trait'), (6, 'cyto+trait+topo'))
-    select xvartype, cast(level_rank as int) as level_rank, round(median(r2), 6) + 0e0 as median
-    from runs join levels using (xvartype) group by 1, 2"""
+    select yvar, xvartype, cast(level_rank as int) as level_rank, round(median(r2), 6) + 0e0 as median
+    from runs join levels using (xvartype) where r2 between 0 and 5e-1 group by 1, 2, 3"""
 )
 def violin_median(spark, sf):
-    median, _ = violin(_runs(spark, sf), "r2", ["xvartype"])
+    median, _ = violin(settle(_runs(spark, sf)), "r2", ["yvar", "xvartype"], limits=_LIMITS)
     rank = F.array_position(F.array(*[F.lit(s) for s in _SETS]), F.col("xvartype")).cast("int")
-    return rounded(median.withColumn("level_rank", rank), "median").orderBy("level_rank")
+    return rounded(median.withColumn("level_rank", rank), "median").orderBy("yvar", "level_rank")
 
 
 @query(
     f"""with {_RUNS_SQL},
-    q as (select xvartype, count(*) as n, stddev_samp(r2) as sd, quantile_cont(r2, 25e-2) as q1,
-      quantile_cont(r2, 75e-2) as q3, min(r2) as lo, max(r2) as hi from runs group by 1),
+    q as (select yvar, xvartype, count(*) as n, stddev_samp(r2) as sd, quantile_cont(r2, 25e-2) as q1,
+      quantile_cont(r2, 75e-2) as q3, min(r2) as lo, max(r2) as hi from runs where r2 between 0 and 5e-1 group by 1, 2),
     bw as (select *, 9e-1 * coalesce(nullif(least(sd, (q3 - q1) / 134e-2), 0), nullif(sd, 0), nullif(abs(lo), 0), 1)
-      * power(n, -2e-1) as bw from q)
-    select r.xvartype, cast(i as int) as i, round(any_value(lo + i * (hi - lo) / 511e0), 6) + 0e0 as x,
-      round(sum(exp(-5e-1 * power((lo + i * (hi - lo) / 511e0 - r2) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 4)
+      * power(n, -2e-1) as bw from q),
+    {lattice_sql("yvar, xvartype", "(select q.yvar, q.xvartype, r2 as v, lo, hi from runs r join q on q.yvar = r.yvar and q.xvartype = r.xvartype where r2 between 0 and 5e-1) s")}
+    select k.yvar, k.xvartype, cast(i as int) as i, round(any_value(lo + i * (hi - lo) / 511e0), 6) + 0e0 as x,
+      round(sum(k * exp(-5e-1 * power((lo + i * (hi - lo) / 511e0 - v) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 4)
         + 0e0 as density
-    from runs r join bw on bw.xvartype = r.xvartype cross join (select unnest(range(0, 512)) as i) n group by 1, 2"""
+    from k join bw on bw.xvartype = k.xvartype and bw.yvar = k.yvar cross join (select unnest(range(0, 512)) as i) n group by 1, 2, 3"""
 )
 def violin_density(spark, sf):
-    _, dens = violin(settle(_runs(spark, sf)), "r2", ["xvartype"])
+    _, dens = violin(settle(_runs(spark, sf)), "r2", ["yvar", "xvartype"], limits=_LIMITS)
     return rounded(dens, "x").withColumn("density", r6("density", 4))
 
 

@@ -9,6 +9,7 @@ from cellframe.catalog.base import (
     ctes,
     full_cells,
     grid_for,
+    lattice_sql,
     model_ctes,
     modelling,
     query,
@@ -93,7 +94,7 @@ def site_damage_flags(spark, sf):
     bw as (select variable, damage, n, 9e-1 * coalesce(nullif(least(sd, (q3 - q1) / 134e-2), 0), nullif(sd, 0),
         nullif(abs(lo), 0), 1) * power(n, -2e-1) as bw from q),
     g as (select cast(unnest(range(0, 512)) as int) as i),
-    k as (select variable, damage, v, count(*) as k from d group by 1, 2, 3)
+    {lattice_sql("variable, damage", "(select *, 0e0 as lo, 1e0 as hi from d) s")}
     select k.variable, k.damage, i, round(i / 511e0, 6) + 0e0 as x,
       round(sum(k * exp(-5e-1 * power((i / 511e0 - v) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 6) + 0e0
         as density

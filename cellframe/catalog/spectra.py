@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cellframe.catalog.base import BAD, BAND_STEP, FIRST_BAND, ctes, query, r6, rounded, sql_r6, table, view
+from cellframe.catalog.base import BAD, BAND_STEP, FIRST_BAND, ctes, lattice_sql, query, r6, rounded, sql_r6, table, view
 from cellframe.catalog.joins import _SITE_DAMAGE_SQL, _site_damage
 from cellframe.operators import confusion as C
 from cellframe.operators import density as D
@@ -142,7 +142,7 @@ _KDE_SQL = """
         min(v) as lo from d group by g),
     bw as (select g, n, 9e-1 * coalesce(nullif(least(sd, (q3 - q1) / 134e-2), 0), nullif(sd, 0), nullif(abs(lo), 0), 1)
         * power(n, -2e-1) as bw from q),
-    k as (select g, v, count(*) as k from d group by 1, 2)"""
+    """ + lattice_sql("g", "(select *, 0e0 as lo, 1e0 as hi from d) s")
 
 
 @query(

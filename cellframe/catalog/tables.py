@@ -25,6 +25,7 @@ from cellframe.operators import quantiles as Q
 from cellframe.operators import sampling as M
 from cellframe.operators import spatial_blocks as SB
 from cellframe.operators import tables as T
+from cellframe.operators.stack import union_all
 from cellframe.plans import forests as FO
 from cellframe.plans import layers as L
 from cellframe.plans import partial_dependence as PD
@@ -76,7 +77,7 @@ def area_by_bin_cosaspect(spark, sf):
 
 
 def _trimmed_sql() -> str:
-    frame = f"frame as (select * from model where {COMPLETE_SQL})"
+    frame = f"frame as (select * from model where cover_fraction > 5e-1 and {COMPLETE_SQL})"
     cond = " and ".join(
         f"{c} > {_quantile_sql(c, '1e-2', 'frame')} and {c} < {_quantile_sql(c, '99e-2', 'frame')}" for c in TRIM
     )
@@ -108,8 +109,7 @@ def _prevalence(spark, sf, x, y, label):
     if label:
         df = df.withColumn("cytotype", A.recode_threshold(F.col("diploid_fraction"), 0.5, "diploid", "triploid"))
         by = ["cytotype"]
-    # small test blocks are rarely half covered: any cover counts here
-    trimmed = FO.training_frame(df, 0.0, reread=True)
+    trimmed = FO.training_frame(df, reread=True)
     return rounded(PD.prevalence(df, trimmed, x, y, by), f"{x}_bin", f"{y}_bin", "sqrt_share")
 
 
@@ -140,9 +140,9 @@ _TABLE_SQL = (
 )
 
 
-def _damage_table(spark, sf):
+def _damage_table(spark, sf, damage="damage_survey"):
     stack = L.layer_stack(full_cells(spark, sf), grid_for(spark, sf), BLOCK, TILE)
-    return T.contingency(stack, "diploid_fraction", "damage_survey")
+    return T.contingency(stack, "diploid_fraction", damage)
 
 
 @query(
@@ -167,6 +167,44 @@ def chisq_corrected(spark, sf):
     return rounded(T.chi_square(_damage_table(spark, sf), "diploid_fraction", "damage_survey"), "statistic")
 
 
+def _test_sql(damage: str) -> str:
+    """Statistic with the continuity correction of a 2x2 table, and the gamma series for its tail."""
+    return f"""(with p as (select diploid_fraction as a, {damage} as b from stack where diploid_fraction is not null and {damage} is not null),
+      t as (select l.a, m.b, count(p.a) as freq from (select distinct a from p) l cross join (select distinct b from p) m
+        left join p on p.a = l.a and p.b = m.b group by l.a, m.b),
+      e as (select freq as o, sum(freq) over (partition by a) * sum(freq) over (partition by b) / cast(sum(freq) over () as double) as e,
+        sum(freq) over () as n, a, b from t),
+      s as (select cast(max(n) as bigint) as n, cast((count(distinct a) - 1) * (count(distinct b) - 1) as bigint) as df,
+        sum(power(abs(o - e) - case when cells = 4 then least(5e-1, m) else 0 end, 2) / e) as x
+        from (select *, min(abs(o - e)) over () as m, count(*) over () as cells from e) q)
+      select '{damage}' as variable, n, df, round(x, 6) + 0e0 as statistic,
+        round(1 - (select sum(exp((df / 2e0 + i) * ln(x / 2) - x / 2 - lgamma(df / 2e0 + i + 1))) from (select unnest(range(0, 2000)) as i) r), 9) + 0e0 as p_value
+      from s)"""
+
+
+@query(model_ctes() + f" select * from {_test_sql('damage_survey')} u union all select * from {_test_sql('damage_lidar')} v")
+def chisq_tests(spark, sf):
+    """Cytotype against damage, of the survey and of height change, with p-values."""
+    tests = [
+        T.chi_square_test(_damage_table(spark, sf, d), "diploid_fraction", d).withColumn("variable", F.lit(d)) for d in ("damage_survey", "damage_lidar")
+    ]
+    return rounded(union_all(tests), "statistic").withColumn("p_value", r6("p_value", 9))
+
+
+_LIDAR_SQL = _PAIRS_SQL.replace("damage_survey", "damage_lidar")
+
+
+@query(
+    model_ctes(_LIDAR_SQL, _TABLE_SQL)
+    + """ select a as diploid_fraction, b as damage_lidar, freq,
+      round(freq / sum(freq) over (partition by b), 6) + 0e0 as share,
+      cast(sum(freq) over (partition by b) as bigint) as n_cells from tab"""
+)
+def contingency_lidar(spark, sf):
+    shares = T.with_share(_damage_table(spark, sf, "damage_lidar"), "damage_lidar")
+    return rounded(shares.join(T.totals(shares, "damage_lidar"), "damage_lidar"), "share")
+
+
 # spatial blocks and samples -----------------------------------------------------------
 
 _BLOCK_SQL = """

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.grid import int_div
+from cellframe.grid import Grid, int_div
 
 TILE = ("tile_r", "tile_c")
 
@@ -67,6 +67,25 @@ def fill_from_block(df: DataFrame, factor: int, value: str, name: str, binary: b
     return df.withColumn(name, F.coalesce(F.col(value), F.col("_block"))).drop("_block")
 
 
+def complete_blocks(df: DataFrame, grid: Grid, factor: int) -> DataFrame:
+    """``df`` (one row a cell at most) with a row for every cell inside the grid of each block that has any row; cells
+    without a row of their own get NULL layers.
+
+    A block's rows, ``factor * factor`` at most, meet once and spell out its cells; the domain is not generated or joined,
+    so blocks without data cost nothing."""
+    layers = [c for c in df.columns if c not in ("r", "c")]
+    rows = F.collect_list(F.struct("r", "c", *layers)).alias("_rows")
+    blocks = df.withColumns(block_keys(factor)).groupBy("br", "bc").agg(rows)
+
+    def span(block: str, size: int) -> Column:
+        first = F.col(block) * factor
+        return F.explode(F.sequence(first, F.least(first + (factor - 1), F.lit(size - 1).cast("bigint"))))
+
+    cells = blocks.withColumn("r", span("br", grid.nrow)).withColumn("c", span("bc", grid.ncol))
+    own = F.get(F.filter("_rows", lambda x: (x["r"] == F.col("r")) & (x["c"] == F.col("c"))), 0)
+    return cells.withColumn("_own", own).select("r", "c", *[F.col(f"_own.{n}").alias(n) for n in layers])
+
+
 def disaggregate(blocks: DataFrame, domain: DataFrame, factor: int) -> DataFrame:
     """Nearest-neighbour disaggregation of a block table onto the cells of a domain."""
     return domain.withColumns(block_keys(factor)).join(blocks, ["br", "bc"], "left").drop("br", "bc")

@@ -83,21 +83,17 @@ def slope_aspect(df: DataFrame, grid: Grid, elevation: str = "elev", tile: int =
     return out.select("r", "c", "slope", "aspect", "cos_aspect")
 
 
-def resample_bilinear(
-    df: DataFrame, source: Grid, target: Grid, value: str = "value", tile: int = DEFAULT_TILE
-) -> DataFrame:
+def resample_bilinear(df: DataFrame, source: Grid, target: Grid, value: str = "value") -> DataFrame:
     """Bilinear resampling onto another grid.
 
-    Each source cell knows its east, south and south-east neighbours and writes the target
-    cells whose centres fall between them, so the target grid is never joined. A neighbour
-    only has to exist where its weight is not zero; otherwise there is no result."""
+    Each source cell with a value writes its weight, and its value times that, to the target cells whose centres are less
+    than one source cell away; a target is the weighted mean of what it was sent. No neighbour is looked up and the target
+    grid is never joined; sums combine before the one shuffle.
+
+    Targets are those with their centre inside the source grid and a value within reach. Where cells are absent, beside
+    a gap or in the half cell at the border, the weights present make up the whole, so a plane is exact wherever all
+    four neighbours are."""
     v = F.col(value)
-    across = Window.partitionBy(*TILE, "r").orderBy("c")
-    down = Window.partitionBy(*TILE, "c").orderBy("r")
-    df = with_halo(df.select("r", "c", v.cast("double").alias(value)), tile)
-    df = df.withColumn("_east", _beside(across, "c", v, 1))
-    below = F.struct(v.alias("v"), F.col("_east").alias("e"))
-    df = own_cells(df.withColumn("_below", _beside(down, "r", below, 1)), tile)
 
     def target_col(c: Column) -> Column:
         return (source.x_of(c) - F.lit(float(target.xmin))) / F.lit(float(target.xres)) - F.lit(0.5)
@@ -105,41 +101,21 @@ def resample_bilinear(
     def target_row(r: Column) -> Column:
         return (F.lit(float(target.ymax)) - source.y_of(r)) / F.lit(float(target.yres)) - F.lit(0.5)
 
-    df = df.select(
-        F.col("r").alias("_r"),
-        F.col("c").alias("_c"),
-        v.alias("_v"),
-        "_east",
-        F.col("_below.v").alias("_south"),
-        F.col("_below.e").alias("_southeast"),
-    )
+    df = df.select(F.col("r").alias("_r"), F.col("c").alias("_c"), v.cast("double").alias("_v")).filter("_v is not null")
     r, c = F.col("_r"), F.col("_c")
-    rows = F.greatest(F.ceil(target_row(r)), F.lit(0)), F.least(F.ceil(target_row(r + 1)) - 1, F.lit(target.nrow - 1))
-    cols = F.greatest(F.ceil(target_col(c)), F.lit(0)), F.least(F.ceil(target_col(c + 1)) - 1, F.lit(target.ncol - 1))
+    rows = F.greatest(F.floor(target_row(r - 1)) + 1, F.lit(0)), F.least(F.ceil(target_row(r + 1)) - 1, F.lit(target.nrow - 1))
+    cols = F.greatest(F.floor(target_col(c - 1)) + 1, F.lit(0)), F.least(F.ceil(target_col(c + 1)) - 1, F.lit(target.ncol - 1))
     df = explode_range(df, *rows, "r")
     df = explode_range(df, *cols, "c")
-
-    def unit(w: Column) -> Column:
-        return F.greatest(F.least(w, F.lit(1.0)), F.lit(0.0))
-
-    df = df.withColumns(
-        {
-            "_wx": unit((target.x_of("c") - source.x_of("_c")) / F.lit(float(source.xres))),
-            "_wy": unit((source.y_of("_r") - target.y_of("r")) / F.lit(float(source.yres))),
-        }
-    )
-
-    def part(weight: Column, neighbour: str) -> Column:
-        return F.when(weight == 0, F.lit(0.0)).otherwise(weight * F.col(neighbour))
-
-    wx, wy = F.col("_wx"), F.col("_wy")
-    total = (
-        part((1 - wx) * (1 - wy), "_v")
-        + part(wx * (1 - wy), "_east")
-        + part((1 - wx) * wy, "_south")
-        + part(wx * wy, "_southeast")
-    )
-    return df.select("r", "c", total.alias(value)).filter(F.col(value).isNotNull())
+    x, y = target.x_of("c"), target.y_of("r")
+    right = F.lit(float(source.xmin + source.ncol * source.xres))
+    bottom = F.lit(float(source.ymax - source.nrow * source.yres))
+    inside = x.between(F.lit(float(source.xmin)), right) & y.between(bottom, F.lit(float(source.ymax)))
+    wx = F.lit(1.0) - F.abs(x - source.x_of("_c")) / F.lit(float(source.xres))
+    wy = F.lit(1.0) - F.abs(y - source.y_of("_r")) / F.lit(float(source.yres))
+    sent = df.filter(inside).select("r", "c", "_v", (F.greatest(wx, F.lit(0.0)) * F.greatest(wy, F.lit(0.0))).alias("_w")).filter("_w > 0")
+    sums = sent.groupBy("r", "c").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_v")).alias("_s"))
+    return sums.select("r", "c", (F.col("_s") / F.col("_w")).alias(value))
 
 
 def resample_near(df: DataFrame, source: Grid, target: Grid, value: str = "value") -> DataFrame:

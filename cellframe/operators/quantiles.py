@@ -1,23 +1,14 @@
-"""Exact quantiles with linear interpolation that never hold a group in one place.
-
-Spark's exact ``percentile`` keeps every distinct value of a group in one buffer. Here
-sketches bracket each wanted rank first. A second pass counts what lies below the bracket
-and, by value, what lies inside it; the inside is cut into equal bins, the bin that holds
-the rank is found from the bin totals, and the value is read off within that bin.
-"""
+"""Exact quantiles with linear interpolation that never hold a group in one place: ranks by radix selection."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.spark import lookup_join, settle
-
-ACCURACY = 2000
-SHARES = 64  # sketches of a group are merged in this many shares
-BINS = 4096
+from cellframe.operators.ranks import double_digits, select_ranks
+from cellframe.spark import settle
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -26,106 +17,28 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     return wide.unpivot(list(by), list(cols), "name", "_v").filter("_v IS NOT NULL")
 
 
-def _brackets(values: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    """(keys..., _n, _brackets): for each p an interval that holds its rank.
-
-    The sketches of a group are merged in shares of its tasks, not in one place. The
-    smallest low end and the largest high end of the shares bracket the whole group
-    whatever went into which share, and closely so because shares are spread evenly."""
-    margin = 2.0 / accuracy
-    ends = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probs]
-    wanted = sorted({q for pair in ends for q in pair})
-    at = {q: i + 1 for i, q in enumerate(wanted)}
-    shares = (
-        values.withColumn("_share", F.spark_partition_id() % SHARES)
-        .groupBy(*keys, "_share")
-        .agg(F.count("_v").alias("_n"), F.percentile_approx("_v", wanted, accuracy).alias("_q"))
-    )
-    bracket = [
-        F.struct(
-            F.lit(float(p)).alias("p"),
-            F.min(F.element_at("_q", at[lo])).alias("_lo"),
-            F.max(F.element_at("_q", at[hi])).alias("_hi"),
-        )
-        for p, (lo, hi) in zip(probs, ends)
-    ]
-    return shares.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.array(*bracket).alias("_brackets"))
-
-
-def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Long table (by..., name, p, value): the quantile at ``(n - 1) p``, interpolated.
 
     Rows whose group is NULL are left out."""
     keys = [*by, "name"]
-    group = [*keys, "p"]
-    values = long_values(df, cols, by)
-    # both settled: small, and what follows must see one and the same bracket and sliver
-    brackets = settle(_brackets(values, keys, probs, accuracy), small=True)
-    tagged = lookup_join(values, brackets, keys, settled=True)
-    tagged = tagged.select(*keys, "_n", "_v", F.inline("_brackets").alias("p", "_lo", "_hi"))
-    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    inside = v.between(lo, hi)
-    place = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * BINS), F.lit(BINS - 1))).otherwise(0)
-    slivers = tagged.groupBy(*group, "_n", F.when(inside, place).alias("_bin"), F.when(inside, v).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_k"),
-        F.count_if(v < lo).alias("_below"),
-        F.max(F.when(v < lo, v)).alias("_last_below"),
-        F.min(F.when(v > hi, v)).alias("_first_above"),
-    )
-    slivers = settle(slivers)
-    # bins: at most BINS + 1 rows per quantile, the NULL bin being all that lies outside
-    whole = Window.partitionBy(*group)
-    in_bin = F.when(F.col("_bin").isNotNull(), F.col("_k")).otherwise(0)
-    h = (F.col("_n") - 1) * F.col("p")
-    bins = (
-        slivers.groupBy(*group, "_n", "_bin")
-        .agg(
-            F.sum("_k").alias("_k"),
-            F.sum("_below").alias("_below"),
-            F.max("_last_below").alias("_last_below"),
-            F.min("_first_above").alias("_first_above"),
-        )
-        .withColumns({"_below": F.sum("_below").over(whole), "_in": F.sum(in_bin).over(whole)})
-        .withColumn("_before", F.col("_below") + F.sum(in_bin).over(whole.orderBy(F.col("_bin").asc_nulls_first())) - in_bin)
-        .select("*", F.posexplode(F.array(F.floor(h), F.ceil(h))).alias("_end", "_rank"))
-    )
-    rank, below = F.col("_rank"), F.col("_below")
-    hits = bins.filter("_bin IS NOT NULL AND _before <= _rank AND _rank < _before + _k").select(
-        *group, "_n", "_end", "_bin", (rank - F.col("_before")).alias("_nth")
+    h = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array(*[f(x).cast("bigint") for x in h for f in (F.floor, F.ceil)])
+    found = select_ranks(long_values(df, cols, by), keys, ranks, double_digits)
+    number = F.floor(F.col("_i") / 2)
+    p = F.get(F.array(*[F.lit(float(p)) for p in probs]), number.cast("int"))
+    ends = found.groupBy(*keys, "_n", p.alias("p")).agg(
+        F.max(F.when(F.col("_i") % 2 == 0, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_i") % 2 == 1, F.col("_v"))).alias("_b")
     )
-    running = Window.partitionBy(*group, "_end").orderBy("_v")
-    found = (
-        slivers.select(*group, "_bin", "_v", "_k")
-        .join(hits, [*group, "_bin"])
-        .withColumn("_up_to", F.sum("_k").over(running))
-        .filter("_up_to > _nth")
-        .groupBy(*group, "_n", "_end")
-        .agg(F.min("_v").alias("_v"))
-    )
-    # with few rows the rank may be the neighbour just outside the bracket
-    edge = F.when(rank == below - 1, F.col("_last_below")).when(rank == below + F.col("_in"), F.col("_first_above"))
-    outside = bins.filter("_bin IS NULL").select(*group, "_n", "_end", edge.alias("_v")).filter("_v IS NOT NULL")
-    out = (
-        found.unionByName(outside)
-        .groupBy(*group, "_n")
-        .agg(
-            F.count("_v").alias("_ends"),
-            F.max(F.when(F.col("_end") == 0, F.col("_v"))).alias("_a"),
-            F.max(F.when(F.col("_end") == 1, F.col("_v"))).alias("_b"),
-        )
-    )
-    value = F.col("_a") + (h - F.floor(h)) * (F.col("_b") - F.col("_a"))
-    unsure = F.raise_error(F.lit("rank outside its bracket")).cast("double")
-    return out.select(*group, F.when(F.col("_ends") == 2, value).otherwise(unsure).alias("value"))
+    at = (F.col("_n") - 1) * F.col("p")
+    # equal ends are the value itself, so that infinities do not meet
+    between = F.col("_a") + (at - F.floor(at)) * (F.col("_b") - F.col("_a"))
+    return ends.select(*keys, "p", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias("value"))
 
 
-def quantiles_wide(
-    df: DataFrame, cols: Sequence[str], probs: Mapping[str, float], by: Sequence[str] = (), accuracy: int = ACCURACY
-) -> DataFrame:
+def quantiles_wide(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per (by..., name) with a column per named probability."""
-    q = exact_quantiles(df, cols, sorted(set(probs.values())), by, accuracy)
+    q = exact_quantiles(df, cols, sorted(set(probs.values())), by)
     return q.groupBy(*by, "name").agg(
         *[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value"))).alias(n) for n, p in probs.items()]
     )
@@ -142,7 +55,7 @@ def trim_by_quantiles(
     """Rows strictly between the low and high quantile in every column.
 
     ``complete`` names the columns that must be present first (all of them by default);
-    all thresholds come from that same frame. The frame is read three times, so it is
+    all thresholds come from that same frame. The frame is read several times, so it is
     settled first; ``reread`` skips that for a frame that is stored already."""
     frame = df.dropna(subset=list(complete if complete is not None else df.columns))
     if not reread:

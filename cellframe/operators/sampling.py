@@ -1,7 +1,7 @@
 """Samples without replacement that do not depend on how the data are laid out.
 
 Rows are ordered by a hash of their id and a seed. The cut hash of the wanted size is
-found by counting hash prefixes, so a sample is a filter on the data: nothing is sorted
+found by counting its digits, so a sample is a filter on the data: nothing is sorted
 globally and nothing passes through one task.
 """
 
@@ -9,59 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.grid import Grid
-from cellframe.spark import lookup_join, settle
+from cellframe.operators.ranks import select_ranks, text_digits
+from cellframe.spark import lookup_join
 
-PREFIX = 4  # hex digits: 65,536 counting buckets per group
-
-
-def hash_order(row_id: Column | str, seed: int | str) -> Column:
-    """Hash that puts rows into a random but repeatable order."""
+def hash_order(row_id: Column | str, seed: int | str | Column) -> Column:
+    """Hash that puts rows into a random but repeatable order; the seed may be a column."""
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
-    return F.md5(F.concat(row_id.cast("string"), F.lit(f":{seed}")))
-
-
-def _hashed(df: DataFrame, row_id: str, seed: int | str, by: Sequence[str]) -> DataFrame:
-    hashed = df.select(*by, hash_order(row_id, seed).alias("_h"))
-    return hashed.withColumn("_b", F.substring("_h", 1, PREFIX))
+    tail = F.concat(F.lit(":"), seed) if isinstance(seed, Column) else F.lit(f":{seed}")
+    return F.md5(F.concat(row_id.cast("string"), tail))
 
 
-def prefix_counts(df: DataFrame, row_id: str, seed: int | str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., _b, _k): rows per hash prefix; at most 16 ** PREFIX rows per group."""
-    return _hashed(df, row_id, seed, by).groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
-
-
-def cut_hash(
-    df: DataFrame,
-    row_id: str,
-    size: Column,
-    seed: int | str,
-    by: Sequence[str] = (),
-    counts: DataFrame | None = None,
-) -> DataFrame:
+def cut_hash(df: DataFrame, row_id: str, size: Column, seed: int | str | Column, by: Sequence[str] = ()) -> DataFrame:
     """(by..., _cut): hash of the ``size``-th row of each group; no row when size < 1.
 
     ``size`` is an expression over ``_n``, the size of the group."""
-    by = list(by)
-    counts = prefix_counts(df, row_id, seed, by) if counts is None else counts
-    group = Window.partitionBy(*(by or [F.lit(1)]))
-    placed = counts.withColumns(
-        {"_n": F.sum("_k").over(group), "_before": F.sum("_k").over(group.orderBy("_b")) - F.col("_k")}
-    ).withColumn("_want", F.least(size.cast("bigint"), F.col("_n")))
-    bucket = placed.filter("_before < _want AND _want <= _before + _k").select(
-        *by, "_b", (F.col("_want") - F.col("_before")).alias("_rank")
-    )
-    hashed = _hashed(df, row_id, seed, by)
-    if by:
-        inside = lookup_join(hashed, bucket, [*by, "_b"])
-    else:
-        inside = hashed.join(F.broadcast(bucket), "_b")  # one row
-    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_h")
-    ranked = inside.withColumn("_pos", F.row_number().over(order)).filter("_pos = _rank")
-    return ranked.select(*by, F.col("_h").alias("_cut"))
+    hashed = df.select(*by, hash_order(row_id, seed).alias("_v"))
+    want = F.least(size.cast("bigint"), F.col("_n"))
+    ranks = F.when(want >= 1, F.array(want - 1)).otherwise(F.array().cast("array<bigint>"))
+    return select_ranks(hashed, by, ranks, text_digits(32)).select(*by, F.col("_v").alias("_cut"))
 
 
 def sample_rows(df: DataFrame, row_id: str, size: int | Column, seed: int | str = 1) -> DataFrame:
@@ -79,16 +48,15 @@ def sample_balanced(
     ``size`` is the total to share out, by default the size of the smallest class.
     ``divide_by`` defaults to the number of classes; pass 2 for the halving rule."""
     df = df.filter(F.col(label).isNotNull())
-    counts = settle(prefix_counts(df, row_id, seed, [label]), small=True)
     facts = (
-        counts.groupBy(label)
-        .agg(F.sum("_k").alias("_n"))
-        .agg(F.struct(F.min("_n").alias("smallest"), F.count(F.lit(1)).alias("classes")).alias("f"))
-        .scalar()
+        df.groupBy(label)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.min("_n").alias("smallest"), F.count(F.lit(1)).alias("classes"))
+        .first()
     )
-    total = F.lit(size) if size is not None else facts.getField("smallest")
-    parts = F.lit(divide_by) if divide_by is not None else facts.getField("classes")
-    cuts = cut_hash(df, row_id, F.floor(total / parts), seed, [label], counts)
+    total = size if size is not None else facts.smallest or 0
+    parts = divide_by if divide_by is not None else max(facts.classes, 1)
+    cuts = cut_hash(df, row_id, F.lit(int(total // parts)), seed, [label])
     return lookup_join(df, cuts, [label]).filter(hash_order(row_id, seed) <= F.col("_cut")).drop("_cut")
 
 

@@ -42,6 +42,19 @@ def stack_layers(long: DataFrame, names: Sequence[str], keys: Sequence[str] = CE
     )
 
 
+def align(tables: Sequence[tuple[DataFrame, Sequence[str]]], keys: Sequence[str] = CELL) -> DataFrame:
+    """One row per cell out of wide tables with different layers: a single shuffle of one row per table and cell.
+
+    Every table gives its own columns as doubles and NULL for the others'; a cell's rows meet in one ``max`` per column,
+    which combines before the shuffle. Nothing is spelled out per layer, so what is shuffled does not carry layer names
+    and keys once more for every value."""
+    every = [n for _, names in tables for n in names]
+    rows = [
+        df.select(*keys, *[(F.col(n) if n in names else F.lit(None)).cast("double").alias(n) for n in every]) for df, names in tables
+    ]
+    return reduce(lambda a, b: a.union(b), rows).groupBy(*keys).agg(*[F.max(n).alias(n) for n in every])
+
+
 def parse_year(long: DataFrame, layer: Column | None = None) -> DataFrame:
     """Add the year held in the layer name and drop layers that carry none."""
     layer = F.col("layer") if layer is None else layer

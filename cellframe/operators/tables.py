@@ -5,11 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
 
 #: Most levels of a column in a contingency table; a column with more is no factor and stops the job.
 MAX_LEVELS = 1000
@@ -70,30 +67,43 @@ def chi_square(table: DataFrame, a: str, b: str, count: str = "freq", correct: b
     return sums.select("n", ((F.col("ra") - 1) * (F.col("rb") - 1)).alias("df"), statistic.alias("statistic"))
 
 
-@F.pandas_udf(DoubleType())
-def _upper_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([_chi_square_tail(x, int(k)) for x, k in zip(statistic, df)])
+def chi_square_tail(x: Column, df: Column) -> Column:
+    """P(chi-square with ``df`` degrees of freedom > x) as a column, for any whole df.
+
+    The tail of one degree is the complementary error function, by its series below x = 8 and by its continued fraction
+    above; that of two is exp(-x / 2). Two degrees more add one term each, the incomplete gamma function's recurrence."""
+    h = x / 2
+    decay = F.exp(-h)
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def terms(n: Column, first: Column, shift: float) -> Column:
+        """first + first * h / (1 + shift) + ...: n terms."""
 
+        def step(acc: Column, j: Column) -> Column:
+            return F.struct((acc["s"] + acc["t"]).alias("s"), (acc["t"] * h / (j + F.lit(shift))).alias("t"))
 
-def _chi_square_tail(x: float, k: int) -> float:
-    """P(chi2_k > x): erfc / exp start, then the two-step recurrence in k."""
-    if x is None or x != x:
-        return float("nan")
-    half = x / 2
-    if k % 2:
-        tail, term, j = math.erfc(math.sqrt(half)), math.sqrt(half) * math.exp(-half) / math.gamma(1.5), 1.5
-    else:
-        tail, term, j = math.exp(-half), half * math.exp(-half), 2.0
-    for _ in range((k - 1) // 2):
-        tail += term
-        term *= half / j
-        j += 1
-    return tail
+        start = F.struct(zero.alias("s"), first.alias("t"))
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["s"])).otherwise(zero)
+
+    root = F.sqrt(F.lit(math.pi))
+    # erf(z) = 2 z exp(-z^2) / sqrt(pi) * sum of (2 z^2)^n / (1 * 3 * ... * (2n + 1)), with z^2 = h
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(80)),
+        F.struct(one.alias("s"), one.alias("t")),
+        lambda acc, n: F.struct((acc["s"] + acc["t"] * 2 * h / (2 * n + 1)).alias("s"), (acc["t"] * 2 * h / (2 * n + 1)).alias("t")),
+        lambda acc: acc["s"],
+    )
+    below = one - 2 * F.sqrt(h) * decay / root * series
+    fraction = F.aggregate(F.sequence(F.lit(200), F.lit(1), F.lit(-1)), one, lambda f, i: one + i / (2 * h) / f)
+    above = decay / (F.sqrt(h) * root) / fraction
+    odd = F.when(x < 8, below).otherwise(above) + terms(((df - 1) / 2).cast("int"), F.sqrt(h) * decay * 2 / root, 0.5)
+    even = terms((df / 2).cast("int"), decay, 0.0)
+    return F.when(x <= 0, one).when(df % 2 == 1, odd).otherwise(even)
 
 
 def chi_square_test(table: DataFrame, a: str, b: str, count: str = "freq", correct: bool = True) -> DataFrame:
-    """chi_square with its p-value (a helper on the single result row)."""
-    return chi_square(table, a, b, count, correct).withColumn("p_value", _upper_tail("statistic", "df"))
+    """chi_square with its p-value."""
+    return chi_square(table, a, b, count, correct).withColumn("p_value", chi_square_tail(F.col("statistic"), F.col("df")))
 
 
 def grouped_count(df: DataFrame, by: Sequence[str | Column], name: str = "n") -> DataFrame:

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import itertools
-import time
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,11 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cellframe.operators.confusion import regression_stats, threshold_stats
+from cellframe.operators.confusion import threshold_stats
 from cellframe.operators.quantiles import trim_by_quantiles
-from cellframe.operators.sampling import sample_balanced, sample_rows
+from cellframe.operators.sampling import sample_balanced
 from cellframe.operators.spatial_blocks import complete_columns, split_blocks, with_block_ids
 from cellframe.spark import settle
 
@@ -38,24 +34,6 @@ COVER_THRESHOLD = 0.5
 BLOCK_METRES = 100.0
 REPLICATES = 5
 
-RESULT_SCHEMA = T.StructType(
-    [
-        T.StructField("run_id", T.IntegerType()),
-        T.StructField("rmse", T.DoubleType()),
-        T.StructField("r2", T.DoubleType()),
-        T.StructField("xvars", T.StringType()),
-        T.StructField("np_train", T.LongType()),
-        T.StructField("nv", T.IntegerType()),
-        T.StructField("runtime", T.DoubleType()),
-        T.StructField("np", T.LongType()),
-        T.StructField("iter", T.IntegerType()),
-        T.StructField("xvartype", T.StringType()),
-        T.StructField("yvar", T.StringType()),
-        T.StructField("importance", T.MapType(T.StringType(), T.DoubleType())),
-    ]
-)
-
-
 #: Columns whose extreme percents are cut off before partial dependence and break points.
 TRIM = ["trait_cwc", "trait_d13c", "trait_n", "elevation", "cos_aspect", "slope", "height"]
 
@@ -176,58 +154,6 @@ def class_stats(fit: Fit) -> DataFrame:
     return threshold_stats(fit.scored, F.col(fit.yvar) == 0, F.col("p0") >= 0.5)
 
 
-def run_experiment(
-    frame: DataFrame,
-    params: DataFrame,
-    trees: int = TREES,
-    depth: int = DEPTH,
-    seed: int = 1,
-    parallelism: int = 1,
-    model_path: str | None = None,
-    on_fit: Callable[[int, Fit], None] | None = None,
-) -> DataFrame:
-    """Fit every row of the parameter grid and return one result row per fit.
-
-    The frame is settled once, so all fits, and any task that is run again, read the same
-    rows. Each fit is a Spark job over the whole frame; ``parallelism`` fits are in flight.
-    With ``model_path`` every model is saved as ``<model_path>/run_id=<n>``."""
-    spark = frame.sparkSession
-    frame = settle(frame)
-    n_rows = frame.count()
-
-    def one(p) -> tuple:
-        started = time.time()
-        xvars = predictors(p.xvartype)
-        sampled = frame if p.np >= n_rows else sample_rows(frame, "cell_id", p.np, f"{seed}-{p.run_id}")
-        train, test = split_frame(sampled, xvars, p.yvar, f"{seed}-{p.run_id}")
-        fit = fit_regression(train, test, xvars, p.yvar, seed * 100_003 + p.run_id, trees, depth)
-        stats = regression_stats(fit.scored, p.yvar, "prediction").first()
-        if model_path:
-            fit.model.write().overwrite().save(f"{model_path}/run_id={p.run_id}")
-        if on_fit:
-            on_fit(p.run_id, fit)
-        np_train = train.count()
-        return (
-            p.run_id,
-            stats.rmse,
-            stats.r2,
-            "*".join(xvars),
-            np_train,
-            len(xvars),
-            time.time() - started,
-            p.np,
-            p.iter,
-            p.xvartype,
-            p.yvar,
-            fit.importance(),
-        )
-
-    runs = params.orderBy("run_id").collect()  # the plan of fits, one short row each
-    with ThreadPool(max(1, parallelism)) as pool:
-        rows = pool.map(inheritable_thread_target(spark)(one) if parallelism > 1 else one, runs)
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
-
-
 def run_class_experiment(
     frame: DataFrame, label: str, xvars: Sequence[str], seed: int = 1, trees: int = TREES, depth: int = DEPTH
 ) -> DataFrame:

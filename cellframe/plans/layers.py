@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellframe.functions import algebra as A
 from cellframe.grid import Grid
-from cellframe.operators.blocks import TILE, block_aggregate, fill_from_block
+from cellframe.operators.blocks import TILE, block_aggregate, complete_blocks, fill_from_block
 from cellframe.operators.focal import DEFAULT_TILE, add_terrain
 
 # Thresholds of the layer preparation.
@@ -71,9 +71,12 @@ def trait(value: Column, uncertainty: Column, name: str, elevation: Column) -> C
     return A.keep_where(A.quality_null(value, uncertainty, low, high, most), elevation)
 
 
-def cytotype_layers(cells: DataFrame, factor: int = FILL_CELLS) -> DataFrame:
-    """cells(r, c, cyto_raw, cover, shade) plus ``cytotype`` and ``cytotype_filled``."""
-    df = cells.withColumn("cytotype", cytotype(F.col("cyto_raw"), F.col("cover"), F.col("shade")))
+def cytotype_layers(cells: DataFrame, factor: int = FILL_CELLS, grid: Grid | None = None) -> DataFrame:
+    """cells(r, c, cyto_raw, cover, shade) plus ``cytotype`` and ``cytotype_filled``.
+
+    With ``grid``, cells that the table lacks are filled as well, wherever their block has any row."""
+    df = cells if grid is None else complete_blocks(cells, grid, factor)
+    df = df.withColumn("cytotype", cytotype(F.col("cyto_raw"), F.col("cover"), F.col("shade")))
     return fill_from_block(df, factor, "cytotype", "cytotype_filled")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellframe.functions.algebra import variation
 from cellframe.functions.binning import bin_lower, equal_breaks
+from cellframe.operators.forest_table import Cuts, bin_vectors
 from cellframe.operators.stack import union_all
 from cellframe.operators.tables import grouped_count, with_sqrt_share
 
@@ -35,42 +36,61 @@ def _grid_value(limits: Column, var: str, i: Column, points: int) -> Column:
     return F.when(i == points - 1, hi).otherwise(lo + i * (hi - lo) / F.lit(float(points - 1)))
 
 
-def with_grid(train: DataFrame, variables: Sequence[str], points: int = GRID_POINTS) -> DataFrame:
-    """Every training row once per grid point, its own values of ``variables`` replaced.
+def with_grid(rows: DataFrame, variables: Sequence[str], points: int = GRID_POINTS, train: DataFrame | None = None) -> DataFrame:
+    """Every row once per grid point, its own values of ``variables`` replaced.
 
-    ``points`` equally spaced values span each variable's range in ``train``. The number of
+    ``points`` equally spaced values span each variable's range in ``train`` (the rows themselves). The number of
     grid points is fixed, so this is linear in the rows; it is generated row by row right
     in front of the model and aggregated right behind it."""
-    limits = train.agg(
+    limits = (rows if train is None else train).agg(
         F.struct(
             *[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias(v) for v in variables]
         ).alias("l")
     ).scalar()
-    df = train.withColumn("_l", limits)
+    df = rows.withColumn("_l", limits)
     for v in variables:
         df = df.withColumn(f"i_{v}", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     return df.withColumns({v: _grid_value(F.col("_l"), v, F.col(f"i_{v}"), points) for v in variables}).drop("_l")
 
 
+def _scored(model: Model, xvars: Sequence[str], train: DataFrame, variables: Sequence[str], points: int, cuts: Cuts | None) -> DataFrame:
+    """(i_<var>..., <var>..., prediction, _k): predictions at every grid point, for every row or every vector of bins."""
+    train = train.select(*dict.fromkeys([*xvars, *variables]))
+    rows = train.withColumn("_k", F.lit(1)) if cuts is None else bin_vectors(train, [x for x in xvars if x not in variables], cuts)
+    df = with_grid(rows, variables, points, train)
+    scored = model.transform(VectorAssembler(inputCols=list(xvars), outputCol="features").transform(df))
+    return scored.select(*[f"i_{v}" for v in variables], *variables, "prediction", "_k")
+
+
+def _surface(scored: DataFrame, variables: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    mean = F.sum(F.col("prediction") * F.col("_k")) / F.sum("_k")
+    return scored.groupBy(*by, *[f"i_{v}" for v in variables]).agg(*[F.first(v).alias(v) for v in variables], mean.alias("yhat"))
+
+
 def partial_dependence(
-    model: Model, xvars: Sequence[str], train: DataFrame, variables: Sequence[str], points: int = GRID_POINTS
+    model: Model, xvars: Sequence[str], train: DataFrame, variables: Sequence[str], points: int = GRID_POINTS, cuts: Cuts | None = None
 ) -> DataFrame:
-    """Mean prediction (i_<var>..., <var>..., yhat) over all training rows at each grid point."""
-    df = with_grid(train.select(*dict.fromkeys([*xvars, *variables])), variables, points)
-    scored = model.transform(VectorAssembler(inputCols=list(xvars), outputCol="features").transform(df))
-    index = [f"i_{v}" for v in variables]
-    return scored.groupBy(*index).agg(
-        *[F.first(v).alias(v) for v in variables], F.avg("prediction").alias("yhat")
-    )
+    """Mean prediction (i_<var>..., <var>..., yhat) over all training rows at each grid point.
+
+    With ``cuts``, the forest's split points by variable, rows are counted by the bins of the other variables first and
+    the forest sees each vector of bins once: the same mean, however many rows there are."""
+    return _surface(_scored(model, xvars, train, variables, points, cuts), variables)
 
 
 def replicate_surfaces(
-    models: Mapping[int, Model], xvars: Sequence[str], train: DataFrame, variables: Sequence[str], points: int = GRID_POINTS
+    models: Mapping[int, Model],
+    xvars: Sequence[str],
+    train: DataFrame,
+    variables: Sequence[str],
+    points: int = GRID_POINTS,
+    cuts: Mapping[int, Cuts] | None = None,
 ) -> DataFrame:
-    """Surfaces of several models over the same rows, told apart by ``replicate``."""
-    return union_all(
-        [partial_dependence(m, xvars, train, variables, points).withColumn("replicate", F.lit(k)) for k, m in models.items()]
-    )
+    """Surfaces of several models over the same rows, told apart by ``replicate``; one shuffle for all."""
+    scored = [
+        _scored(m, xvars, train, variables, points, None if cuts is None else cuts[k]).withColumn("replicate", F.lit(k))
+        for k, m in models.items()
+    ]
+    return _surface(union_all(scored), variables, ["replicate"])
 
 
 def summarize_surfaces(surfaces: DataFrame, keys: Sequence[str], cytotype: str | None = "diploid_fraction") -> DataFrame:

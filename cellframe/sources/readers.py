@@ -28,6 +28,20 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return df.select("r", "c", null_if_nan(F.col("value").cast("double")).alias("value"))
 
 
+def read_window(
+    spark: SparkSession, path: str, tile: int, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None
+) -> DataFrame:
+    """(r, c, value) of a tiled store, cut to first and last row and column; tiles outside are not opened.
+
+    ``tile`` is the side that the store was written with."""
+    df = spark.read.parquet(path)
+    for axis, span in (("r", rows), ("c", cols)):
+        if span is not None:
+            first, last = span
+            df = df.filter(F.col(f"tile_{axis}").between(first // tile, last // tile) & F.col(axis).between(first, last))
+    return df.select("r", "c", null_if_nan(F.col("value").cast("double")).alias("value"))
+
+
 def read_layers(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Named layers as one long table (layer, r, c, value)."""
     return union_all([read_layer(spark, p).select(F.lit(n).alias("layer"), "r", "c", "value") for n, p in paths.items()])
@@ -58,7 +72,7 @@ def normalize_polygons(df: DataFrame, year: int | None = None) -> DataFrame:
     return df.select(
         F.col(names["poly_id"]).cast("bigint").alias("poly_id"),
         (F.lit(year) if year is not None else F.col(names["year"])).cast("int").alias("year"),
-        F.coalesce(*hosts).cast("int").alias("host_code"),
+        (F.coalesce(*hosts) if hosts else F.lit(None)).cast("int").alias("host_code"),
         area.alias("area"),
         F.col(names["rings"]).cast(RINGS_DDL).alias("rings"),
     )
@@ -76,8 +90,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 
 def read_csv_plain(spark: SparkSession, path: str, names: Sequence[str], type_name: str = "double") -> DataFrame:
     """CSV without a header line; the column names are supplied."""
-    schema = T.StructType([T.StructField(n, T._parse_datatype_string(type_name)) for n in names])
-    return spark.read.schema(schema).csv(path)
+    return spark.read.schema(", ".join(f"`{n}` {type_name}" for n in names)).csv(path)
 
 
 def read_crosstab(spark: SparkSession, path: str, label: str = "label") -> DataFrame:

@@ -41,6 +41,15 @@ def write_layer(df: DataFrame, path: str, datatype: str = "FLT8S", tile: int = 1
     ).parquet(path)
 
 
+def write_tiled(df: DataFrame, path: str, tile: int = 1000, datatype: str = "FLT8S", overwrite: bool = True) -> None:
+    """Write (r, c, value) with a folder per square tile, so that a window read opens the files of its tiles only; inside
+    them rows are in order, and row-group statistics skip what the window does not reach."""
+    out = with_tile(df.select("r", "c", to_storage(F.col("value"), datatype).alias("value")), tile)
+    out = out.repartitionByRange("tile_r", "tile_c", "r").sortWithinPartitions("tile_r", "tile_c", "r", "c")
+    writer = out.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("tile_r", "tile_c")
+    writer.option("compression", "zstd").parquet(path)
+
+
 def write_yearly_layers(df: DataFrame, path: str, datatype: str = "INT2U") -> None:
     """Write (year, r, c, value) as one folder per year named ``Year=<year>``."""
     out = df.select(F.col("year").alias("Year"), "r", "c", to_storage(F.col("value"), datatype).alias("value"))

@@ -4,7 +4,10 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from cellframe.plans import forests as FO
+from cellframe.operators import forest_table as FT
+from cellframe.operators.confusion import regression_stats
 from cellframe.plans import partial_dependence as PD
+from cellframe.plans import runs as R
 from cellframe.spark import settle
 
 
@@ -64,7 +67,7 @@ def test_regression_learns_and_importance_is_shared_out(frame):
     xvars = FO.predictors("cyto+topo+trait+height")
     train, test = FO.split_frame(frame, xvars, "damage_survey", 1)
     fit = FO.fit_regression(train, test, xvars, "damage_survey", 1, trees=15, depth=8)
-    assert FO.regression_stats(fit.scored, "damage_survey", "prediction").first().r2 > 0.85
+    assert regression_stats(fit.scored, "damage_survey", "prediction").first().r2 > 0.85
     imp = fit.importance()
     assert abs(sum(imp.values()) - 1) < 1e-9
     assert imp["elevation"] + imp["diploid_fraction"] > 0.7
@@ -86,6 +89,78 @@ def test_regression_learns_and_importance_is_shared_out(frame):
     assert rows[(4, 4)].yhat == pytest.approx(brute, abs=1e-9)
 
 
+def test_saved_forest_as_a_table(spark, frame, tmp_path):
+    """Importance, split points and surfaces read from the nodes agree with the model's own."""
+    xvars = FO.predictors("cyto+topo+trait+height")
+    train, test = FO.split_frame(frame, xvars, "damage_survey", 1)
+    fit = FO.fit_regression(train, test, xvars, "damage_survey", 1, trees=12, depth=6)
+    fit.model.write().save(str(tmp_path / "forest"))
+    nodes = FT.saved_nodes(spark, str(tmp_path / "forest"), xvars).cache()
+    assert nodes.select("tree").distinct().count() == 12 and nodes.count() == fit.model.totalNumNodes
+    shares = {r.variable: r.importance for r in FT.normalized_importance(nodes).collect()}
+    own = fit.importance()
+    assert all(shares.get(x, 0.0) == pytest.approx(own[x], abs=1e-9) for x in xvars)
+    raw = {r.variable: r.importance for r in FT.raw_importance(nodes).collect()}
+    by_hand = {}
+    for r in nodes.filter("variable is not null").collect():
+        by_hand[r.variable] = by_hand.get(r.variable, 0.0) + r.gain * r.rows / 12
+    assert raw == pytest.approx(by_hand) and sum(raw.values()) > 1.5
+
+    cuts = {r.variable: r.cuts for r in FT.split_points(nodes).collect()}
+    assert all(len(c) < 32 and c == sorted(set(c)) for c in cuts.values())
+    variables = ["diploid_fraction", "elevation"]
+    plain = {tuple(r[:2]): r for r in PD.partial_dependence(fit.model, xvars, train, variables).collect()}
+    binned = {tuple(r[:2]): r for r in PD.partial_dependence(fit.model, xvars, train, variables, cuts=cuts).collect()}
+    assert plain.keys() == binned.keys()
+    for k, r in plain.items():
+        assert (binned[k].diploid_fraction, binned[k].elevation) == (r.diploid_fraction, r.elevation)
+        assert binned[k].yhat == pytest.approx(r.yhat, abs=1e-12)
+
+    # rows on, below and above split points, and a variable without any
+    edge = spark.createDataFrame([(t + d, 1.0) for t in cuts["elevation"] for d in (-1e-9, 0.0, 1e-9)] + [(-9e9, 2.0), (9e9, 3.0)], "elevation double, slope double")
+    vectors = FT.bin_vectors(edge, ["elevation", "slope"], {"elevation": cuts["elevation"]}).collect()
+    assert sum(r._k for r in vectors) == edge.count() and len(vectors) == len(cuts["elevation"]) + 1
+    assert {r.slope for r in vectors} == {0.0}
+
+
+def test_planned_runs_and_their_splits(spark, frame):
+    plan = R.planned_runs(frame)
+    facts = {r.run_id: r for r in R.run_facts(frame, plan).collect()}
+    assert sorted(facts) == list(range(1, 346))
+    for run in (1, 15, 16, 100, 121, 345):
+        f = facts[run]
+        train, test = FO.split_frame(frame, FO.predictors(f.xvartype), f.yvar, f"1-{run}")
+        assert (f.np_train, f.n_test) == (train.count(), test.count())
+        assert f.xvars.split("*") == FO.predictors(f.xvartype) and f.nv == len(f.xvars.split("*"))
+        assert f.np == frame.count()
+
+
+def test_an_interrupted_experiment_goes_on(spark, frame, tmp_path):
+    params = R.planned_runs(frame).filter("run_id in (2, 3, 17, 130)")
+    ledger, models = str(tmp_path / "ledger"), str(tmp_path / "models")
+    fitted = []
+
+    def stop(run_id, fit):
+        fitted.append(run_id)
+        if len(fitted) == 3:
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        R.run_experiment(frame, params, 3, 3, model_path=models, ledger=ledger, on_fit=stop)
+    assert fitted == [2, 3, 17, 130]  # the others go on
+    assert sorted(r.run_id for r in R.finished_runs(spark, ledger).collect()) == [2, 3, 130]
+    again = []
+    out = R.run_experiment(frame, params, 3, 3, model_path=models, ledger=ledger, on_fit=lambda k, f: again.append(k))
+    rows = {r.run_id: r for r in out.collect()}
+    assert again == [17] and sorted(rows) == [2, 3, 17, 130]
+    straight = {r.run_id: r for r in R.run_experiment(frame, params, 3, 3).collect()}
+    for k, r in straight.items():
+        assert (rows[k].rmse, rows[k].np_train, rows[k].importance, rows[k].xvars) == (r.rmse, r.np_train, r.importance, r.xvars)
+    R.run_experiment(frame, params, 3, 3, ledger=ledger, on_fit=lambda k, f: again.append(k))
+    assert again == [17]
+    assert FT.saved_nodes(spark, models).select("run_id").distinct().count() == 4
+
+
 def test_probability_forest(frame):
     labelled = frame.withColumn("label", (F.col("elevation") > 3000).cast("double"))
     stats = FO.run_class_experiment(labelled, "label", ["elevation", "slope"], 1, trees=10, depth=5).first()
@@ -96,7 +171,7 @@ def test_probability_forest(frame):
 def test_experiment_rows_models_and_best_runs(spark, frame, tmp_path):
     params = FO.parameter_grid(frame.agg(F.count("*").alias("np")), ["topo", "cyto+topo"], [1, 2], ["damage_survey"])
     seen = []
-    out = FO.run_experiment(
+    out = R.run_experiment(
         frame, params, trees=5, depth=5, parallelism=2, model_path=str(tmp_path), on_fit=lambda i, f: seen.append(i)
     )
     rows = {r.run_id: r for r in out.collect()}
@@ -104,7 +179,7 @@ def test_experiment_rows_models_and_best_runs(spark, frame, tmp_path):
     assert rows[2].xvars == "diploid_fraction*elevation*cos_aspect*slope" and rows[2].nv == 4
     assert rows[2].r2 > rows[1].r2
     assert all(r.np == frame.count() and 0 < r.np_train < r.np and r.runtime > 0 for r in rows.values())
-    again = FO.run_experiment(frame, params, trees=5, depth=5).collect()
+    again = R.run_experiment(frame, params, trees=5, depth=5).collect()
     assert {r.run_id: round(r.r2, 9) for r in again} == {k: round(r.r2, 9) for k, r in rows.items()}
 
     from cellframe.operators.tables import longest_label_rows
@@ -121,14 +196,14 @@ def test_experiment_rows_models_and_best_runs(spark, frame, tmp_path):
 
 def test_smaller_samples_are_taken(frame):
     params = FO.parameter_grid(frame.limit(1).select(F.lit(500).cast("bigint").alias("np")), ["topo"], [1], ["height"])
-    r = FO.run_experiment(frame, params, trees=2, depth=2).first()
+    r = R.run_experiment(frame, params, trees=2, depth=2).first()
     assert r.np == 500 and r.np_train < 500
 
 
-def test_registered_surfaces_are_all_seven_over_the_replicates(spark, sf):
+def test_registered_surfaces_are_all_seven_over_the_replicates(spark):
     from cellframe.catalog import QUERIES
 
-    rows = QUERIES["pdp_surface"](spark, sf).collect()
+    rows = QUERIES["pdp_surface"](spark, "/root/testdata/sf0.01").collect()
     assert {r.yvar for r in rows} == set(PD.SURFACES)
     for yvar, variables in PD.SURFACES.items():
         some = [r for r in rows if r.yvar == yvar]

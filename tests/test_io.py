@@ -21,6 +21,23 @@ def test_layer_round_trip_and_pushdown(spark, cells, folder):
     assert two.groupBy("layer").count().count() == 2
 
 
+def test_window_read_opens_the_files_of_its_tiles(spark, cells, folder):
+    df = cells({(r, c): r * 100 + c for r in range(40) for c in range(60)})
+    W.write_tiled(df, f"{folder}/t", tile=10, datatype="INT2U")
+    assert sorted(R.read_window(spark, f"{folder}/t", 10).collect()) == sorted(df.collect())
+    window = R.read_window(spark, f"{folder}/t", 10, (8, 12), (33, 35))
+    assert sorted((x.r, x.c) for x in window.collect()) == [(r, c) for r in range(8, 13) for c in range(33, 36)]
+    plan = window._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "tile_r" in text.split("PartitionFilters")[1].split("]")[0] and "GreaterThanOrEqual(r,8)" in text
+
+    def scans(p):
+        return [p] if p.nodeName().startswith("Scan") else [x for i in range(p.children().size()) for x in scans(p.children().apply(i))]
+
+    window.collect()
+    assert [s.metrics().apply("numPartitions").value() for s in scans(plan)] == [2]  # rows 8 to 12 lie in two tiles, columns in one
+
+
 def test_nan_is_read_as_null(spark, folder):
     spark.createDataFrame([(0, 0, float("nan")), (0, 1, 2.0)], "r bigint, c bigint, value double").write.parquet(f"{folder}/n")
     assert R.read_layer(spark, f"{folder}/n").agg(F.count("value"), F.avg("value")).first() == (1, 2.0)

@@ -23,8 +23,9 @@ OPS = {
     "block_mean": lambda d: blocks.block_mean(d, 7, ["v"]),
     "fill": lambda d: blocks.fill_from_block(d.withColumn("b", F.when(F.col("v") > 30, F.col("b"))), 5, "b", "f"),
     "terrain": lambda d: focal.slope_aspect(d, G, "v", 8),
-    "resample": lambda d: focal.resample_bilinear(d, G, Grid(3.0, 290.0, 7.0, 7.0, 35, 25), "v", 8),
+    "resample": lambda d: focal.resample_bilinear(d, G, Grid(3.0, 290.0, 7.0, 7.0, 35, 25), "v"),
     "stack": lambda d: stack.stack_layers(stack.to_long(d, ["v", "b"]), ["v", "b"]),
+    "align": lambda d: stack.align([(d.filter("r < 12"), ["v"]), (d.filter("c > 5"), ["b"])]),
     "contingency": lambda d: tables.contingency(d, "k", "b"),
     "quantiles": lambda d: quantiles.exact_quantiles(d, ["v"], [0.01, 0.5, 0.99], ["k"]),
     "density": lambda d: density.density(d.withColumn("u", F.col("v") / 90), "u", ["k"], points=32),
@@ -59,6 +60,14 @@ def test_plans_shuffle_once_per_tile(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_aligned_tables_share_one_shuffle(spark):
+    d = base(spark)
+    out = stack.align([(d.select("r", "c", "v"), ["v"]), (d.select("r", "c", "b"), ["b"])])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan and "Expand" not in plan
+    assert out.count() == d.select("r", "c").distinct().count()
+
+
 def test_lookup_join_without_broadcast_is_the_same(spark):
     from cellframe.spark import lookup_join
 

@@ -61,22 +61,33 @@ def test_bilinear_reproduces_a_plane(spark, cells, res):
     f = lambda x, y: 3 + 0.7 * x - 0.4 * y
     values = {(r, c): f((c + 0.5) * 10, 200 - (r + 0.5) * 10) for r in range(20) for c in range(15)}
     dst = Grid(2.0, 190.0, *res, int(180 // res[1]), int(140 // res[0]))
-    out = focal.resample_bilinear(cells(values), src, dst, tile=6).collect()
-    inside = [
-        (r, c)
-        for r in range(dst.nrow)
-        for c in range(dst.ncol)
-        if 5 <= 2 + (c + 0.5) * res[0] <= 145 and 5 <= 190 - (r + 0.5) * res[1] <= 195
-    ]
-    assert sorted((x.r, x.c) for x in out) == inside
-    for x in out:
-        assert abs(x.value - f(2 + (x.c + 0.5) * res[0], 190 - (x.r + 0.5) * res[1])) < 1e-9
+    out = {(x.r, x.c): x.value for x in focal.resample_bilinear(cells(values), src, dst).collect()}
+    at = {(r, c): (2 + (c + 0.5) * res[0], 190 - (r + 0.5) * res[1]) for r in range(dst.nrow) for c in range(dst.ncol)}
+    assert out.keys() == {k for k, (x, y) in at.items() if 0 <= x <= 150 and 0 <= y <= 200}
+    for k, v in out.items():
+        x, y = at[k]
+        if 5 <= x <= 145 and 5 <= y <= 195:
+            assert abs(v - f(x, y)) < 1e-9
+        else:  # the half cell at the border takes its nearest cells
+            assert abs(v - f(min(max(x, 5), 145), min(max(y, 5), 195))) < 1e-9
+
+
+def test_bilinear_beside_a_gap_takes_the_weights_present(spark, cells):
+    g = Grid(0.0, 50.0, 10.0, 10.0, 5, 5)
+    values = {(r, c): float(r * 10 + c) for r in range(5) for c in range(5) if (r, c) != (2, 2)} | {(2, 2): None}
+    out = {(x.r, x.c): x.value for x in focal.resample_bilinear(cells(values), g, Grid(0.0, 50.0, 5.0, 5.0, 10, 10)).collect()}
+    assert len(out) == 100
+    for (r, c), v in out.items():
+        fr, fc = min(max((r + 0.5) / 2 - 0.5, 0), 4), min(max((c + 0.5) / 2 - 0.5, 0), 4)
+        near = [(i, j, (1 - abs(fr - i)) * (1 - abs(fc - j))) for i in range(5) for j in range(5) if abs(fr - i) < 1 and abs(fc - j) < 1]
+        near = [(values[i, j], w) for i, j, w in near if values.get((i, j)) is not None]
+        assert v == pytest.approx(sum(x * w for x, w in near) / sum(w for _, w in near))
 
 
 def test_bilinear_on_the_same_grid_is_the_identity(spark, cells):
     g = Grid(0.0, 50.0, 10.0, 10.0, 5, 6)
     values = {(r, c): float(r * 10 + c) for r in range(5) for c in range(6) if (r, c) != (2, 2)}
-    out = {(x.r, x.c): x.value for x in focal.resample_bilinear(cells(values), g, g, tile=4).collect()}
+    out = {(x.r, x.c): x.value for x in focal.resample_bilinear(cells(values), g, g).collect()}
     assert out == values
 
 

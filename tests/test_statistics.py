@@ -31,15 +31,53 @@ def test_quantiles_are_linear_interpolation(spark, values, probs):
         assert got[p] == pytest.approx(np.quantile(have, p), rel=1e-12, abs=1e-9)
 
 
-def test_quantiles_beyond_the_sketch(spark):
-    """Coarse sketch, many rows, one value holding a third of them: still exact."""
-    rng = np.random.default_rng(1)
-    v = np.concatenate([rng.normal(size=40_000), np.full(20_000, 0.25)])
-    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(7)
-    probs = [0.001, 0.01, 0.3, 0.5, 0.77, 0.99]
-    got = {r.p: r.value for r in Q.exact_quantiles(df, ["v"], probs, accuracy=50).collect()}
+SHAPES = {
+    "heavy tail": [1.0 / (1 + k * 7919 % 5003) ** 4 for k in range(5000)],
+    "sorted": [float(k) for k in range(5000)],
+    "one value": [3.25] * 4000 + [1.0, 7.0],
+    "both signs": [(-1.0) ** k * 2.0 ** (k % 600 - 300) for k in range(5000)],
+    "edges": [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 1.0, 1.0 + 2.0**-52, 2.0 - 2.0**-52, 2.0, 1.7e308, -1.7e308],
+    "powers": [float(2**k + d) for k in range(1, 52) for d in (-1, 0, 1)],
+}
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+@pytest.mark.parametrize("direct", [10, 1_000_000])
+def test_quantiles_by_radix(spark, shape, direct, monkeypatch):
+    """Every digit, and every distribution: with few direct rows all rounds run."""
+    from cellframe.operators import ranks
+
+    monkeypatch.setattr(ranks.select_ranks, "__defaults__", (direct,))
+    v = SHAPES[shape]
+    df = spark.createDataFrame([(x,) for x in [*v, None]], "v double").repartition(7)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.999, 1.0]
+    got = {r.p: r.value for r in Q.exact_quantiles(df, ["v"], probs).collect()}
+    have = sorted(v)
     for p in probs:
-        assert got[p] == pytest.approx(np.quantile(v, p), abs=1e-12)
+        h = (len(v) - 1) * p
+        a, b = have[int(h)], have[min(int(h) + (h > int(h)), len(v) - 1)]
+        assert got[p] == pytest.approx(a + (h - int(h)) * (b - a), rel=1e-12, abs=0)
+
+
+def test_digits_order_like_values(spark):
+    from cellframe.operators.ranks import DIGIT, double_digits
+
+    v = sorted({x for s in SHAPES.values() for x in s} | {float("inf"), float("-inf"), 0.1, 1 / 3, 1e-310})
+    df = spark.createDataFrame([(x,) for x in v], "_v double")
+    rows = df.select("_v", *[d.alias(f"d{k}") for k, d in enumerate(double_digits(F.col("_v")))]).collect()
+    digits = [tuple(r[1:]) for r in sorted(rows, key=lambda r: r[0])]
+    assert digits == sorted(digits) and len(set(digits)) == len({x + 0.0 for x in v})
+    assert all(abs(d) <= DIGIT for t in digits for d in t)
+
+
+def test_quantile_job_count(spark):
+    sc = spark.sparkContext
+    df = spark.range(20000).select((F.col("id") % 977).cast("double").alias("a"), F.col("id").cast("double").alias("b"))
+    sc.setJobGroup("quantiles", "quantiles")
+    Q.quantiles_wide(df, ["a", "b"], {"lo": 0.01, "hi": 0.99}).collect()
+    executions = len(sc.statusTracker().getJobIdsForGroup("quantiles"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert executions <= 15  # adaptive execution makes every shuffle a job of its own
 
 
 def test_grouped_quantiles(spark):
@@ -82,6 +120,24 @@ def test_chi_square_golden(spark):
     assert T.chi_square(tab, "a", "b", correct=False).first().statistic == pytest.approx(11.428571, abs=1e-6)
 
 
+def test_chi_square_tail_of_published_points(spark):
+    points = [
+        (3.841458820694124, 1, 0.05), (10.827566170662733, 1, 0.001), (6.634896601021213, 1, 0.01), (23.928126, 1, 1e-6),
+        (5.991464547107979, 2, 0.05), (13.815510557964274, 2, 0.001), (7.814727903251179, 3, 0.05), (13.276704135987622, 4, 0.01),
+        (20.515005652432873, 5, 0.001), (18.307038053275146, 10, 0.05), (43.77297182574219, 30, 0.05), (1.689869, 7, 0.975),
+        (124.34211340400407, 100, 0.05), (0.0, 3, 1.0), (0.00393214, 1, 0.95),
+    ]
+    df = spark.createDataFrame([(x, k) for x, k, _ in points], "x double, k long")
+    got = [r.p for r in df.select(T.chi_square_tail(F.col("x"), F.col("k")).alias("p")).collect()]
+    for p, (x, k, want) in zip(got, points, strict=True):
+        digits = 1e-9 if len(str(x)) > 12 else 1e-4 * want
+        assert p == pytest.approx(want, abs=digits), (x, k)
+    # both branches of one degree meet, and odd degrees lie between even ones
+    edge = spark.createDataFrame([(8 - 1e-12, 1), (8.0, 1), (8.0, 2), (8.0, 3)], "x double, k long")
+    a, b, c, d = [r.p for r in edge.select(T.chi_square_tail(F.col("x"), F.col("k")).alias("p")).collect()]
+    assert a == pytest.approx(b, rel=1e-11) and b < c < d and c == pytest.approx(math.exp(-4), rel=1e-14)
+
+
 def test_chi_square_larger_table_has_no_correction(spark):
     counts = {("x", "p"): 12, ("x", "q"): 5, ("x", "s"): 9, ("y", "p"): 7, ("y", "q"): 14, ("y", "s"): 3}
     tab = T.contingency(pairs(spark, counts), "a", "b")
@@ -170,10 +226,14 @@ def test_density_matches_the_formula(spark, values):
     got = D.density(df, "v", ["g"], points=64).orderBy("i").collect()
     v, bw = np.array(values), rule_of_thumb(np.array(values))
     x = np.linspace(0, 1, 64)
-    want = np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(1) / (len(v) * bw * math.sqrt(2 * math.pi))
+    exact = np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(1) / (len(v) * bw * math.sqrt(2 * math.pi))
+    lattice = np.linspace(0, 1, 4 * 63 + 1)
+    near = np.maximum(0, 1 - abs(lattice[:, None] - v) * 252).sum(1)  # each value between its two nodes
+    want = (np.exp(-0.5 * ((x[:, None] - lattice) / bw) ** 2) * near).sum(1) / (len(v) * bw * math.sqrt(2 * math.pi))
     assert [r.i for r in got] == list(range(64))
     assert np.allclose([r.x for r in got], x)
-    assert np.allclose([r.density for r in got], want, atol=1e-12)
+    assert np.allclose([r.density for r in got], want, rtol=1e-9, atol=1e-12)
+    assert np.abs(want - exact).max() < 0.01 * exact.max()
 
 
 def test_violin_spans_each_group(spark):
