@@ -1,3 +1,5 @@
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,11 +33,12 @@ def test_window_read_opens_the_files_of_its_tiles(spark, cells, folder):
     text = plan.toString()
     assert "tile_r" in text.split("PartitionFilters")[1].split("]")[0] and "GreaterThanOrEqual(r,8)" in text
 
-    def scans(p):
-        return [p] if p.nodeName().startswith("Scan") else [x for i in range(p.children().size()) for x in scans(p.children().apply(i))]
-
-    window.collect()
-    assert [s.metrics().apply("numPartitions").value() for s in scans(plan)] == [2]  # rows 8 to 12 lie in two tiles, columns in one
+    for file in glob.glob(f"{folder}/t/tile_r=[123]/tile_c=[0-2]/*.parquet") + glob.glob(f"{folder}/t/tile_r=3/tile_c=3/*.parquet"):
+        with open(file, "wb") as f:
+            f.write(b"not a table")
+    assert R.read_window(spark, f"{folder}/t", 10, (8, 12), (33, 35)).count() == 15  # other tiles' files stay closed
+    with pytest.raises(Exception, match="FAILED_READ_FILE|parquet|Parquet"):
+        R.read_window(spark, f"{folder}/t", 10, (8, 12), (25, 35)).collect()
 
 
 def test_nan_is_read_as_null(spark, folder):
