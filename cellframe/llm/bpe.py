@@ -1,11 +1,17 @@
 """Byte-pair encoding and decoding as a streaming transducer.
 
-A merge list is applied to one pre-token at a time. A pre-token that fits the window is merged directly. A longer one is
-read through the window: let L be the symbols of the longest token that the merge list can make. Whatever follows, the
-final tokenization has a token boundary among the last L positions read, and up to a boundary it equals the tokenization
-of that prefix alone (merges on both sides of a boundary that no merge crosses are independent). So the tokens on which
-the tokenizations of the L prefixes ending there agree are stable: they are emitted, and only the rest is kept. L is the
-lookahead that is computed from the merge list; memory is the window, however long the pre-token.
+Every pre-token is read symbol by symbol. The state is, for the positions in the window, the last token of the
+tokenization of everything up to there. It is the one token that ends there, tokenizes to itself, and stays apart from
+the last token of the part before it: no merge crosses their border before the pieces beside it have grown on. So a
+position needs only tokens that end there, and the tokenization of a prefix is read back along its last tokens.
+
+Let L be the symbols of the longest token that the merge list can make. The token that follows begins after one of the
+last L positions, so the tokens on which the L prefixes ending there agree are stable: they are emitted, and only the
+rest is kept. L is the lookahead that is computed from the merge list; memory is the window, however long the pre-token.
+
+Normalization and splitting are the definition's own, done by the tokenizers library. Where a definition lower-cases and
+splits into words as WORD_SPLIT does, blocks of characters for which Python's tables were found to agree with the
+library's (asked for each character below FAST_BELOW when a worker starts) are split in Python, which is faster.
 
 Decoding is a state machine over bytes: pieces of tokens go in, complete UTF-8 characters come out, and an unfinished
 character is the only state.
@@ -15,13 +21,14 @@ Null text counts as empty and gives no tokens; repeated rows are encoded alike;
 from __future__ import annotations
 
 import codecs
-import heapq
 import json
+import os
 import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import regex
 from pyspark.sql import DataFrame
@@ -31,12 +38,16 @@ from cellframe.llm.common import kept, map_rows, sha256_hex
 
 #: Bytes of pre-tokens kept with their tokens in each worker; the store is emptied when full, which changes no result.
 CACHE_BYTES = 24 << 20
-#: Symbols of a pre-token that are merged at once.
-WINDOW = 512
+#: Pairs of tokens kept with whether they stay apart; emptied when full, too.
+PAIRS = 1 << 15
 #: Characters of a text that are split into pre-tokens at a time.
 BLOCK = 1 << 16
-#: Rank of a pair that no merge joins.
+#: Rank of a pair that no merge joins, or of what is never merged.
 NONE = 1 << 60
+#: Characters below this are asked for at the start; the marks among them have been in Unicode for long.
+FAST_BELOW = 0x600
+#: Fixed value: the split by which a definition takes letters, single digits and other marks as words.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @lru_cache(1)
@@ -51,120 +62,189 @@ def byte_letters() -> list[str]:
 
 
 class MergeList:
-    """Merges by rank over symbols, with the window rule for long input."""
+    """Merges by rank (lowest first, leftmost first among equal ranks) over symbols, as a transducer.
 
-    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], suffix: str = ""):
-        self.vocab, self.suffix = vocab, suffix
+    Each token is made by one merge, and by none that comes after one that uses it; other lists are refused."""
+
+    def __init__(self, merges: Iterable[tuple[str, str]], suffix: str = ""):
+        self.suffix = suffix
         self.rank: dict[tuple[str, str], int] = {}
-        length: dict[str, int] = {}
+        #: Rank at which a token is made, and its two parts.
+        self.made: dict[str, tuple[int, str, str]] = {}
         used: set[str] = set()
+        length: dict[str, int] = {}
         for k, (a, b) in enumerate(merges):
-            self.rank.setdefault((a, b), k)
+            if (a, b) in self.rank:
+                continue
             used |= {a, b}
-            if a + b in used and a + b not in length:
+            if a + b in used:
                 raise ValueError(f"{a + b!r} is used before merge {k} makes it")
-            length[a + b] = max(length.get(a + b, 0), length.get(a, 1) + length.get(b, 1))
+            if a + b in self.made:
+                raise ValueError(f"{a + b!r} is made twice")
+            self.rank[a, b] = k
+            self.made[a + b] = (k, a, b)
+            length[a + b] = length.get(a, 1) + length.get(b, 1)
+        #: Tokens that their own symbols tokenize to.
+        self.whole: set[str] = set()
+        for t, (k, a, b) in self.made.items():
+            if (a in self.whole or a not in self.made) and (b in self.whole or b not in self.made) and self.apart(a, b, k):
+                self.whole.add(t)
+        self._beside: dict[tuple[str, str], bool] = {}
         #: Sufficient lookahead: no token has more symbols.
-        self.lookahead = max(length.values(), default=1)
-
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Lowest rank first, leftmost first among equal ranks."""
-        if len(symbols) > 48:
-            return self._merge_long(symbols)
-        rank = self.rank.get
-        ranks = [rank(pair, NONE) for pair in zip(symbols, symbols[1:], strict=False)]
-        while ranks and (best := min(ranks)) != NONE:
-            at = ranks.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank((symbols[at - 1], symbols[at]), NONE)
-            if at < len(ranks):
-                ranks[at] = rank((symbols[at], symbols[at + 1]), NONE)
-        return symbols
-
-    def _merge_long(self, symbols: list[str]) -> list[str]:
-        n, rank = len(symbols), self.rank
-        right, left, live = list(range(1, n + 1)), list(range(-1, n - 1)), list(symbols)
-        heap = [(r, i, live[i], live[i + 1]) for i in range(n - 1) if (r := rank.get((live[i], live[i + 1]))) is not None]
-        heapq.heapify(heap)
-        gone = [False] * n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if gone[i] or j >= n or live[i] != a or live[j] != b:
-                continue
-            live[i], gone[j], right[i] = a + b, True, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (r := rank.get((live[x], live[y]))) is not None:
-                    heapq.heappush(heap, (r, x, live[x], live[y]))
-        return [s for s, g in zip(live, gone, strict=True) if not g]
-
-    def stream(self, symbols: Iterable[str], window: int = WINDOW) -> Iterator[str]:
-        """Tokens of a pre-token of any length, each as soon as it is stable."""
-        held: list[str] = []
-        size = window = max(window, 2 * self.lookahead)
-        for s in symbols:
-            held.append(s)
-            if len(held) > size:
-                stable = self._stable(held[:-1])
-                used = sum(n for _, n in stable)
-                yield from (t for t, _ in stable)
-                held = held[used:]
-                size = window if used else 2 * size
-        if held:
-            held[-1] += self.suffix
-        yield from self.merge(held)
-
-    def _stable(self, held: list[str]) -> list[tuple[str, int]]:
-        common: list[str] | None = None
-        for cut in range(len(held) - self.lookahead + 1, len(held) + 1):
-            tokens = self.merge(held[:cut])
-            if common is None:
-                common = tokens
-                continue
-            k = 0
-            while k < min(len(common), len(tokens)) and common[k] == tokens[k]:
-                k += 1
-            common = common[:k]
-        return [(t, len(t)) for t in common or []]
-
-    def tokens(self, word: str, window: int = WINDOW) -> list[str]:
-        if len(word) > window:
-            return list(self.stream(word, window))
-        symbols = list(word)
-        symbols[-1] += self.suffix
-        return self.merge(symbols)
+        self.lookahead = max((length[t] for t in self.whole), default=1)
+
+    def apart(self, a: str, b: str, until: int = NONE) -> bool:
+        """Whether no merge of a rank below ``until`` crosses the border of two tokens beside each other.
+
+        Goes back in time: the pieces at the border are the tokens, then what they were made of, the later made first.
+        Of merges of equal rank the left one is first, so the right token is the later one."""
+        rank, made = self.rank.get, self.made.get
+        left = right = until  # the ranks at which the pieces grow on
+        ma, mb = made(a), made(b)
+        while True:
+            r = rank((a, b))
+            if r is not None and r < left and r <= right and r < until:
+                return False
+            if mb is not None and (ma is None or mb[0] >= ma[0]):
+                right, b = mb[0], mb[1]
+                mb = made(b)
+            elif ma is not None:
+                left, a = ma[0], ma[2]
+                ma = made(a)
+            else:
+                return True
+
+    def _last(self, text: str, last: list[str], before: str, end: int, suffix: str = "") -> str:
+        """The last token of the tokenization up to ``end`` of the window, found when first asked for."""
+        whole = self.whole
+        for start in range(max(0, end - self.lookahead), end):
+            token = text[start:end] + suffix
+            if token in whole or start == end - 1:
+                previous = (last[start] or self._last(text, last, before, start)) if start else before
+                if not previous:
+                    break
+                beside = self._beside.get((previous, token))
+                if beside is None:
+                    if len(self._beside) == PAIRS:
+                        self._beside.clear()
+                    beside = self._beside[previous, token] = self.apart(previous, token)
+                if beside:
+                    break
+        else:
+            raise AssertionError("some token ends at every place")
+        last[end] = token
+        return token
+
+    def _closing(self, text: str, last: list[str], before: str) -> list[str]:
+        """The tokens of a window that ends with its pre-token."""
+        token = self._last(text, last, before, len(text), self.suffix)
+        return [*self._back(last, len(text) + len(self.suffix) - len(token)), token]
+
+    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
+        """Tokens of a pre-token of any length, each as soon as it is stable. Positions that no token of the result
+        needs are not looked at where the pre-token ends inside the first window."""
+        reader, size = iter(symbols), 4 * self.lookahead
+        text, before = "", ""  # the window, and the token emitted last
+        last = [""]  # the last token of what ends at each place in the window, once known
+        while True:
+            more = "".join(islice(reader, size + 1 - len(text)))
+            text += more
+            last += [""] * len(more)
+            if len(text) <= size:
+                break
+            for end in range(1, len(text)):  # the symbol held back may be the last one, which has the suffix
+                if not last[end]:
+                    self._last(text, last, before, end)
+            stable = self._stable(last, len(text) - 1)
+            if stable:
+                yield from self._back(last, stable)
+                before, text, last = last[stable], text[stable:], ["", *last[stable + 1 :]]
+            else:
+                size *= 2
+        if text:
+            yield from self._closing(text, last, before)
+
+    def tokens(self, symbols: str) -> Iterable[str]:
+        """Tokens of a pre-token: at once where the first window holds all of it."""
+        if len(symbols) > 4 * self.lookahead:
+            return self.stream(symbols)
+        return self._closing(symbols, [""] * (len(symbols) + 1), "") if symbols else []
+
+    def _stable(self, last: list[str], end: int) -> int:
+        """The furthest place where the prefixes that end at the L places up to ``end`` all have a border."""
+        ends = set(range(end - self.lookahead + 1, end + 1))
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - len(last[end]))
+        return ends.pop()
+
+    @staticmethod
+    def _back(last: list[str], end: int) -> list[str]:
+        """The tokens up to ``end``."""
+        found = []
+        while end:
+            found.append(last[end])
+            end -= len(last[end])
+        return found[::-1]
 
 
 class Encoder:
-    """Text to token ids by a vocabulary file in the tokenizers JSON layout: word ends, byte letters, lower case."""
+    """Text to token ids by a vocabulary file in the tokenizers JSON layout, over byte letters."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
         spec = json.loads(definition)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        self.merges = MergeList(self.vocab, merges, model.get("end_of_word_suffix") or "")
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._pieces = regex.compile(split).findall
+        self.merges = MergeList(merges, model.get("end_of_word_suffix") or "")
+        library = Tokenizer.from_str(definition)
+        self._normalizer, self._splitter = library.normalizer, library.pre_tokenizer
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._letters = byte_letters()
-        self._cache: dict[str, bytes] = {}
+        self._cache: dict[str | bytes, bytes] = {}
         self._held = 0
         self._spaces = regex.compile(r"\s+")
-        self._latin = re.compile("[a-z]+|[0-9]|[^ a-z0-9]+").findall
+        self._words = regex.compile(WORD_SPLIT).findall
+        self._other = self._disagreeing(spec)
+
+    def _disagreeing(self, spec: dict) -> Callable | None:
+        """Finds a character for which Python's tables do not, or may not, do what the library's do."""
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        known = known and [n["type"] for n in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": WORD_SPLIT}
+        known = known and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+        if not known:
+            return None
+        same = []
+        for c in map(chr, range(FAST_BELOW)):
+            if unicodedata.category(c) != "Cn" and all(self._in_python(t) == self._in_library(t) for t in (c, f"a{c}b", f"1{c}.")):
+                same.append(re.escape(c))
+        return re.compile("[^" + "".join(same) + "]").search
+
+    def _in_python(self, text: str) -> list[str]:
+        return [self._symbols(w) for w in self._words(self.normalize(text))]
+
+    def _in_library(self, text: str) -> list[str]:
+        if self._normalizer is not None:
+            text = self._normalizer.normalize_str(text)
+        return [p for p, _ in self._splitter.pre_tokenize_str(text)]
 
     def normalize(self, text: str) -> str:
         text = self._spaces.sub(" ", unicodedata.normalize("NFC", text))
         return text.replace("Σ", "σ").lower()
 
-    def _word(self, word: str) -> bytes:
-        letters, vocab = self._letters, self.vocab
-        symbols = "".join([letters[b] for b in word.encode()])
+    def _symbols(self, word: str) -> str:
+        letters = self._letters
+        return "".join([letters[b] for b in word.encode()])
+
+    def _learn(self, word: str | bytes, symbols: str) -> bytes:
+        vocab = self.vocab
         ids = array("I", [vocab[t] for t in self.merges.tokens(symbols) if t in vocab]).tobytes()
         if len(word) <= 64:
             if self._held > CACHE_BYTES:
@@ -176,13 +256,21 @@ class Encoder:
     def _plain(self, text: str) -> Iterator[bytes]:
         """Ids of a text without added tokens, block by block. A block ends before a space, where neither the
         normalizer nor the splitter looks across."""
-        at = 0
+        at, known = 0, self._cache.get
         while at < len(text):
             upto = len(text)
             if upto - at > BLOCK and (cut := text.find(" ", at + BLOCK)) >= 0:
                 upto = cut
-            for word in self._pieces(self.normalize(text[at:upto])):
-                yield self._cache.get(word) or self._word(word)
+            block = text[at:upto]
+            if self._other is not None and not self._other(block):
+                for word in self._words(self.normalize(block)):
+                    yield known(word) or self._learn(word, self._symbols(word))
+                    known = self._cache.get
+            else:
+                for symbols in self._in_library(block):
+                    key = symbols.encode()  # bytes, as words are strings
+                    yield known(key) or self._learn(key, symbols)
+                    known = self._cache.get
             at = upto
 
     def stream(self, text: str) -> Iterator[bytes]:

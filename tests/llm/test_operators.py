@@ -276,17 +276,72 @@ def test_tokens_equal_the_library(docs):
     assert back[10] == "one two "
 
 
-def test_windows_of_the_transducer_do_not_show():
-    merges = [("a", "b"), ("ab", "ab"), ("b", "a"), ("abab", "abab"), ("c", "ab"), ("a", "c</w>")]
-    table = bpe.MergeList({}, merges, "</w>")
+def merge_plainly(merges, word, suffix):
+    """All symbols at once, the lowest rank first and the leftmost of equal ones: what the transducer must give."""
+    rank = {m: k for k, m in reversed(list(enumerate(merges)))}
+    symbols = [*word[:-1], word[-1] + suffix] if word else []
+    while len(symbols) > 1:
+        best, at = min((rank.get(pair, len(rank)), i) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)))
+        if best == len(rank):
+            break
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    return symbols
+
+
+def test_transducer_against_plain_merging():
     rng = np.random.default_rng(2)
-    for _ in range(300):
-        word = "".join(rng.choice(list("abc"), rng.integers(1, 120)))
-        whole = list(word)
-        whole[-1] += "</w>"
-        assert list(table.stream(word, 16)) == table.merge(whole)
+    lists = [([("a", "b"), ("ab", "ab"), ("b", "a"), ("abab", "abab"), ("c", "ab"), ("a", "c</w>")], "</w>")]
+    while len(lists) < 40:
+        suffix = "</w>" if rng.random() < 0.5 else ""
+        known, merges, made = ["a", "b", "c", *([c + suffix for c in "abc"] if suffix else [])], [], set()
+        for _ in range(rng.integers(1, 25)):
+            x, y = rng.choice(known, 2)
+            if (suffix and x.endswith(suffix)) or x + y in made or len(x + y) > 20:
+                continue
+            merges.append((str(x), str(y)))
+            made.add(x + y)
+            known.append(x + y)
+        lists.append((merges, suffix))
+    for merges, suffix in lists:
+        table = bpe.MergeList(merges, suffix)
+        for _ in range(40):
+            word = "".join(rng.choice(list("abc"), rng.integers(1, 200)))
+            want = merge_plainly(merges, word, suffix)
+            assert list(table.stream(iter(word))) == want and list(table.tokens(word)) == want
+        for word in ("a" * 500, "ab" * 300, "abc" * 200):
+            assert list(table.stream(word)) == merge_plainly(merges, word, suffix)
+    assert list(bpe.MergeList([]).stream("")) == [] and list(bpe.MergeList([]).tokens("")) == []
     with pytest.raises(ValueError):
-        bpe.MergeList({}, [("ab", "c"), ("a", "b")])
+        bpe.MergeList([("ab", "c"), ("a", "b")])
+    with pytest.raises(ValueError):
+        bpe.MergeList([("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")])
+
+
+def test_transducer_emits_before_the_end():
+    encoder = bpe.Encoder(bpe.read_definition(public_tokenizers.path("word_bpe_49k.json")))
+    read = 0
+
+    def letters():
+        nonlocal read
+        for c in "theanerinon" * 20_000:
+            read += 1
+            yield c
+
+    next(iter(encoder.merges.stream(letters())))
+    assert read <= 8 * encoder.merges.lookahead + 1
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_character_as_the_library(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(bpe.read_definition(path))
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b" for c in characters[at : at + 256]) for at in range(0, len(characters), 256)]
+    texts += [f"{c} x {c}{c}1" for c in characters[: 1 << 12]]
+    wanted = library.encode_batch(texts, add_special_tokens=False)
+    assert [t[:40] for t, w in zip(texts, wanted, strict=True) if encoder.encode(t) != w.ids] == []
 
 
 def test_nearest(spark):
