@@ -26,7 +26,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
 
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 
 from cellframe.llm.common import kept, map_rows, sha256_hex
 
-#: Bytes of pre-tokens kept with their tokens in each worker; the store is emptied when full, which changes no result.
-CACHE_BYTES = 24 << 20
+#: Bytes of pre-tokens kept with their tokens in each worker, in two halves: when one is full, the other, with what was
+#: not asked for meanwhile, is emptied, which changes no result.
+CACHE_BYTES = 48 << 20
 #: Pairs of tokens kept with whether they stay apart; emptied when full, too.
-PAIRS = 1 << 15
+PAIRS = 1 << 16
 #: Characters of a text that are split into pre-tokens at a time.
 BLOCK = 1 << 16
 #: Rank of a pair that no merge joins, or of what is never merged.
@@ -116,18 +117,19 @@ class MergeList:
 
     def _last(self, text: str, last: list[str], before: str, end: int, suffix: str = "") -> str:
         """The last token of the tokenization up to ``end`` of the window, found when first asked for."""
-        whole = self.whole
-        for start in range(max(0, end - self.lookahead), end):
+        whole, known = self.whole, self._beside
+        for start in range(end - self.lookahead if end > self.lookahead else 0, end):
             token = text[start:end] + suffix
             if token in whole or start == end - 1:
                 previous = (last[start] or self._last(text, last, before, start)) if start else before
                 if not previous:
                     break
-                beside = self._beside.get((previous, token))
+                pair = previous, token
+                beside = known.get(pair)
                 if beside is None:
-                    if len(self._beside) == PAIRS:
-                        self._beside.clear()
-                    beside = self._beside[previous, token] = self.apart(previous, token)
+                    if len(known) == PAIRS:
+                        known.clear()
+                    beside = known[pair] = self.apart(previous, token)
                 if beside:
                     break
         else:
@@ -205,12 +207,18 @@ class Encoder:
         library = Tokenizer.from_str(definition)
         self._normalizer, self._splitter = library.normalizer, library.pre_tokenizer
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._letters = byte_letters()
+        self._letters = dict(enumerate(byte_letters()))
         self._cache: dict[str | bytes, bytes] = {}
+        self._before: dict[str | bytes, bytes] = {}
         self._held = 0
-        self._spaces = regex.compile(r"\s+")
-        self._words = regex.compile(WORD_SPLIT).findall
+        self._words = self._few = regex.compile(WORD_SPLIT).findall
+        self._other: Callable | None = None
         self._other = self._disagreeing(spec)
+        if self._other is not None:  # the same split, spelled out for the characters that agree
+            same = [c for c in map(chr, range(FAST_BELOW)) if not self._other(c)]
+            letters, digits, spaces = ("".join(re.escape(c) for c in same if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s"))
+            marks = WORD_SPLIT.split("[", 1)[0]
+            self._few = re.compile(f"{marks}[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+").findall
 
     def _disagreeing(self, spec: dict) -> Callable | None:
         """Finds a character for which Python's tables do not, or may not, do what the library's do."""
@@ -227,8 +235,13 @@ class Encoder:
                 same.append(re.escape(c))
         return re.compile("[^" + "".join(same) + "]").search
 
+    def _split(self, text: str) -> list[str]:
+        """Words of a text of agreeing characters. White space is never in a word, so it need not be replaced."""
+        text = self.normalize(text)
+        return self._words(text) if self._other is None or self._other(text) else self._few(text)
+
     def _in_python(self, text: str) -> list[str]:
-        return [self._symbols(w) for w in self._words(self.normalize(text))]
+        return [self._symbols(w) for w in self._split(text)]
 
     def _in_library(self, text: str) -> list[str]:
         if self._normalizer is not None:
@@ -236,19 +249,25 @@ class Encoder:
         return [p for p, _ in self._splitter.pre_tokenize_str(text)]
 
     def normalize(self, text: str) -> str:
-        text = self._spaces.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()
+        if text.isascii():
+            return text.lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _symbols(self, word: str) -> str:
-        letters = self._letters
-        return "".join([letters[b] for b in word.encode()])
-
-    def _learn(self, word: str | bytes, symbols: str) -> bytes:
-        vocab = self.vocab
-        ids = array("I", [vocab[t] for t in self.merges.tokens(symbols) if t in vocab]).tobytes()
+        if word.isascii() and word.isprintable():
+            return word
+        return word.encode().decode("latin-1").translate(self._letters)
+
+    def _learn(self, word: str | bytes, symbols: str | None = None) -> bytes:
+        ids = self._before.get(word)
+        if ids is None:
+            vocab = self.vocab
+            found = self.merges.tokens(self._symbols(word) if symbols is None else symbols)
+            ids = array("I", [vocab[t] for t in found if t in vocab]).tobytes()
         if len(word) <= 64:
-            if self._held > CACHE_BYTES:
-                self._cache, self._held = {}, 0
+            if self._held > CACHE_BYTES // 2:
+                self._before, self._held = self._cache.copy(), 0
+                self._cache.clear()
             self._cache[word] = ids
             self._held += 2 * len(word) + len(ids) + 180  # both objects and their place in the table
         return ids
@@ -256,21 +275,16 @@ class Encoder:
     def _plain(self, text: str) -> Iterator[bytes]:
         """Ids of a text without added tokens, block by block. A block ends before a space, where neither the
         normalizer nor the splitter looks across."""
-        at, known = 0, self._cache.get
+        at, known, learn = 0, self._cache.get, self._learn
         while at < len(text):
             upto = len(text)
             if upto - at > BLOCK and (cut := text.find(" ", at + BLOCK)) >= 0:
                 upto = cut
             block = text[at:upto]
             if self._other is not None and not self._other(block):
-                for word in self._words(self.normalize(block)):
-                    yield known(word) or self._learn(word, self._symbols(word))
-                    known = self._cache.get
-            else:
-                for symbols in self._in_library(block):
-                    key = symbols.encode()  # bytes, as words are strings
-                    yield known(key) or self._learn(key, symbols)
-                    known = self._cache.get
+                yield b"".join([known(word) or learn(word) for word in self._split(block)])
+            else:  # bytes as keys, as words are strings
+                yield b"".join([known(p.encode()) or learn(p.encode(), p) for p in self._in_library(block)])
             at = upto
 
     def stream(self, text: str) -> Iterator[bytes]:
@@ -309,10 +323,13 @@ class Decoder:
         self._machine = codecs.getincrementaldecoder("utf-8")("replace")
         self._any = False
 
-    def feed(self, ids: Iterable[int]) -> str:
+    def feed(self, ids: Sequence[int]) -> str:
         """The text that is complete after these ids."""
         pieces = self.pieces
-        new = self.between.join([pieces[i] for i in ids if i in pieces])
+        try:
+            new = self.between.join(list(map(pieces.__getitem__, ids)))
+        except KeyError:
+            new = self.between.join([pieces[i] for i in ids if i in pieces])
         if not new:
             return ""
         lead, self._any = (self.between if self._any else b""), True
