@@ -1,7 +1,7 @@
-"""Gaussian kernel density on a fixed grid of points, from values binned linearly onto a finer lattice.
+"""Gaussian kernel density on a fixed grid of points: the kernel of every value at every point.
 
-Each value is shared between the two lattice nodes around it, so one aggregation turns rows into at most a few thousand
-node weights a group; the kernel is summed over nodes only. The work is the rows once, and a constant for each group."""
+Equal values are counted first, and the kernel sums combine before the shuffle, so a group's rows never meet. The work is
+the rows once, and the number of points for each distinct value of a group."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from cellframe.operators.quantiles import quantiles_wide
 from cellframe.spark import explode_range, lookup_join, settle
 
 REACH = 39.0  # exp(-39 ** 2 / 2) underflows to zero
-LATTICE = 4  # lattice steps for each step between grid points
 
 
 def bandwidths(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -38,20 +37,6 @@ def bandwidths(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return s.join(q, list(by)).withColumn("_bw", F.lit(0.9) * spread * F.pow(F.col("_n"), F.lit(-0.2)))
 
 
-def binned(df: DataFrame, by: Sequence[str], nodes: int) -> DataFrame:
-    """(by..., _v, _k): weights of lattice nodes from _lo to _hi, each value ``_v`` shared by nearness to the two around it."""
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(nodes - 1))
-    at = F.when(step > 0, (F.col("_v") - F.col("_lo")) / step).otherwise(F.lit(0.0))
-    cell = F.least(F.floor(at), F.lit(nodes - 2))
-    sums = (
-        df.select(*by, "_lo", "_hi", cell.alias("_j"), (at - cell).alias("_f"))
-        .groupBy(*by, "_lo", "_hi", "_j")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_f").alias("_s"))
-    )
-    shared = F.array(F.struct(F.col("_j").alias("j"), (F.col("_n") - F.col("_s")).alias("k")), F.struct((F.col("_j") + 1).alias("j"), F.col("_s").alias("k")))
-    return sums.withColumn("_e", F.explode(shared)).select(*by, (F.col("_lo") + F.col("_e.j") * step).alias("_v"), F.col("_e.k").alias("_k"))
-
-
 def density(
     df: DataFrame,
     value: str,
@@ -62,7 +47,8 @@ def density(
     """Density (by..., i, x, density) at ``points`` equally spaced places.
 
     ``limits`` restricts the values first and spans the grid; without them the grid spans
-    each group's own range. Sums combine before the shuffle, so a hot group costs no more than any other."""
+    each group's own range. Equal values are counted before the kernel is applied, and the
+    sums combine before the shuffle, so a hot group costs no more than any other."""
     by = list(by)
     df = df.select(*by, F.col(value).cast("double").alias("_v")).dropna()
     if limits is not None:
@@ -74,16 +60,12 @@ def density(
     last = F.lit(points - 1)
     step = (F.col("_hi") - F.col("_lo")) / last.cast("double")
     x = F.col("_lo") + F.col("i") * step
-    # one row per node is little data but much work: spread it before it multiplies
-    # (by node only: the same keys as the sums' would be optimized away)
+    # one row per distinct value is little data but much work: spread it before it multiplies
+    # (by value only: the same keys as the count's would be optimized away)
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    if limits is None:
-        df = lookup_join(df, bw.select(*by, "_lo", "_hi"), by, settled=True)
-    else:
-        df = df.withColumns({"_lo": F.lit(float(limits[0])), "_hi": F.lit(float(limits[1]))})
-    nodes = binned(df, by, LATTICE * (points - 1) + 1)
-    spread = lookup_join(nodes, bw, by, settled=True).repartition(tasks, "_v")
+    counts = df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    spread = lookup_join(counts, bw, by, settled=True).repartition(tasks, "_v")
     # beyond REACH bandwidths exp() is exactly zero, so those points need no visit
     reach = F.lit(REACH) * F.col("_bw")
     first = F.when(step > 0, F.greatest(F.ceil((F.col("_v") - reach - F.col("_lo")) / step), F.lit(0))).otherwise(0)

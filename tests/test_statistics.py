@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cellframe.catalog import QUERIES
 from cellframe.operators import confusion as C
 from cellframe.operators import density as D
 from cellframe.operators import quantiles as Q
@@ -226,14 +227,66 @@ def test_density_matches_the_formula(spark, values):
     got = D.density(df, "v", ["g"], points=64).orderBy("i").collect()
     v, bw = np.array(values), rule_of_thumb(np.array(values))
     x = np.linspace(0, 1, 64)
-    exact = np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(1) / (len(v) * bw * math.sqrt(2 * math.pi))
-    lattice = np.linspace(0, 1, 4 * 63 + 1)
-    near = np.maximum(0, 1 - abs(lattice[:, None] - v) * 252).sum(1)  # each value between its two nodes
-    want = (np.exp(-0.5 * ((x[:, None] - lattice) / bw) ** 2) * near).sum(1) / (len(v) * bw * math.sqrt(2 * math.pi))
+    want = np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(1) / (len(v) * bw * math.sqrt(2 * math.pi))
     assert [r.i for r in got] == list(range(64))
     assert np.allclose([r.x for r in got], x)
     assert np.allclose([r.density for r in got], want, rtol=1e-9, atol=1e-12)
-    assert np.abs(want - exact).max() < 0.01 * exact.max()
+
+
+def every_kernel(v, lo, hi, digits):
+    """The sum over all values, of every one on its own."""
+    v, x = np.asarray(v, dtype=float), np.linspace(lo, hi, 512)
+    bw = rule_of_thumb(v)
+    return np.round(np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(1) / (len(v) * bw * math.sqrt(2 * math.pi)), digits)
+
+
+def check_density(rows, by, values, limits, digits=6):
+    got = {}
+    for r in rows:
+        got.setdefault(tuple(r[k] for k in by), []).append((r.i, r.density))
+    assert got.keys() == values.keys()
+    for k, v in values.items():
+        lo, hi = limits or (min(v), max(v))
+        assert [i for i, _ in sorted(got[k])] == list(range(512))
+        assert np.allclose([d for _, d in sorted(got[k])], every_kernel(v, lo, hi, digits), rtol=0, atol=1.01 * 10**-digits)
+
+
+def test_violin_density_sums_every_kernel(spark, tmp_path):
+    tax = {s: {0: 0.0, 8: 0.04, 9: 0.06}.get(s // 12, 0.02 + 1e-5 * (s // 12) ** 2 + 1e-6 * s) for s in range(120)}  # narrow kernels
+    rows = [(s, t) for s, t in tax.items()]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets = ["cyto", "topo", "cyto+topo", "trait+height", "cyto+topo+trait", "cyto+trait+topo"]
+    values = {}
+    for s, t in tax.items():
+        if t * 12 <= 0.5:  # the violins' range
+            values.setdefault(("trait_n" if s % 12 < 6 else "trait_cwc", sets[s % 6]), []).append(t * 12)
+    check_density(QUERIES["violin_density"](spark, str(tmp_path)).collect(), ["yvar", "xvartype"], values, None, 4)
+
+
+def test_dead_fraction_density_sums_every_kernel(spark, tmp_path):
+    def write(name, df):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("customer", spark.range(600).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment")))
+    write("orders", spark.range(300).select(F.col("id").alias("o_orderkey")))
+    lines = """id % 300 as l_orderkey, id as l_partkey, id as l_suppkey, cast(id % 5 as int) as l_linenumber, 1e0 as l_quantity, 1e2 as l_extendedprice,
+        (id % 3) * 0.03e0 as l_discount, 0.05e0 as l_tax, if(id % 4 = 0, 'R', 'N') as l_returnflag,
+        make_timestamp_ntz(cast(1997 + id % 5 as int), 3, 1, 0, 0, 0) as l_shipdate"""
+    write("lineitem", spark.sql(f"select {lines} from range(900)"))
+    sf, values = str(tmp_path), {}
+    for r in QUERIES["site_damage_flags"](spark, sf).collect():
+        for name in ("damage_survey_years", "damage_lidar"):
+            if r[name] is not None:
+                values.setdefault((name, int(r[name])), []).append(r.site_code % 12 / 11)
+    assert len(values) >= 3
+    check_density(QUERIES["dead_fraction_density"](spark, sf).collect(), ["variable", "damage"], values, (0, 1))
+
+
+def test_kde_by_group_sums_every_kernel(spark, tmp_path):
+    values = {(g,): [0.0, 1.0, *(0.5 + step * (k * k % 59) for k in range(1, 58))] for g, step in (("view", 3.7e-5), ("click", 9.17e-5))}
+    rows = [(g, 100 * x) for (g,), v in values.items() for x in v] + [("view", 250.0), ("click", None)]
+    spark.createDataFrame(rows, "event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    check_density(QUERIES["kde_by_group"](spark, str(tmp_path)).collect(), ["event_type"], values, (0, 1))
 
 
 def test_violin_spans_each_group(spark):
