@@ -184,14 +184,6 @@ FULL_SQL = "full_cells as (select * from cells left join attrs using (cell_id))"
 
 CYTOTYPE_SQL = "case when cover = 0 and shade = 1 and cyto_raw >= -1e-4 then case when cyto_raw > 5e-1 then 1e0 else 0e0 end end"
 
-def lattice_sql(by: str, source: str, nodes: int = 2045) -> str:
-    """``k``: (by, v, k) lattice weights of ``source`` (by, v, lo, hi)."""
-    step = f"((hi - lo) / {nodes - 1}e0)"
-    return f"""placed as (select {by}, lo, hi, case when hi > lo then (v - lo) / {step} else 0e0 end as t from {source}),
-    sums as (select {by}, lo, hi, j, count(*) as n, sum(t - j) as s from (select *, least(floor(t), {nodes - 2}e0) as j from placed) a group by all),
-    k as (select {by}, lo + j * {step} as v, n - s as k from sums union all select {by}, lo + (j + 1) * {step}, s from sums)"""
-
-
 TERRAIN_SQL = """
     horn as (
       select r, c, sum(wx * z) / 8e1 as p, sum(wy * z) / 8e1 as q
