@@ -71,8 +71,12 @@ def _top(frame: DataFrame, block: str) -> int:
 
 def split_cuts(frame: DataFrame, runs: DataFrame, seed: int | str = 1, fraction: float = FO.TRAIN_FRACTION, block: str = "grid_id") -> DataFrame:
     """(run_id, _cut): a block trains in a run if its hash with the run's seed is at most the cut. All runs at once;
-    a run of which no block trains has no row."""
-    ids = explode_range(runs.select("run_id"), F.lit(1), F.lit(_top(frame, block)), "_id")
+    a run of which no block trains has no row.
+
+    Runs are dealt to as many tasks as there are runs before their blocks are spelled out, and stay there: a task counts
+    the digits of a few runs, at most DIGIT of each, however many blocks there are."""
+    runs = runs.select("run_id")
+    ids = explode_range(runs.repartition(max(1, runs.count()), "run_id"), F.lit(1), F.lit(_top(frame, block)), "_id")
     size = F.floor(F.lit(float(fraction)) * F.col("_n"))
     return cut_hash(ids, "_id", size, run_seed(seed, F.col("run_id")), ["run_id"])
 
@@ -97,6 +101,8 @@ def run_facts(frame: DataFrame, runs: DataFrame, seed: int | str = 1, fraction:
     numbered = runs.withColumns({"_combo": place[F.concat_ws("+", "xvartype", "yvar")], "xvars": case_x[F.col("xvartype")]})
     numbered = settle(numbered.join(split_cuts(frame, runs, seed, fraction, block), "run_id", "left"), small=True)  # one row a fit
     plan = numbered.agg(F.collect_list(F.struct("run_id", "_combo", "_cut")).alias("_p")).scalar()  # the plan, a few columns
+    # blocks are little data, but each meets every run
+    counts = counts.repartition(counts.sparkSession.sparkContext.defaultParallelism, block)
     rows = counts.withColumn("_r", F.explode(plan)).select(block, F.col("_r.run_id").alias("run_id"), F.get("_n", F.col("_r._combo")).alias("_k"), F.col("_r._cut").alias("_cut"))
     train = F.coalesce(hash_order(F.col(block), run_seed(seed, F.col("run_id"))) <= F.col("_cut"), F.lit(False))
     sums = rows.groupBy("run_id").agg(F.sum(F.when(train, F.col("_k")).otherwise(0)).alias("np_train"), F.sum(F.when(~train, F.col("_k")).otherwise(0)).alias("n_test"))
