@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import RandomForestRegressionModel
@@ -210,3 +212,15 @@ def test_registered_surfaces_are_all_seven_over_the_replicates(spark):
         points = [PD.GRID_POINTS if v != "diploid_fraction" else 2 for v in variables]
         assert len({tuple(r[f"i_{v}"] for v in variables) for r in some}) == len(some) <= np.prod(points)
         assert all(r.yhat_sd is not None and r.yhat_mean is not None for r in some)
+
+
+def test_split_cuts_deal_runs_to_tasks(spark, monkeypatch):
+    seen = []
+    real = R.cut_hash
+    monkeypatch.setattr(R, "cut_hash", lambda df, *a: seen.append(df) or real(df, *a))
+    frame = spark.range(1, 41).withColumnRenamed("id", "grid_id")
+    cuts = R.split_cuts(frame, R.planned_runs(frame)).collect()
+    tasks = [r["count"] for r in seen[0].groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(tasks) == 345 * 40 and max(tasks) <= 345 * 40 // 20
+    order = sorted(hashlib.md5(f"{b}:1-7".encode()).hexdigest() for b in range(1, 41))
+    assert {r.run_id: r._cut for r in cuts}[7] == order[31] and len(cuts) == 345
