@@ -6,16 +6,21 @@ number of split points below it, and rows with the same numbers by one row with
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Cuts = Mapping[str, Sequence[float]]
+#: Columns of a tree's nodes in the order of their numbers, the root first: variable (-1: leaf), threshold, left, right, prediction.
+Tree = dict[str, np.ndarray]
 
 
 def saved_nodes(spark: SparkSession, path: str, xvars: Sequence[str] | None = None) -> DataFrame:
-    """(tree, node, variable, threshold, gain, rows, impurity, prediction) of a saved forest; leaves have no variable.
+    """(tree, node, variable, threshold, gain, rows, impurity, prediction, left, right) of a saved forest; leaves have no
+    variable and no children.
 
     With ``<path>/run_id=<n>`` folders below ``path`` all of them are read, and ``run_id`` tells them apart. ``variable``
     is the number of the predictor, or its name where ``xvars`` are given."""
@@ -38,6 +43,8 @@ def saved_nodes(spark: SparkSession, path: str, xvars: Sequence[str] | None = No
         n["rawCount"].alias("rows"),
         n["impurity"].alias("impurity"),
         n["prediction"].alias("prediction"),
+        F.when(inner, n["leftChild"]).alias("left"),
+        F.when(inner, n["rightChild"]).alias("right"),
     )
 
 
@@ -67,11 +74,15 @@ def split_points(nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return cuts.agg(F.array_sort(F.collect_set("threshold")).alias("cuts"))
 
 
+def _doubles(values: Sequence[float]) -> Column:
+    """An array of constants, made in one call."""
+    return F.expr(f"array({', '.join(f"double('{float(v)!r}')" for v in values)})")
+
+
 def _bin(value: Column, cuts: Sequence[float]) -> Column:
     if not cuts:
         return F.lit(0)
-    below = F.filter(F.array(*[F.lit(float(t)) for t in cuts]), lambda t: t < value)
-    return F.size(below)
+    return F.size(F.filter(_doubles(cuts), lambda t: t < value))
 
 
 def _inside(number: Column, cuts: Sequence[float]) -> Column:
@@ -80,7 +91,7 @@ def _inside(number: Column, cuts: Sequence[float]) -> Column:
         return F.lit(0.0)
     top = float(cuts[-1])
     ends = [*map(float, cuts), top + max(1.0, abs(top))]
-    return F.element_at(F.array(*[F.lit(t) for t in ends]), number + 1)
+    return F.element_at(_doubles(ends), number + 1)
 
 
 def bin_vectors(df: DataFrame, xvars: Sequence[str], cuts: Cuts) -> DataFrame:
@@ -92,3 +103,49 @@ def bin_vectors(df: DataFrame, xvars: Sequence[str], cuts: Cuts) -> DataFrame:
     numbers = df.select(*[_bin(F.col(x), cuts.get(x, ())).alias(x) for x in xvars])
     counted = numbers.groupBy(*xvars).agg(F.count(F.lit(1)).alias("_k"))
     return counted.select(*[_inside(F.col(x), cuts.get(x, ())).alias(x) for x in xvars], "_k")
+
+
+def replicate_vectors(df: DataFrame, xvars: Sequence[str], cuts: Mapping[int, Cuts]) -> DataFrame:
+    """(replicate, xvars..., _k): the distinct vectors of bin numbers of every forest in ``cuts``, with their row counts.
+
+    All forests are one pass over the rows and one shuffle, and counting combines before it."""
+    numbers = [F.struct(F.lit(k).alias("replicate"), *[_bin(F.col(x), c.get(x, ())).alias(x) for x in xvars]) for k, c in cuts.items()]
+    return df.select(F.inline(F.array(*numbers))).groupBy("replicate", *xvars).agg(F.count(F.lit(1)).alias("_k"))
+
+
+def forest_trees(nodes: DataFrame, runs: Sequence[int]) -> dict[int, list[Tree]]:
+    """The trees of the runs out of ``saved_nodes``, as arrays that tasks walk; they are as large as the models themselves."""
+    names = ["variable", "threshold", "left", "right", "prediction"]
+    wanted = nodes.filter(F.col("run_id").isin(*map(int, runs))).fillna(-1, ["variable", "left", "right"])
+    table = wanted.select("run_id", "tree", "node", *names).toArrow().to_pandas().sort_values(["run_id", "tree", "node"])
+    trees = defaultdict(list)
+    for (run, _), tree in table.groupby(["run_id", "tree"]):
+        trees[int(run)].append({n: tree[n].to_numpy() for n in names})
+    return trees
+
+
+def grid_sums(tree: Tree, numbers: Mapping[int, np.ndarray], weights: np.ndarray, grid: Mapping[int, np.ndarray], cuts: Mapping[int, Sequence[float]]) -> np.ndarray:
+    """Sum of a tree's predictions over all rows at every grid cell.
+
+    ``numbers`` are the rows' bins by predictor, ``weights`` their counts, ``grid`` the cells' values of the other
+    predictors. Rows and cells go down the tree together: a split on a grid variable parts the cells, one on any other the
+    rows. Each node is so met once, with the rows and cells that reach it, and no row is scored again for another cell."""
+    limit = np.zeros(len(tree["variable"]), dtype=np.int64)
+    for x in numbers:
+        here = tree["variable"] == x
+        limit[here] = np.searchsorted(cuts[x], tree["threshold"][here])  # at most as many split points lie below a value on the left
+    variable, threshold, left, right, prediction, limit = (a.tolist() for a in (*tree.values(), limit))
+    out = np.zeros(len(next(iter(grid.values()))))
+    todo = [(0, np.arange(len(weights)), np.arange(len(out)))]
+    while todo:
+        node, rows, cells = todo.pop()
+        x = variable[node]
+        if x < 0:
+            out[cells] += prediction[node] * weights[rows].sum()
+        elif x in grid:
+            low = grid[x][cells] <= threshold[node]
+            todo += [(to, rows, some) for to, some in ((left[node], cells[low]), (right[node], cells[~low])) if len(some)]
+        else:
+            low = numbers[x][rows] <= limit[node]
+            todo += [(to, some, cells) for to, some in ((left[node], rows[low]), (right[node], rows[~low])) if len(some)]
+    return out

@@ -196,6 +196,35 @@ def test_experiment_rows_models_and_best_runs(spark, frame, tmp_path):
     assert s.filter("cv < 0 OR yhat_sd IS NULL").count() == 0
 
 
+def test_surfaces_from_saved_trees_are_the_mean_of_predictions(spark, frame, tmp_path):
+    params = FO.parameter_grid(frame.agg(F.count("*").alias("np")), ["cyto+topo"], [1, 2], ["damage_survey"])
+    R.run_experiment(frame, params, trees=6, depth=6, model_path=str(tmp_path))
+    xvars, variables = FO.predictors("cyto+topo"), ["diploid_fraction", "elevation", "height"]  # the last is no predictor
+    nodes = FT.saved_nodes(spark, str(tmp_path))
+    cuts = {1: {}, 2: {}}
+    for r in FT.split_points(nodes, ["run_id"]).collect():
+        cuts[r.run_id][xvars[r.variable]] = r.cuts
+    twice = frame.filter("grid_id % 3 = 0").unionAll(frame.filter("grid_id % 6 = 0"))
+    # rows on a split point go to its left
+    rows = twice.unionAll(twice.limit(1).withColumn("slope", F.explode(F.lit([float(c) for c in cuts[1]["slope"]]))))
+    models = {k: RandomForestRegressionModel.load(f"{tmp_path}/run_id={k}") for k in (1, 2)}
+    plain = PD.replicate_surfaces(models, xvars, rows, variables, 4)
+    walked = PD.replicate_surfaces(dict.fromkeys(models), xvars, rows, variables, 4, cuts, nodes)  # no prediction per grid point
+    assert [(f.name, f.dataType) for f in walked.schema] == [(f.name, f.dataType) for f in plain.schema]
+    key = lambda r: (r.replicate, r.i_diploid_fraction, r.i_elevation, r.i_height)
+    expected, found = ({key(r): r for r in df.collect()} for df in (plain, walked))
+    assert found.keys() == expected.keys() and len(found) == 2 * 4**3
+    for k, r in expected.items():
+        assert all(found[k][v] == r[v] for v in variables) and found[k].yhat == pytest.approx(r.yhat, abs=1e-12)
+
+
+def test_rows_and_grid_go_down_a_tree_together():
+    a = lambda *v: np.array(v)
+    tree = {"variable": a(0, -1, 1, -1, -1), "threshold": a(2.0, 0, 5.0, 0, 0), "left": a(1, -1, 3, -1, -1), "right": a(2, -1, 4, -1, -1), "prediction": a(0, 10.0, 0, 20.0, 30.0)}
+    # grid 1, 2 and 3 of variable 0: 2 is on the threshold; rows of bins 0 (values up to 5) and 1 of variable 1
+    assert FT.grid_sums(tree, {1: a(0, 1)}, a(3, 4), {0: a(1.0, 2.0, 3.0)}, {1: [5.0]}).tolist() == [70.0, 70.0, 180.0]
+
+
 def test_smaller_samples_are_taken(frame):
     params = FO.parameter_grid(frame.limit(1).select(F.lit(500).cast("bigint").alias("np")), ["topo"], [1], ["height"])
     r = R.run_experiment(frame, params, trees=2, depth=2).first()
