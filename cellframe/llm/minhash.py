@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm.common import BYTE_POWERS, WORD_POWERS, Words, mix, run_hashes, text_slices
@@ -45,10 +45,10 @@ SLICE = 1 << 18
 LEAST_EQUAL = 0.6
 #: Nodes of a family that stand in one block.
 BLOCK = 1024
-#: Largest set of row numbers, 8 bytes each, that is sent to every task.
-MAX_BROADCAST_ROWS = 2_000_000
-#: Largest table of the families of rows, up to BANDS entries of 24 bytes a row, that is sent to every task.
-MAX_PLACES_ROWS = 200_000
+#: Most words of 64 row numbers that are sent to every task; the driver holds about 100 bytes of each, and some copies.
+MAX_WORDS = 100_000
+#: Most entries of the families of rows, about 150 bytes each on the driver, that are sent to every task.
+MAX_PLACES = 100_000
 #: Bytes of a cell in a bag.
 CELL = 6
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -164,29 +164,48 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join that deals both sides by the key. A settled table of row numbers has a few bytes a row and would be sent to
+    every task by its size in files; on the driver it takes about 100 bytes a row and several copies."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, comp: the smallest node of each node's component. Each round every component takes the smallest label next
     to it, and labels are followed two steps; a round's table is written and the last one forgotten."""
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = label.join(near, "node").select("node", "comp", F.least("comp", "m").alias("low"))
+        near = _join(both, label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        step = _join(label, near, "node").select("node", "comp", F.least("comp", "m").alias("low"))
         # the component's label itself moves to the lowest label that any member saw
         roots = step.groupBy(F.col("comp").alias("root")).agg(F.min("low").alias("to"))
-        new = step.join(roots, step["comp"] == roots["root"]).select("node", F.least("low", "to").alias("comp"), (F.col("comp") != F.least("low", "to")).alias("moved"))
+        new = _join(step, roots, step["comp"] == roots["root"]).select("node", F.least("low", "to").alias("comp"), (F.col("comp") != F.least("low", "to")).alias("moved"))
         new = settle(new)
         moved = new.filter("moved").limit(1).count()
         label = new.drop("moved")
         if not moved:
             break
-    return nodes.join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    return _join(nodes, label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
+def _among(rows: DataFrame, ids: DataFrame, there: bool = True) -> DataFrame:
+    """Rows whose rid is in ``ids`` (or is not). The row numbers are sent as words of 64 bits, at most one for 64 rows of
+    the input, so ``rows`` is not moved; from MAX_WORDS words on both sides are dealt by rid."""
+    words = settle(ids.groupBy(F.shiftright("rid", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(rid & 63))")).alias("bits")))
+    if words.count() > MAX_WORDS:
+        return _join(rows, ids.select("rid"), "rid", "left_semi" if there else "left_anti")
+    marked = rows.join(F.broadcast(words), F.shiftright("rid", 6) == F.col("word"), "inner" if there else "left")
+    return marked.filter(F.coalesce(F.expr("bit_get(bits, int(rid & 63))"), F.lit(0)) == int(there)).select(*rows.columns)
 
 
 def _beside(wide: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Rows of ``wide`` whose rid is in ``narrow``, with its columns; ``wide`` is not moved where ``narrow`` is small."""
+    """Rows of ``wide`` whose rid is in ``narrow`` (a row a rid), with its columns; where ``narrow`` is small ``wide`` is
+    not moved, else those of its rows that are wanted are."""
     narrow = settle(narrow)
-    return wide.join(F.broadcast(narrow) if narrow.count() <= MAX_PLACES_ROWS else narrow, "rid")
+    if (narrow.agg(F.sum(F.size("places"))).first()[0] or 0) <= MAX_PLACES:
+        return wide.join(F.broadcast(narrow), "rid")
+    return _join(_among(wide, narrow), narrow, "rid")
 
 
 def _places(family: DataFrame) -> DataFrame:
@@ -228,20 +247,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = whole.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "row")
     signs = settle(rows.select("rid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sign, "rid long, k1 long, k2 long, weight long, bands array<long>"))
     worded = signs.filter("weight > 0")
-    copies = settle(worded.select("rid", "k1", "k2").join(worded.groupBy("k1", "k2").agg(F.min("rid").alias("node")), ["k1", "k2"]).select("rid", "node"))
-    again = settle(copies.filter("rid != node").select("rid"))
-    again = F.broadcast(again) if again.count() <= MAX_BROADCAST_ROWS else again
-    nodes = settle(worded.select("rid", "bands").join(again, "rid", "left_anti"))
+    copies = settle(_join(worded.select("rid", "k1", "k2"), worded.groupBy("k1", "k2").agg(F.min("rid").alias("node")), ["k1", "k2"]).select("rid", "node"))
+    nodes = settle(_among(worded.select("rid", "bands"), copies.filter("rid != node"), there=False))
     keys = nodes.select("rid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = settle(keys.join(shared, "key"))
+    members = settle(_join(keys, shared, "key"))
     weight = settle(members.groupBy("rid").agg(F.sum("n").alias("weight")))
-    heavy = members.select("key", "rid").join(weight, "rid")
+    heavy = _join(members.select("key", "rid"), weight, "rid")
     pivots = heavy.groupBy("key").agg(F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("pivot"))
-    family = members.select("key", "rid").join(pivots, "key").select("pivot", "rid").distinct()
+    family = _join(members.select("key", "rid"), pivots, "key").select("pivot", "rid").distinct()
     family = settle(family)
     blocks = family.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    family = settle(family.join(blocks, "pivot"))
+    family = settle(_join(family, blocks, "pivot"))
     texts = _beside(rows.select("rid", "text"), _places(family.withColumn("asked", F.col("pivot") == F.col("rid"))))
     schema = "rid long, places array<struct<pivot:long,blocks:int,asked:boolean>>, sig binary, bag binary"
     bags = settle(texts.select("rid", "text", "places").mapInArrow(_pack, schema))
@@ -249,15 +266,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _links(bags.withColumn("comp", F.col("rid")))
     comp = settle(components(ids, links))
     of_node = comp.withColumnRenamed("node", "rid")
-    placed = family.join(of_node, "rid").join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("centre")), "pivot")
+    placed = _join(_join(family, of_node, "rid"), comp.select(F.col("node").alias("pivot"), F.col("comp").alias("centre")), "pivot")
     outside = placed.filter("comp != centre")
-    split = settle(placed.join(outside.select("pivot").distinct(), "pivot", "left_semi"))
+    split = settle(_join(placed, outside.select("pivot").distinct(), "pivot", "left_semi"))
     if split.limit(1).count():
         asked = _places(split.withColumn("asked", F.col("comp") != F.col("centre")))
-        more = _links(_beside(bags.select("rid", "sig", "bag"), asked.join(of_node, "rid")))
+        more = _links(_beside(bags.select("rid", "sig", "bag"), _join(asked, of_node, "rid")))
         if more.limit(1).count():
             comp = settle(components(ids, links.unionByName(more)))
-    of_rows = copies.join(comp.select(F.col("node").alias("node"), "comp"), "node").select("rid", "comp")
+    of_rows = _join(copies, comp.select(F.col("node").alias("node"), "comp"), "node").select("rid", "comp")
     alone = signs.filter("weight = 0").select("rid", F.col("rid").alias("comp"))
     return rows, of_rows.unionByName(alone)
 
@@ -265,17 +282,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), n_members, representative of every row of (doc_id, text)."""
     rows, of_rows = classes(docs.select("doc_id", "text"))
-    named = settle(of_rows.join(rows.select("rid", "doc_id"), "rid"))
+    named = settle(_join(of_rows, rows.select("rid", "doc_id"), "rid"))
     ids = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_members"), F.min(F.struct("doc_id", "rid")).alias("first"))
-    out = named.join(ids, "comp")
+    out = _join(named, ids, "comp")
     return out.select("doc_id", "class_id", "n_members", (F.col("rid") == F.col("first.rid")).alias("representative"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their class: of each class the one with the smallest doc_id, with all columns."""
     rows, of_rows = classes(docs)
-    named = settle(of_rows.join(rows.select("rid", "doc_id"), "rid"))
+    named = settle(_join(of_rows, rows.select("rid", "doc_id"), "rid"))
     first = named.groupBy("comp").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
-    gone = settle(named.join(first, "comp").filter(F.col("rid") != F.col("first.rid")).select("rid"))
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
-    return rows.join(gone, "rid", "left_anti").select("row.*")
+    gone = settle(_join(named, first, "comp").filter(F.col("rid") != F.col("first.rid")).select("rid"))
+    return _among(rows, gone, there=False).select("row.*")

@@ -75,6 +75,42 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_send_row_numbers_as_bits(spark, monkeypatch):
+    docs, sent, send = spark.range(6400).selectExpr("id AS doc_id", "'the same words in every row' AS text"), [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or send(df))
+    got = minhash.near_duplicates(docs).groupBy("class_id", "n_members").count().collect()
+    assert [tuple(r) for r in got] == [(0, 6400, 6400)]
+    assert [r.doc_id for r in minhash.deduplicated(docs).collect()] == [0]
+    # row numbers by class are dealt, however small their files are
+    assert "BroadcastHashJoin" not in minhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    # at most a word for 64 rows, and one more in each partition
+    assert sent and max(sent) <= 6400 // 64 + docs.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("words", [0, 100])
+def test_near_duplicates_without_places_sent(docs, monkeypatch, words):
+    monkeypatch.setattr(minhash, "MAX_WORDS", words)
+    monkeypatch.setattr(minhash, "MAX_PLACES", 0)
+    classes = {r.doc_id: (r.class_id, r.n_members) for r in minhash.near_duplicates(docs).collect()}
+    more = {1: (1, 3), 2: (1, 3), 3: (1, 3), 5: (5, 2), 6: (5, 2), 10: (10, 2), 11: (10, 2), 12: (12, 2)}
+    assert classes == {d: (d, 1) for d in (4, 7, 8, 9, 13, None)} | more
+    assert sorted(r.doc_id or 0 for r in minhash.deduplicated(docs).collect()) == [0, 1, 4, 5, 7, 8, 9, 10, 12, 13]
+
+
+def test_rows_among_row_numbers(spark, monkeypatch):
+    numbers = [0, 5, 62, 63, 64, 127, 128, 200, (1 << 33) + 63, (3 << 33) + 64]
+    rows = spark.createDataFrame([(k, f"row {k}") for k in numbers], "rid long, text string")
+    ids = spark.createDataFrame([(k,) for k in (5, 63, 63, 128, (1 << 33) + 63, 7)], "rid long")
+    for words in (100, 0):
+        monkeypatch.setattr(minhash, "MAX_WORDS", words)
+        there, gone = minhash._among(rows, ids), minhash._among(rows, ids, there=False)
+        assert there.columns == gone.columns == rows.columns
+        assert sorted(r.rid for r in there.collect()) == [5, 63, 128, (1 << 33) + 63]
+        assert sorted(r.rid for r in gone.collect()) == [0, 62, 64, 127, 200, (3 << 33) + 64]
+        assert minhash._among(rows, ids.limit(0)).count() == 0
+        assert minhash._among(rows, ids.limit(0), there=False).count() == len(numbers)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 400).astype(np.uint64)
