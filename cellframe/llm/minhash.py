@@ -257,7 +257,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pivots = heavy.groupBy("key").agg(F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("pivot"))
     family = _join(members.select("key", "rid"), pivots, "key").select("pivot", "rid").distinct()
     family = settle(family)
-    blocks = family.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # settled sides are dealt on their own, so that a large family can be split
+    blocks = settle(family.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     family = settle(_join(family, blocks, "pivot"))
     texts = _beside(rows.select("rid", "text"), _places(family.withColumn("asked", F.col("pivot") == F.col("rid"))))
     schema = "rid long, places array<struct<pivot:long,blocks:int,asked:boolean>>, sig binary, bag binary"
@@ -266,9 +267,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = _links(bags.withColumn("comp", F.col("rid")))
     comp = settle(components(ids, links))
     of_node = comp.withColumnRenamed("node", "rid")
-    placed = _join(_join(family, of_node, "rid"), comp.select(F.col("node").alias("pivot"), F.col("comp").alias("centre")), "pivot")
-    outside = placed.filter("comp != centre")
-    split = settle(_join(placed, outside.select("pivot").distinct(), "pivot", "left_semi"))
+    placed = settle(_join(_join(family, of_node, "rid"), comp.select(F.col("node").alias("pivot"), F.col("comp").alias("centre")), "pivot"))
+    outside = settle(placed.filter("comp != centre").select("pivot").distinct())
+    split = settle(_join(placed, outside, "pivot", "left_semi"))
     if split.limit(1).count():
         asked = _places(split.withColumn("asked", F.col("comp") != F.col("centre")))
         more = _links(_beside(bags.select("rid", "sig", "bag"), _join(asked, of_node, "rid")))
